@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, counts, decontaminate, langid, quality, simhash, toxicity, urlfilter
+from quire.llm import bpe, counts, decontaminate, langid, lm, quality, simhash, toxicity, urlfilter
 from quire.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.train(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +48,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_toxicity, op5_simhash, op6_token_counts, op8_quality, op9_url_filters, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_lm_scores, op4_toxicity, op5_simhash, op6_token_counts, op8_quality, op9_url_filters, op10_language)}
 
 ORACLES = {"op6_token_counts": counts.ORACLE, "op9_url_filters": urlfilter.ORACLE}
