@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, counts, decontaminate, langid, lm, quality, simhash, toxicity, urlfilter
+from quire.llm import bpe, counts, decontaminate, langid, linededup, lm, quality, simhash, toxicity, urlfilter
 from quire.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.load(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -48,6 +52,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_lm_scores, op4_toxicity, op5_simhash, op6_token_counts, op8_quality, op9_url_filters, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_lm_scores, op4_toxicity, op5_simhash, op6_token_counts, op7_line_dedup, op8_quality, op9_url_filters, op10_language)}
 
 ORACLES = {"op6_token_counts": counts.ORACLE, "op9_url_filters": urlfilter.ORACLE}
