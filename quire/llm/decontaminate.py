@@ -13,7 +13,8 @@ The prefixes are broadcast while there are at most `broadcast_windows` distinct
 beyond that the exploded words are joined by a shuffle and the candidates checked in a second join.
 
 Words: A-Z folded, runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Defined cases: a null or empty text has no
-words and is clean; null or empty items have no windows; an empty benchmark leaves every document clean.
+words and is clean; null or empty items have no windows; an item without an id marks words but is not
+listed; an empty benchmark leaves every document clean.
 Repeated rows (same id and text) come out as often as they came in, each with its own result.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, free
 
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,5 +133,6 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; all columns stay."""
-    bad = report(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("quire_id"), F.col("quire_text").alias("quire_hash"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("quire_id")) & (F.xxhash64(docs["text"]) == F.col("quire_hash")), "left_anti")
+    own, text = free(docs, "quire_id", "quire_hash")
+    bad = report(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(own), F.col("quire_text").alias(text))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[own]) & (F.xxhash64(docs["text"]) == bad[text]), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, free
 from quire.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
@@ -112,6 +112,8 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: that with the smallest id. All columns stay; rows with a null id stay."""
     found = cut(grouped(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first")))
-    out = docs.join(found.filter("not first").select(F.col("doc_id").alias("quire_id")).distinct(), docs["doc_id"].cast("long") == F.col("quire_id"), "left_anti")
+    own = free(docs, "quire_id")[0]
+    gone = found.filter("not first").select(F.col("doc_id").alias(own)).distinct()
+    out = docs.join(gone, docs["doc_id"].cast("long") == gone[own], "left_anti")
     again = found.filter("first").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if again else out

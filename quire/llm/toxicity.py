@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features are the distinct plain words of the whole text (ASCII case folded), hashed to 2**20 buckets. A
-numpy logistic model is trained on confirmed toxic rows against unlabelled text with the non-negative
+Features are the distinct plain words of the whole text (ASCII case folded) and their first STEMS bytes,
+hashed to 2**20 buckets: words of one stem speak for each other. A numpy logistic model is trained on confirmed toxic rows against unlabelled text with the non-negative
 risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-));  pi, the share of toxic rows, is estimated from the labels
 of the training folds. Only words markedly more frequent in the confirmed rows get a weight, found after
 near copies were removed from the sample by a bottom-4 sketch.
@@ -23,18 +23,27 @@ from quire.llm.common import bounded_sample, fold
 
 BITS = 20
 FOLDS = 5
+#: Sizes in bytes of the stems.
+STEMS = (4, 6)
 
 
-def words(x: V.Texts) -> tuple[np.ndarray, np.ndarray]:
+def features(x: V.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of each word and stem."""
     starts, ends, at = x.spans(V.PLAIN_END)
-    return (x.hashes(starts, ends, fold_case=True) >> np.uint64(64 - BITS)).astype(np.int64), at
+    doc = np.repeat(np.arange(x.n), np.diff(at))
+    docs, hashes = [doc], [x.hashes(starts, ends, fold_case=True)]
+    for k, size in enumerate(STEMS, 1):
+        on = ends - starts > size
+        docs.append(doc[on])
+        hashes.append(V.mix(x.hashes(starts[on], starts[on] + size, fold_case=True) + np.uint64(k)))
+    return np.concatenate(docs), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _bags(batches):
     for batch in batches:
         for first, end, x in V.slices(batch.column(1)):
-            bucket, at = words(x)
-            key = np.unique(np.repeat(np.arange(x.n), np.diff(at)) << BITS | bucket)
+            doc, bucket = features(x)
+            key = np.unique(doc << BITS | bucket)
             cut = np.searchsorted(key, np.arange(x.n + 1) << BITS)
             bags = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((key & (2**BITS - 1)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), bags], ["positive", "bag"])
@@ -53,17 +62,17 @@ class Model:
 
     def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float):
         self.buckets, self.weights, self.bias = buckets, weights, bias
+        self.listed = np.zeros(1 << BITS, np.int32)
+        self.listed[buckets] = np.arange(1, len(buckets) + 1)
 
     def scores(self, x: V.Texts) -> np.ndarray:
         z = np.full(x.n, self.bias)
         if len(self.buckets):
-            listed = np.zeros(1 << BITS, np.int32)
-            listed[self.buckets] = np.arange(1, len(self.buckets) + 1)
-            bucket, at = words(x)
+            listed = self.listed
+            doc, bucket = features(x)
             which = listed[bucket]
             hit = np.flatnonzero(which)
-            doc = np.searchsorted(at, hit, side="right") - 1
-            pair = np.unique(doc * (len(self.buckets) + 1) + which[hit])
+            pair = np.unique(doc[hit] * (len(self.buckets) + 1) + which[hit])
             z += np.bincount(pair // (len(self.buckets) + 1), self.weights[pair % (len(self.buckets) + 1) - 1], x.n)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -74,15 +83,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     n_p, n_u = len(positive), len(unlabelled)
-    df_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    df_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
+    df_p = np.bincount(np.concatenate(positive).astype(np.int64), minlength=1 << BITS)
+    df_u = np.bincount(np.concatenate(unlabelled).astype(np.int64), minlength=1 << BITS)
     expected = n_p * df_u / n_u
     names = np.flatnonzero((df_p >= 3) & (df_p > 2 * expected) & ((df_p - expected) / np.sqrt(expected + 1) > 2.5))
     place = np.full(1 << BITS, -1)
     place[names] = np.arange(len(names))
 
     def pairs(bags):
-        cols = place[np.concatenate(bags)]
+        cols = place[np.concatenate(bags).astype(np.int64)]
         rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         return rows[cols >= 0], cols[cols >= 0]
 
