@@ -7,11 +7,12 @@ a line within THRESHOLD edits first occurs earlier (smaller document id, then po
 The edit join works on distinct lines. Each is cut into THRESHOLD + 1 segments; within so many edits one
 segment survives. Segments are indexed under (line length, segment number, segment); a line probes, for
 each length up to THRESHOLD shorter than its own, only the substrings that a segment could have become
-(the multi-match-aware window of positions). Candidates must agree in all but 2 * THRESHOLD of 64 parities
+(the multi-match-aware window of positions). Candidates must agree in all but 2 * THRESHOLD of 32 parities
 of hashed characters, which the join itself tests, so that a segment shared by many lines yields few pairs;
-what is left is verified by banded bit-parallel edit distance.
+what is left is verified by banded bit-parallel edit distance. The lines' texts are shuffled once, by line;
+index, probes and verification read that exchange.
 
-Lines are told apart by 64-bit XXH64. Defined cases: lines without a letter or digit stay; a null text
+Lines are told apart by 64 bits: the parities and 32 bits of XXH64. Defined cases: lines without a letter or digit stay; a null text
 stays null; a document with text whose every lettered line is dropped has text of the rest (an empty
 text, if nothing); documents with a null id come last; repeated rows (same id) are one document.
 """
@@ -34,14 +35,25 @@ LAST = (1 << 63) - 1
 WORDY = re.compile(r"[^\W_]")
 
 
-def signed(n: int) -> int:
-    return n - (1 << 64) if n >> 63 else n
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """64 bits for each line: 32 of its hash, then 32 parities, each of the number of its characters in one
+    of 32 classes. One edit changes at most two parities."""
+    import xxhash
 
+    out, step = np.zeros(len(lines), np.uint64), 4096
+    for i in range(0, len(lines), step):
+        some = lines[i : i + step]
+        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = ((points * np.uint32(2654435761)) >> np.uint32(27)).astype(np.int32)
+        owner = np.repeat(np.arange(len(some), dtype=np.int32) * 32, [len(x) for x in some])
+        odd = (np.bincount(owner + kind, minlength=32 * len(some)) & 1).astype(np.uint8).reshape(-1, 32)
+        own = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) >> 32 for x in some), np.uint64, len(some))
+        out[i : i + step] = own << np.uint64(32) | np.packbits(odd, axis=1).view(">u4").ravel()
+    return out.view(np.int64)
 
-def line_hash(line: str) -> int:
-    import xxhash
 
-    return signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7))
+def line_hash(line: str) -> int:
+    return int(line_hashes([line])[0])
 
 
 def distinct_lines(text: str | None) -> list[tuple[int, str]]:
@@ -53,22 +65,6 @@ def distinct_lines(text: str | None) -> list[tuple[int, str]]:
     return [(k, line) for line, k in seen.items()]
 
 
-def parities(lines: list[str]) -> np.ndarray:
-    """64 bits for each line: the parity of its characters in each of 64 classes; one edit changes at most two."""
-    if not lines:
-        return np.zeros(0, np.int64)
-    out = []
-    step = 2048
-    for i in range(0, len(lines), step):
-        some = lines[i : i + step]
-        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = ((points * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int64)
-        owner = np.repeat(np.arange(len(some)), [len(x) for x in some])
-        odd = (np.bincount(owner * 64 + kind, minlength=64 * len(some)) & 1).astype(np.uint8).reshape(-1, 64)
-        out.append(np.packbits(odd, axis=1).view(">i8").ravel().astype(np.int64))
-    return np.concatenate(out)
-
-
 def segments(n: int, threshold: int) -> list[tuple[int, int]]:
     """(start, length) of the segments of a line of n characters; the longer ones last."""
     short, more = divmod(n, threshold + 1)
@@ -95,27 +91,25 @@ def probes(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
 def _occurrences(batches):
     for batch in batches:
         for first in range(0, len(batch), 512):
-            ids, at, hs = [], [], []
             some = batch.slice(first, 512)
-            for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                for k, line in distinct_lines(text):
-                    ids.append(d)
-                    at.append(k)
-                    hs.append(line_hash(line))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(hs, pa.int64())], ["d", "at", "h"])
+            found = [distinct_lines(t) for t in some.column(1).to_pylist()]
+            ids = some.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            at = pa.array([k for x in found for k, _ in x], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, at, pa.array(line_hashes([line for x in found for _, line in x]))], ["d", "at", "h"])
 
 
 def _long_lines(batches):
-    """Lines that take part in the edit join, with their text."""
+    """Lines that take part in the edit join, with their text: of equal ones among some thousands of rows, that with the least id."""
     for batch in batches:
-        for first in range(0, len(batch), 512):
-            some = batch.slice(first, 512)
-            found = [(d, k, line) for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for k, line in distinct_lines(text) if len(line) >= MIN_CHARS]
-            lines = [x[2] for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([line_hash(x) for x in lines], pa.int64()), pa.array(parities(lines)), pa.array(lines, pa.string())],
-                ["d", "at", "h", "odd", "line"],
-            )
+        for first in range(0, len(batch), 4096):
+            some = batch.slice(first, 4096)
+            least: dict[str, int] = {}
+            for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                for line in (text or "").split("\n"):
+                    if len(line) >= MIN_CHARS and least.get(line, LAST + 1) > d and WORDY.search(line):
+                        least[line] = d
+            lines = list(least)
+            yield pa.RecordBatch.from_arrays([pa.array(least.values(), pa.int64()), pa.array(line_hashes(lines)), pa.array(lines, pa.string())], ["d", "h", "line"])
 
 
 def _keys(plan, threshold: int):
@@ -129,7 +123,7 @@ def _keys(plan, threshold: int):
             for first in range(0, len(batch), 2048):
                 some = batch.slice(first, 2048)
                 keys, owner = [], []
-                for k, line in enumerate(some.column(2).to_pylist()):
+                for k, line in enumerate(some.column(1).to_pylist()):
                     n = len(line)
                     if n not in plans:
                         if len(plans) > 4096:
@@ -139,7 +133,7 @@ def _keys(plan, threshold: int):
                     keys += seen
                     owner += [k] * len(seen)
                 owner = pa.array(owner, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), some.column(0).take(owner), some.column(1).take(owner)], ["key", "h", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), some.column(0).take(owner)], ["key", "h"])
 
     return run
 
@@ -169,35 +163,33 @@ def owned(docs: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): hashes of different lines within threshold edits, each pair once."""
-    kind = "d long, at int, h long, odd long, line string"
-    lines = rows.mapInArrow(_long_lines, kind).join(firsts.select("h", F.col("d0").alias("d")), ["h", "d"]).select("h", "odd", "line")
-    index = lines.mapInArrow(_keys(_index_plan, threshold), "key long, h long, odd long")
-    probe = lines.mapInArrow(_keys(probes, threshold), "key long, h long, odd long").select("key", F.col("h").alias("h2"), F.col("odd").alias("odd2"))
-    met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("odd2"))) <= 2 * threshold))
-    pairs = cut(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = rows.mapInArrow(_long_lines, kind).select("h", "line").join(_few(wanted), "h", "left_semi")
-    texts = cut(texts.groupBy("h").agg(F.min("line").alias("line")))
-    held = _few(texts, 20_000)
-    both = pairs.join(held.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(held.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    first = firsts.select(F.col("h").alias("h1"), "d0")
+    lines = rows.mapInArrow(_long_lines, "d long, h long, line string")
+    # not an equality, so that the join (and with it the exchange) is by h alone; no d is less than d0
+    lines = lines.join(first, (F.col("h") == F.col("h1")) & (F.col("d") <= F.col("d0"))).select("h", "line")
+    index = lines.mapInArrow(_keys(_index_plan, threshold), "key long, h long")
+    probe = lines.mapInArrow(_keys(probes, threshold), "key long, h long").select("key", F.col("h").alias("h2"))
+    parities = F.col("h").bitwiseXOR(F.col("h2")).bitwiseAND(F.lit(0xFFFFFFFF))
+    met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & (F.bit_count(parities) <= 2 * threshold))
+    pairs = met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    texts = lines.join(wanted, F.col("h") == F.col("wanted"), "left_semi")
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"))
 
 
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(d, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
     rows = owned(docs)
-    firsts = stash(rows.mapInArrow(_occurrences, "d long, at int, h long").groupBy("h").agg(F.min("d").alias("d0"), F.count("*").alias("k")), "line-firsts")
+    seen = stash(rows.mapInArrow(_occurrences, "d long, at int, h long"), "lines")
+    grouped = seen.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("k"))
+    firsts = stash(grouped.select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"), "k"), "line-firsts")
     links = near_links(rows, firsts, threshold)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    seen = rows.mapInArrow(_occurrences, "d long, at int, h long")
-    if both.limit(1).count():
-        nodes = both.select(F.col("a").alias("h")).distinct()
-        placed = cut(seen.join(_few(nodes), "h", "left_semi").groupBy("h").agg(F.min(F.struct("d", "at")).alias("first")))
-        sides = both.join(placed.withColumnRenamed("h", "a").withColumnRenamed("first", "fa"), "a").join(placed.withColumnRenamed("h", "b").withColumnRenamed("first", "fb"), "b")
-        later = F.struct("fb", "b") < F.struct("fa", "a")
-        near = cut(sides.groupBy(F.col("a").alias("h")).agg(F.max(later).alias("near"), F.count("*").alias("links")))
-    else:
-        near = docs.sparkSession.createDataFrame([], "h long, near boolean, links long")
+    place = firsts.select("h", F.struct("d0", "at0").alias("f"))
+    sides = links.join(place.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a").join(place.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
+    later = F.struct("fb", "b") < F.struct("fa", "a")
+    ends = sides.select(F.explode(F.array(F.struct(F.col("a").alias("h"), later.alias("later")), F.struct(F.col("b").alias("h"), (~later).alias("later")))).alias("e"))
+    near = ends.groupBy("e.h").agg(F.max("e.later").alias("near"), F.count("*").alias("links"))
     repeated = firsts.filter("k > 1").select("h", "d0")
     flags = repeated.join(near, "h", "full_outer")
     hit = seen.join(flags, "h").select("d", "at", (F.col("d") > F.coalesce("d0", "d")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
