@@ -9,8 +9,9 @@ segment survives. Segments are indexed under (line length, segment number, segme
 each length up to THRESHOLD shorter than its own, only the substrings that a segment could have become
 (the multi-match-aware window of positions). Candidates must agree in all but 2 * THRESHOLD of 32 parities
 of hashed characters, which the join itself tests, so that a segment shared by many lines yields few pairs;
-what is left is verified by banded bit-parallel edit distance. The lines' texts are shuffled once, by line;
-index, probes and verification read that exchange.
+what is left is verified by banded bit-parallel edit distance. Until then lines move as hashes only; the
+texts of candidates are picked out at the scan by a bitmap of fixed largest size (it may let others through,
+which a join then drops).
 
 Lines are told apart by 64 bits: the parities and 32 bits of XXH64. Defined cases: lines without a letter or digit stay; a null text
 stays null; a document with text whose every lettered line is dropped has text of the rest (an empty
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import vectext as V
 from quire.llm.common import cut, stash
 from quire.llm.editdist import within
 
@@ -35,21 +37,24 @@ LAST = (1 << 63) - 1
 WORDY = re.compile(r"[^\W_]")
 
 
+def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' characters one after the other, and where each line begins, and the end."""
+    at = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)), out=at[1:])
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), at
+
+
 def line_hashes(lines: list[str]) -> np.ndarray:
-    """64 bits for each line: 32 of its hash, then 32 parities, each of the number of its characters in one
-    of 32 classes. One edit changes at most two parities."""
+    """64 bits for each (not empty) line: 32 of its hash, then 32 parities, each of the number of its characters
+    in one of 32 classes. One edit changes at most two parities."""
     import xxhash
 
-    out, step = np.zeros(len(lines), np.uint64), 4096
-    for i in range(0, len(lines), step):
-        some = lines[i : i + step]
-        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = ((points * np.uint32(2654435761)) >> np.uint32(27)).astype(np.int32)
-        owner = np.repeat(np.arange(len(some), dtype=np.int32) * 32, [len(x) for x in some])
-        odd = (np.bincount(owner + kind, minlength=32 * len(some)) & 1).astype(np.uint8).reshape(-1, 32)
-        own = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) >> 32 for x in some), np.uint64, len(some))
-        out[i : i + step] = own << np.uint64(32) | np.packbits(odd, axis=1).view(">u4").ravel()
-    return out.view(np.int64)
+    if not lines:
+        return np.zeros(0, np.int64)
+    points, at = code_points(lines)
+    odd = np.bitwise_xor.reduceat(np.uint32(1) << ((points * np.uint32(2654435761)) >> np.uint32(27)), at[:-1])
+    own = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) >> 32 for x in lines), np.uint64, len(lines))
+    return (own << np.uint64(32) | odd).view(np.int64)
 
 
 def line_hash(line: str) -> int:
@@ -98,42 +103,78 @@ def _occurrences(batches):
             yield pa.RecordBatch.from_arrays([ids, at, pa.array(line_hashes([line for x in found for _, line in x]))], ["d", "at", "h"])
 
 
-def _long_lines(batches):
-    """Lines that take part in the edit join, with their text: of equal ones among some thousands of rows, that with the least id."""
+def _long_lines(batches, once: int = 200_000):
+    """Lines that take part in the edit join, as (hashes, lines); what a task has seen lately is left out."""
+    seen: set[int] = set()
     for batch in batches:
-        for first in range(0, len(batch), 4096):
-            some = batch.slice(first, 4096)
-            least: dict[str, int] = {}
-            for d, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                for line in (text or "").split("\n"):
-                    if len(line) >= MIN_CHARS and least.get(line, LAST + 1) > d and WORDY.search(line):
-                        least[line] = d
-            lines = list(least)
-            yield pa.RecordBatch.from_arrays([pa.array(least.values(), pa.int64()), pa.array(line_hashes(lines)), pa.array(lines, pa.string())], ["d", "h", "line"])
+        for first in range(0, len(batch), 1024):
+            texts = batch.column(1).slice(first, 1024).to_pylist()
+            lines = [x for x in {line for t in texts if t for line in t.split("\n") if len(line) >= MIN_CHARS} if WORDY.search(x)]
+            hs = line_hashes(lines)
+            new = np.array([h not in seen for h in hs.tolist()], bool)
+            lines, hs = [x for x, on in zip(lines, new.tolist(), strict=True) if on], hs[new]
+            if len(seen) + len(hs) > once:
+                seen.clear()
+            seen.update(hs.tolist())
+            for i in range(0, len(lines), 2048):
+                yield hs[i : i + 2048], lines[i : i + 2048]
 
 
 def _keys(plan, threshold: int):
-    """A function from lines to the hashed keys that plan (segments or probes of a length) names."""
+    """A function from documents to the hashed keys that plan (segments or probes of a length) names for their lines."""
 
     def run(batches):
-        import xxhash
+        plans: dict[int, tuple[np.ndarray, ...]] = {}
+        for hs, lines in _long_lines(batches):
+            points, at = code_points(lines)
+            up, down = V.powers(len(points) + 1)
+            total = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum((points + np.uint64(1)) * up[:-1], out=total[1:])
+            length = np.diff(at)
+            order = np.argsort(length, kind="stable")
+            keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for on in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+                n = int(length[on[0]])
+                if n not in plans:
+                    if len(plans) > 4096:
+                        plans.clear()
+                    own = np.array(plan(n, threshold), np.int64)
+                    plans[n] = own[:, 2], own[:, 2] + own[:, 3], V.mix((own[:, 0] << 3 | own[:, 1]).astype(np.uint64))
+                first, last, tag = plans[n]
+                start, end = at[on][:, None] + first, at[on][:, None] + last
+                keys.append(V.mix((total[end] - total[start]) * down[start] + tag).ravel())
+                owner.append(np.repeat(hs[on], len(tag)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "h"])
 
-        digest, plans = xxhash.xxh64_intdigest, {}
-        for batch in batches:
-            for first in range(0, len(batch), 2048):
-                some = batch.slice(first, 2048)
-                keys, owner = [], []
-                for k, line in enumerate(some.column(1).to_pylist()):
-                    n = len(line)
-                    if n not in plans:
-                        if len(plans) > 4096:
-                            plans.clear()
-                        plans[n] = plan(n, threshold)
-                    seen = [digest(line[p : p + size].encode("utf-8", "surrogatepass"), (length << 3) | i) for length, i, p, size in plans[n]]
-                    keys += seen
-                    owner += [k] * len(seen)
-                owner = pa.array(owner, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), some.column(0).take(owner)], ["key", "h"])
+    return run
+
+
+#: Bits of the bitmap for each wanted line, and at most.
+BITS_PER_LINE, MOST_BITS = 16, 27
+
+
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """One bit for each value of the first bits of a wanted h; at most 2**MOST_BITS bits, made by sums over tasks."""
+    bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(BITS_PER_LINE * max(1, wanted.count()))))))
+    slot = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
+    word = F.call_function("shiftrightunsigned", slot, F.lit(6)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    found = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _texts(held):
+    """(h, line) of the lines that the bitmap lets through."""
+
+    def run(batches):
+        words = held.value
+        shift = np.uint64(64 - int(np.log2(len(words) * 64)))
+        for hs, lines in _long_lines(batches):
+            slot = hs.view(np.uint64) >> shift
+            on = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(hs[on]), pa.array([x for x, k in zip(lines, on.tolist(), strict=True) if k], pa.string())], ["h", "line"])
 
     return run
 
@@ -152,7 +193,7 @@ def _verify(threshold: int):
     return run
 
 
-def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
+def _few(df: DataFrame, most: int = 400_000) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -161,19 +202,16 @@ def owned(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
 
 
-def near_links(rows: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_links(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): hashes of different lines within threshold edits, each pair once."""
-    first = firsts.select(F.col("h").alias("h1"), "d0")
-    lines = rows.mapInArrow(_long_lines, "d long, h long, line string")
-    # not an equality, so that the join (and with it the exchange) is by h alone; no d is less than d0
-    lines = lines.join(first, (F.col("h") == F.col("h1")) & (F.col("d") <= F.col("d0"))).select("h", "line")
-    index = lines.mapInArrow(_keys(_index_plan, threshold), "key long, h long")
-    probe = lines.mapInArrow(_keys(probes, threshold), "key long, h long").select("key", F.col("h").alias("h2"))
+    index = rows.mapInArrow(_keys(_index_plan, threshold), "key long, h long").distinct()
+    probe = rows.mapInArrow(_keys(probes, threshold), "key long, h long").select("key", F.col("h").alias("h2"))
     parities = F.col("h").bitwiseXOR(F.col("h2")).bitwiseAND(F.lit(0xFFFFFFFF))
     met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & (F.bit_count(parities) <= 2 * threshold))
-    pairs = met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = lines.join(wanted, F.col("h") == F.col("wanted"), "left_semi")
+    pairs = cut(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    texts = rows.mapInArrow(_texts(held), "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"))
 
@@ -184,7 +222,7 @@ def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     seen = stash(rows.mapInArrow(_occurrences, "d long, at int, h long"), "lines")
     grouped = seen.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("k"))
     firsts = stash(grouped.select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"), "k"), "line-firsts")
-    links = near_links(rows, firsts, threshold)
+    links = near_links(rows, threshold)
     place = firsts.select("h", F.struct("d0", "at0").alias("f"))
     sides = links.join(place.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a").join(place.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
     later = F.struct("fb", "b") < F.struct("fa", "a")
@@ -220,7 +258,7 @@ def rewrite(text: str | None, drop) -> tuple[str | None, int, int, int]:
 def _with_fates(docs: DataFrame, threshold: int) -> tuple[DataFrame, list[str]]:
     names = docs.columns
     held = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), docs["text"].alias("quire_text"), *(docs[f"`{c}`"].alias(f"quire_{k}") for k, c in enumerate(names)))
-    return held.join(_few(fates(docs, threshold)), "d", "left"), names
+    return held.join(_few(stash(fates(docs, threshold), "line-fates")), "d", "left"), names
 
 
 def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
