@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.base import let
+
 EPS = 1e-12
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -98,31 +100,36 @@ def inside_polygon(x: Column, y: Column, poly: Column) -> Column:
     return (F.size(poly) >= 3) & (F.exists(edges, on_edge) | F.aggregate(edges, F.lit(False), crossed))
 
 
-def clip_to_box(poly: Column, b: Column) -> Column:
-    """The part of a convex polygon in a box: four half-planes one after the other."""
+POLYGON = "array<struct<x:double,y:double>>"
 
-    def half_plane(points: Column, depth) -> Column:
-        """depth(point) >= 0 inside."""
 
-        def cut(e: Column) -> Column:
-            p, q = e["p"], e["q"]
-            dp, dq = depth(p), depth(q)
-            at = dp / F.when(dp != dq, dp - dq).otherwise(F.lit(1.0))
-            met = F.struct((p["x"] + at * (q["x"] - p["x"])).alias("x"), (p["y"] + at * (q["y"] - p["y"])).alias("y"))
-            return F.array_compact(F.array(F.when((dp >= 0) != (dq >= 0), met), F.when(dq >= 0, q)))
+def clip_to_box(poly: Column, b: Column) -> Column:
+    """The part of a convex polygon in a box: cut by four half-planes (u x + v y + w >= 0), one after the other."""
+    plane = lambda u, v, w: F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), w.alias("w"))
+    planes = F.array(plane(1.0, 0.0, -b["x0"]), plane(-1.0, 0.0, b["x1"]), plane(0.0, 1.0, -b["y0"]), plane(0.0, -1.0, b["y1"]))
+
+    def cut(e: Column) -> Column:
+        p, q, dp, dq = e["p"], e["q"], e["dp"], e["dq"]
+        at = dp / F.when(dp != dq, dp - dq).otherwise(F.lit(1.0))
+        met = F.struct((p["x"] + at * (q["x"] - p["x"])).alias("x"), (p["y"] + at * (q["y"] - p["y"])).alias("y"))
+        return F.array_compact(F.array(F.when((dp >= 0) != (dq >= 0), met), F.when(dq >= 0, q)))
 
-        return F.flatten(F.transform(_edges(points), cut))
+    def half_plane(points: Column, h: Column) -> Column:
+        depth = lambda p: h["u"] * p["x"] + h["v"] * p["y"] + h["w"]
+        deep = F.transform(_edges(points), lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), depth(e["p"]).alias("dp"), depth(e["q"]).alias("dq")))
+        return F.flatten(F.transform(deep, cut)).cast(POLYGON)
 
-    for depth in (lambda p: p["x"] - b["x0"], lambda p: b["x1"] - p["x"], lambda p: p["y"] - b["y0"], lambda p: b["y1"] - p["y"]):
-        poly = half_plane(poly, depth)
-    return poly
+    return F.aggregate(planes, poly.cast(POLYGON), half_plane)
 
 
 def iou_polygon_box(poly: Column, b: Column) -> Column:
     """Of a convex polygon (either orientation) and a box."""
-    shared = polygon_area(clip_to_box(poly, b))
-    union = polygon_area(poly) + area(b) - shared
-    return F.when(union > 0, shared / union).otherwise(0.0)
+
+    def share(shared: Column) -> Column:
+        union = polygon_area(poly) + area(b) - shared
+        return F.when(union > 0, shared / union).otherwise(0.0)
+
+    return let(let(clip_to_box(poly, b), polygon_area), share)
 
 
 def reading_row(b: Column) -> Column:

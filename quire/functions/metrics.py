@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.base import let
+
 #: Tokens are written as single code points from here on (a plane without surrogates or letters).
 _PLANE = 0x10000
 
@@ -50,19 +52,23 @@ def tokens(text: Column) -> Column:
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over arrays of tokens: each distinct token becomes one code point, and the
     built-in distance runs over the two strings. Holds for up to 900,000 distinct tokens in a pair."""
-    known = F.array_distinct(F.concat(a, b))
-    place = F.map_from_arrays(known, F.sequence(F.lit(1), F.size(known)))
 
-    def spelled(xs: Column) -> Column:
+    def spelled(xs: Column, place: Column) -> Column:
         letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.element_at(place, w).cast("long") + _PLANE), 8, "0")), "UTF-32")
         return F.array_join(F.transform(xs, letter), "")
 
-    return F.when(F.size(known) == 0, F.lit(0)).otherwise(F.levenshtein(spelled(a), spelled(b)))
+    def coded(t: Column, known: Column) -> Column:
+        place = F.map_from_arrays(known, F.sequence(F.lit(1), F.size(known)))
+        both = let(place, lambda m: F.levenshtein(spelled(t["a"], m), spelled(t["b"], m)))
+        return F.when(F.size(known) == 0, F.lit(0)).otherwise(both)
+
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return let(pair, lambda t: let(F.array_distinct(F.concat(t["a"], t["b"])), lambda known: coded(t, known)))
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
-    a, b = tokens(reference), tokens(hypothesis)
-    return _rate(token_distance(a, b), F.size(a), F.size(b))
+    pair = F.struct(tokens(reference).alias("a"), tokens(hypothesis).alias("b"))
+    return let(pair, lambda t: _rate(token_distance(t["a"], t["b"]), F.size(t["a"]), F.size(t["b"])))
 
 
 def best_window(needle: Column, hay: Column) -> Column:
