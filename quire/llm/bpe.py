@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import tidy
+
 #: Characters of a pre-token that are one leaf of the tree, and words that a task remembers.
 LEAF = 1 << 12
 REMEMBERED = 700_000
@@ -120,6 +122,12 @@ class Codec:
         if self.tok.decoder is None:
             self.decoded.update(zip((w for w, _ in found), self.tok.decode_batch([i for _, i in found], skip_special_tokens=False)))
 
+    def forget(self, most: int = 100_000) -> None:
+        """A worker outlives its task: it keeps the tokenizer, but no more than `most` words."""
+        if len(self.ids) > most:
+            self.ids.clear()
+            self.decoded.clear()
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit numbers, and the text decoded from them.
 
@@ -153,6 +161,11 @@ def encode(docs: DataFrame, path: str | None = None, tokens: bool = False) -> Da
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
             kept[key] = Codec(data=data.value)
         codec = kept[key]
+        yield from coded(codec, batches)
+        codec.forget()
+        tidy()
+
+    def coded(codec, batches):
         for batch in batches:
             for first in range(0, len(batch), 256):
                 some = batch.slice(first, 256)

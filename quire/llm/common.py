@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(work):
+    """work (batches to batches), and tidy() after a task's last batch."""
+
+    def run(batches):
+        yield from work(batches)
+        tidy()
+
+    return run
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where df has such columns already."""
     held, out = {c.lower() for c in df.columns}, []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, fold
+from quire.llm.common import bounded_sample, fold, tidied
 
 FOLDS, HELD = 3, 1
 UNIT = 24
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, net: Network | None, extra: list[str] | None = Non
         memory = Memory(held.value) if held.value is not None else None
         for batch in batches:
             langs, scores = [], []
-            texts = batch.column(1)
+            texts = batch.column(where)
             for first in range(0, len(texts), 64):
                 some = texts.slice(first, 64).to_pylist()
                 units = [t.split() if t and memory and LETTER.search(t) else [] for t in some]
@@ -214,10 +214,12 @@ def identify(docs: DataFrame, net: Network | None, extra: list[str] | None = Non
                         scores.append(0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(batch.column(3 + k) for k in range(len(named)))], ["doc_id", "held_out", "lang_pred", "score", *(f"quire_{k}" for k in range(len(named)))])
 
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), *(F.col(f"`{c}`").alias(f"quire_{k}") for k, c in enumerate(named)))
+    # a text that is carried along anyway is sent once
+    kinds, where = dict(docs.dtypes), 3 + named.index("text") if "text" in named else 1
+    text = F.lit(None).cast("string").alias("text") if "text" in named else F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), *(F.col(f"`{c}`").alias(f"quire_{k}") for k, c in enumerate(named)))
     more = "".join(f", quire_{k} {kinds[c]}" for k, c in enumerate(named))
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{more}")
+    return rows.mapInArrow(tidied(run), f"doc_id long, held_out boolean, lang_pred string, score double{more}")
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.3) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import vectext as V
-from quire.llm.common import cut, stash
+from quire.llm.common import cut, stash, tidied
 from quire.llm.editdist import within
 
 THRESHOLD, MIN_CHARS = 2, 24
@@ -204,14 +204,14 @@ def owned(docs: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): hashes of different lines within threshold edits, each pair once."""
-    index = rows.mapInArrow(_keys(_index_plan, threshold), "key long, h long").distinct()
-    probe = rows.mapInArrow(_keys(probes, threshold), "key long, h long").select("key", F.col("h").alias("h2"))
+    index = rows.mapInArrow(tidied(_keys(_index_plan, threshold)), "key long, h long").distinct()
+    probe = rows.mapInArrow(tidied(_keys(probes, threshold)), "key long, h long").select("key", F.col("h").alias("h2"))
     parities = F.col("h").bitwiseXOR(F.col("h2")).bitwiseAND(F.lit(0xFFFFFFFF))
     met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & (F.bit_count(parities) <= 2 * threshold))
     pairs = cut(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted))
-    texts = rows.mapInArrow(_texts(held), "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = rows.mapInArrow(tidied(_texts(held)), "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"))
 
@@ -219,7 +219,7 @@ def near_links(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(d, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
     rows = owned(docs)
-    seen = stash(rows.mapInArrow(_occurrences, "d long, at int, h long"), "lines")
+    seen = stash(rows.mapInArrow(tidied(_occurrences), "d long, at int, h long"), "lines")
     grouped = seen.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("k"))
     firsts = stash(grouped.select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"), "k"), "line-firsts")
     links = near_links(rows, threshold)
@@ -267,7 +267,7 @@ def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     joined, _ = _with_fates(rows, threshold)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, len(whole), 1024)):
             out = [rewrite(t, a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             exact = np.array([x[2] for x in out], np.int64) + batch.column(3).to_numpy(zero_copy_only=False)
             sha = [None if x[0] is None else hashlib.sha256(x[0].encode("utf-8", "surrogatepass")).hexdigest() for x in out]
@@ -289,12 +289,12 @@ def clean(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     where = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, len(whole), 1024)):
             texts = batch.column(where).to_pylist()
             new = [rewrite(t, a)[0] for t, a in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
             cols = [pa.array(new, pa.string()) if k == where else batch.column(k) for k in range(len(names))]
             keep = pa.array([n is None or bool(n.strip()) or not t.strip() for t, n in zip(texts, new, strict=True)])
             yield pa.RecordBatch.from_arrays(cols, [f"quire_{k}" for k in range(len(names))]).filter(keep)
 
-    out = joined.select(*(f"quire_{k}" for k in range(len(names))), "ats").mapInArrow(run, ", ".join(f"quire_{k} {kinds[c]}" for k, c in enumerate(names)))
+    out = joined.select(*(f"quire_{k}" for k in range(len(names))), "ats").mapInArrow(tidied(run), ", ".join(f"quire_{k} {kinds[c]}" for k, c in enumerate(names)))
     return out.select(*(F.col(f"quire_{k}").alias(c) for k, c in enumerate(names)))

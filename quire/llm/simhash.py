@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, free
+from quire.llm.common import cut, free, tidied
 from quire.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
@@ -59,7 +59,7 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_fingerprints), "doc_id long, fp long")
 
 
 def anchors(x: Column) -> tuple[Column, Column]:
