@@ -1,0 +1,191 @@
+"""Scalars, segments, solvers, geometry, joins, sources and reports of the engine itself."""
+
+import itertools
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions import geometry as G
+from quire.functions import jsontext as J
+from quire.functions import metrics as M
+from quire.functions import models
+from quire.functions import normalize as N
+from quire.functions import segment as S
+from quire.operators import align, runs, solvers, strata
+from quire.plans import registry
+from quire.sources import manifest, predictions, reports
+from tests.conftest import rows
+
+
+def one(spark, *columns, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) or v is None else 'array<string>'}" for k, v in values.items())) if values else spark.range(1)
+    return df.select(*columns).first()
+
+
+def test_golden_metrics(spark):
+    ned = lambda a, b: one(spark, M.ned(F.col("a"), F.col("b")), a=a, b=b)[0]
+    assert (ned("", ""), ned("abc", ""), ned("kitten", "sitting"), ned(None, "")) == (0, 1, 3 / 7, 0)
+    cer = lambda a, b: one(spark, M.cer(F.col("a"), F.col("b")), a=a, b=b)[0]
+    assert (cer("", "x"), cer("", ""), cer("ab", "abcdef")) == (1, 0, 2)
+    wer = lambda a, b: one(spark, M.wer(F.col("a"), F.col("b")), a=a, b=b)[0]
+    assert (wer("the cat sat on", "the bat sat"), wer("", ""), wer("", "x"), wer("a", "")) == (0.5, 0, 1, 1)
+    best = one(spark, M.best_window(F.col("a"), F.col("b")), a="bcd", b="abcde")[0]
+    assert (best.d, best.at) == (0, 1)
+
+
+def test_distance_agrees_with_the_engine(spark):
+    rng = np.random.default_rng(1)
+    pairs = [("".join(rng.choice(list("abé😀 "), rng.integers(0, 90))), "".join(rng.choice(list("abé😀 "), rng.integers(0, 90)))) for _ in range(60)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(F.levenshtein("a", "b")).collect()]
+    assert got == [solvers.distance(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (2, 4), (4, 2), (4, 4), (5, 6)])
+def test_assignment_is_the_cheapest(shape):
+    rng = np.random.default_rng(sum(shape))
+    for _ in range(30):
+        cost = rng.integers(0, 6, shape).astype(float)
+        found = solvers.assign(cost)
+        small, large = sorted(shape)
+        c = cost if shape[0] <= shape[1] else cost.T
+        best = min(sum(c[i, p[i]] for i in range(small)) for p in itertools.permutations(range(large), small))
+        assert len(found) == small and len({r for r, _ in found}) == small == len({k for _, k in found})
+        assert sum(cost[i, j] for i, j in found) == best
+
+
+def test_matchers():
+    assert solvers.quick(["alpha beta gamma", "something else"], ["alpha", "beta gamma", "something else"]) == [[0, 1], [2]]
+    assert solvers.quick(["one two three", "four five six"], ["one two three and then four five six"])[1] == [0]
+    assert solvers.full(["abc", "xyz"], ["abc", "q", "abc", "xyz"]) == [[2], [3]]
+    assert solvers.simple(["a", "b"], ["b", "a"]) == [[1], [0]]
+    for solver in solvers.SOLVERS.values():
+        assert solver([], ["x"]) == [] and solver(["x"], []) == [[]] and solver(["x"], ["completely other"]) == [[0]]
+        same = [f"line {w} of the page" for w in ("alpha", "bravo", "charlie", "delta")]
+        assert solver(same, same) == [[0], [1], [2], [3]]
+    assert solvers.contained("bcd", "abcde") == (0, 3) and solvers.contained("", "x") == (0, 0)
+
+
+MARKDOWN = "# Title\n\nSome **bold** [text](u).\n\n```py\ncode here\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n<table><tr><td>x</td></tr></table>\n\n$$ e=mc $$\n\n- item\n"
+
+
+def test_markdown_segments(spark):
+    got = one(spark, S.markdown_segments(F.col("t")), t=MARKDOWN)[0]
+    assert [(s.kind, s.text) for s in got] == [
+        ("text", "Title"), ("text", "Some bold text."), ("code", "code here"), ("md_table", "| a | b |\n|---|---|\n| 1 | 2 |"),
+        ("html_table", "<table><tr><td>x</td></tr></table>"), ("math", "e=mc"), ("text", "item"),
+    ]
+    assert one(spark, S.segments(F.col("t"), False), t="a\nb\r\nc")[0] == ["a", "b", "c"]
+    assert one(spark, S.segments(F.col("t")), t=None)[0] == []
+
+
+def test_normalization(spark):
+    got = lambda t, f: one(spark, f(F.col("t")), t=t)[0]
+    assert got("ﬁ ①  x\x1cy", lambda c: N.normalize(c)) == "fi 1 x y"
+    assert got("***a*** __b__ ~~c~~", N.emphasis) == "a b c"
+    assert got("ⓐ⑫", N.ringed) == "a12"
+    assert got("a____________b      c", N.long_runs) == "a____b    c"
+    assert got("-" * 30_000 + "\nabc", N.markup).strip() == "abc"
+    assert got("<think>x</think> y ", models.after_thinking) == "y"
+
+
+def test_boxes(spark):
+    box = lambda *v: G.box(*(F.lit(float(x)) for x in v))
+    r = one(spark, G.iou(box(0, 0, 0.5, 0.5), box(0.25, 0.25, 0.75, 0.75)))[0]
+    assert abs(r - 1 / 7) < 1e-12
+    pct = F.struct(*(F.lit(v).alias(k) for k, v in (("x", 10.0), ("y", 20.0), ("width", 30.0), ("height", 40.0), ("rotation", 0.0))))
+    b = one(spark, G.from_percent(pct))[0]
+    assert np.allclose(list(b), [0.1, 0.2, 0.4, 0.6])
+    turned = F.struct(*(F.lit(v).alias(k) for k, v in (("x", 25.0), ("y", 25.0), ("width", 50.0), ("height", 50.0), ("rotation", 45.0))))
+    a = one(spark, G.polygon_area(G.polygon(turned)), G.iou_polygon_box(G.polygon(turned), box(0, 0, 1, 1)), G.inside_polygon(F.lit(0.5), F.lit(0.5), G.polygon(turned)))
+    assert abs(a[0] - 0.25) < 1e-9 and abs(a[1] - 0.25) < 1e-9 and a[2]
+    mids = [i / 1000 for i in range(-100, 2000)] + [64.05, 99.3]
+    got = spark.createDataFrame([(m,) for m in mids], "m double").select("m", G.reading_row(G.box(F.lit(0.0), F.col("m"), F.lit(1.0), F.col("m")))).collect()
+    assert all(r == round(m, 1) for m, r in got if abs(m) < 64) and len(got) == len(mids)
+
+
+def test_exact_matches_have_no_distance(spark):
+    regions = spark.createDataFrame([("1", i, f"r{i}", t) for i, t in enumerate(["first part here", "second bit there", "third and last"])], "task_id string, gt_index int, region_id string, gt_raw string")
+    text = spark.createDataFrame([("1", "m", "third and last\n\nfirst part here\n\nsecond bit there")], "task_id string, model string, text string")
+    for mode in solvers.SOLVERS:
+        got = rows(align.align(regions, text, mode=mode).orderBy("gt_index"))
+        assert [r["pred_indices"] for r in got] == [[1], [2], [0]] and all(r["ned"] == 0 for r in got)
+    assert rows(align.unmatched_segments(align.align(regions.filter("gt_index < 2"), text, mode="simple"), text))[0]["segment"] == "third and last"
+
+
+def test_export_to_regions_and_manifest(spark, tmp_path):
+    value = {"x": 1, "y": 50, "width": 10, "height": 5}
+    result = [
+        {"id": "b", "type": "rectangle", "from_name": "bbox", "value": value}, {"id": "a", "type": "rectangle", "from_name": "bbox", "value": value | {"y": 2}},
+        {"id": "a", "type": "textarea", "from_name": "ground_truth_text", "value": {"text": ["two", "words"]}}, {"id": "b", "type": "textarea", "from_name": "ground_truth_text", "value": {"text": " x "}},
+        {"id": "a", "type": "choices", "from_name": "kind", "value": {"choices": ["old"]}}, {"id": "a", "type": "choices", "from_name": "kind", "value": {"choices": ["new"]}}, {"id": "c", "type": "textarea", "from_name": "ground_truth_text", "value": {"text": "no box"}},
+    ]
+    (tmp_path / "e.json").write_text(json.dumps({"tasks": [{"id": 7, "inner_id": 1, "data": {"image": "p.png"}, "annotations": [{"result": result}]}]}))
+    tasks = manifest.export_tasks(spark, str(tmp_path / "e.json"))
+    got = rows(manifest.export_regions(tasks).orderBy("gt_index"))
+    assert [(r["task_id"], r["gt_index"], r["region_id"], r["gt_raw"], r["choices"]) for r in got] == [("7", 0, "b", "x", {}), ("7", 1, "a", "two words", {"kind": ["new"]})]
+    assert [r["region_id"] for r in rows(manifest.export_regions(tasks, region_order="geometric").orderBy("gt_index"))] == ["a", "b"]
+    own = tasks.select("task_id", "inner_id", F.expr("map('image', 'p.png')").alias("data"), "source_export", "position")
+    manifest.save_manifest(own, manifest.export_regions(tasks), str(tmp_path / "m"))
+    _, again = manifest.load_manifest(spark, str(tmp_path / "m"))
+    assert [(r["region_id"], r["gt_raw"]) for r in rows(again.orderBy("gt_index"))] == [("b", "x"), ("a", "two words")]
+
+
+def test_json_texts(spark):
+    doc = {"body": {"children": [{"$ref": "#/texts/1"}, {"$ref": "#/texts/0"}, {"$ref": "#/none/0"}]}, "texts": [{"text": "a", "label": "text"}, {"text": "b", "label": "caption", "children": [{"text": "c", "label": "picture"}]}]}
+    assert J.layout_lines(doc) == ["b", "a"]
+    assert J.recognized({"x": [{"rec_texts": []}, {"rec_texts": ["l1", "l2"]}]}) == ["l1", "l2"]
+    assert one(spark, J.at_path(F.col("t"), "pages.0.body"), t='{"pages":[{"body":"hi"}]}')[0] == "hi"
+    assert one(spark, J.text_of(F.col("t")), t="not json")[0] is None
+
+
+def test_page_xml():
+    xml = '<P xmlns="n"><Page imageWidth="100" imageHeight="200"><TextRegion custom="structure {type:heading;}"><Coords points="10,20 50,60"/><TextLine><TextEquiv><Unicode>old</Unicode></TextEquiv><TextEquiv><Unicode>new</Unicode></TextEquiv></TextLine></TextRegion><TextRegion/></Page></P>'
+    r = manifest.page_regions(xml)
+    assert len(r) == 1 and r[0]["text"] == "new" and r[0]["region_type"] == "heading" and r[0]["bbox"] == {"x": 10, "y": 10, "width": 40, "height": 20}
+
+
+def test_reports_and_strata(spark, tmp_path):
+    regions = spark.createDataFrame([("1", 0, "r0", "some text here")], "task_id string, gt_index int, region_id string, gt_raw string")
+    texts = spark.createDataFrame([("1", "m", "some <b>text here")], "task_id string, model string, text string")
+    found = align.align(regions, texts, mode="simple")
+    metrics = align.task_metrics(found)
+    reports.write_alignments(reports.alignment_reports(found, metrics, "simple"), str(tmp_path / "a"))
+    (tmp_path / "a" / "broken.json").write_text("{nope")
+    back = reports.read_alignments(spark, str(tmp_path / "a"))
+    assert [r["task_id"] for r in rows(back)] == ["1"]
+    tasks = spark.createDataFrame([("1", {"src": " "})], "task_id string, data map<string,string>")
+    marked = regions.select("task_id", "gt_index", F.expr("map('k', array('', 'v'))").alias("choices"))
+    joined = strata.joined(back, tasks, marked, ["k", "none"], ["src", "gone"])
+    r = rows(joined)[0]
+    assert (r["_join"], r["k"], r["none"], r["task_data.src"], r["task_data.gone"]) == ("ok", "v", "__missing__", "__missing__", "")
+    assert "mean" in reports.text_table(strata.strata(joined, ["k"])) and reports.write_long_csv(joined, str(tmp_path / "csv"))
+    assert "&lt;b&gt;" not in reports.marked_diff("a", "a") and '<span class="ins">b</span>' in reports.marked_diff("a", "ab")
+
+
+def test_runs_and_timings(spark):
+    class Broken(runs.Recognizer):
+        def read(self, content):
+            raise ValueError("no")
+
+    runs.register("broken", Broken)
+    pages = spark.createDataFrame([(k, f"page {k}".encode()) for k in range(3)], "page_index int, content binary")
+    got = {r["model"]: r for r in rows(runs.results(runs.run(pages, ["Echo", "broken", "other"]).cache()))}
+    assert got["echo"]["status"] == "ok" and got["echo"]["total_chars"] == 18 + 2 * 22 and got["broken"]["status"] == "error" and got["broken"]["failed"] == 3
+    for n, want in ((1, (1, 1)), (3, (1, 3)), (4, (2, 4)), (8, (3, 7))):
+        r = runs.timings(spark.createDataFrame([("m", float(k)) for k in range(1, n + 1)], "model string, elapsed double")).first()
+        assert (r.p25, r.p75) == want and (n > 1 or r.std == 0)
+    assert [r["page_index"] for r in rows(runs.chosen_pages(pages, [2, 0, 2, 9]).orderBy("slot"))] == [2, 0, 2]
+
+
+def test_layout_lines(spark):
+    page = spark.createDataFrame([("1", ["a", " ", "b"], [[0.0, 0.0, 50.0, 10.0], [0.0, 0.0, 1.0, 1.0], [50.0, 90.0, 100.0, 100.0]])], "task_id string, rec_texts array<string>, rec_boxes array<array<double>>")
+    a, b = rows(predictions.line_spans(page)), rows(predictions.layout_spans(predictions.lines_as_layout(page)))
+    assert [x["text"] for x in a] == [x["text"] for x in b] == ["a", "b"]
+    assert np.allclose([list(x["box"].values()) for x in a], [list(x["box"].values()) for x in b])
+
+
+@pytest.mark.parametrize("name", ["ned_pairs", "strata_grouping_sets", "timing_stats", "box_iou_join", "quick_match"])
+def test_queries_run(spark, sf_dir, name):
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
