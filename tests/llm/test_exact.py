@@ -343,3 +343,15 @@ def test_lm_without_rows(spark):
     docs = odd_docs(spark)
     model, counted = lm.train(docs.filter("false"))
     assert all(r["score"] == r["base_score"] for r in rows(lm.score(docs, model, counted)))
+
+
+def test_url_rules_as_stated(spark):
+    """The verdicts written out, not taken from RULES."""
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://x.example.com/en/6": ("com/en/", "block"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://x.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://a.org/es/": ("org/es/", "block"), "http://a.org/en/": (None, "allow"), "http://com/": (None, "allow"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in rows(urlfilter.judge(pages))}
+    assert got == dict(enumerate(want.values()))
