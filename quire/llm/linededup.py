@@ -2,14 +2,20 @@
 
 A line (`\\n`-split) with a letter or digit is dropped if an equal line stands earlier: earlier in its
 document, or in a document with a smaller id. Lines of at least MIN_CHARS code points are also dropped if
-a line within THRESHOLD edits first occurs earlier (smaller document id, then position, then hash).
+a near line first occurs earlier (smaller document id, then position, then hash). Near are lines within
+THRESHOLD edits of characters, and lines within one edit of words (inserted, removed or changed) for every
+SHARE words of the line with more of them. Words are runs of characters above the space; from U+2E80 on
+(scripts written without spaces) each character is one.
 
 The edit join works on distinct lines. Each is cut into THRESHOLD + 1 segments; within so many edits one
 segment survives. Segments are indexed under (line length, segment number, segment); a line probes, for
 each length up to THRESHOLD shorter than its own, only the substrings that a segment could have become
 (the multi-match-aware window of positions). Candidates must agree in all but 2 * THRESHOLD of 32 parities
 of hashed characters, which the join itself tests, so that a segment shared by many lines yields few pairs;
-what is left is verified by banded bit-parallel edit distance. Until then lines move as hashes only; the
+what is left is verified by banded bit-parallel edit distance. For edits of words the same is done with words
+for characters, by bands of lengths: a band has one segment more than its longest lines may have edits, of a
+size that fits the shortest lines that these can be near to; lines look up their own band and are indexed in each
+that may look for them. Until verified lines move as hashes only; the
 texts of candidates are picked out at the scan by a bitmap of fixed largest size (it may let others through,
 which a join then drops).
 
@@ -32,9 +38,11 @@ from quire.llm import vectext as V
 from quire.llm.common import cut, stash, tidied
 from quire.llm.editdist import within
 
-THRESHOLD, MIN_CHARS = 2, 24
+THRESHOLD, MIN_CHARS, SHARE = 2, 24, 10
 LAST = (1 << 63) - 1
 WORDY = re.compile(r"[^\W_]")
+WIDE = 0x2E80
+WORD = re.compile(r"[^\x00-\x20\u2e80-\U0010ffff]+|[\u2e80-\U0010ffff]")
 
 
 def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +101,80 @@ def probes(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def word_hashes(points: np.ndarray, at: np.ndarray, total: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word (as WORD finds them) of lines given by code points and their prefix sums, and where each line's begin."""
+    gap, wide = points <= 0x20, points >= WIDE
+    edge = np.zeros(len(points) + 1, bool)  # whether a word cannot go on across the place before a character
+    edge[at] = True
+    edge[1:-1] |= gap[1:] | gap[:-1] | wide[1:] | wide[:-1]
+    starts, ends = np.flatnonzero(~gap & edge[:-1]), np.flatnonzero(~gap & edge[1:]) + 1
+    return V.mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, at)
+
+
+def band_edges(share: int) -> np.ndarray:
+    """Numbers of words at which bands begin; a line with fewer than the first has no edits of words."""
+    out = [share]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, out[-1] * 6 // 5))
+    return np.array(out, np.int64)
+
+
+def word_band(b: int, edges: np.ndarray, share: int) -> tuple[int, int, int]:
+    """The most edits in a band, the fewest words of a line near to one of its lines, and the size of a segment."""
+    most, low = int(edges[b + 1] - 1) // share, int(edges[b] - edges[b] // share)
+    return most, low, low // (most + 1)
+
+
+def word_segments(n: int, share: int) -> list[tuple[int, int, int, int]]:
+    """(band, segment, start, size) under which a line of n words is indexed; segments go without number where they are many."""
+    edges, out = band_edges(share), []
+    for b in range(max(0, int(np.searchsorted(edges, n, "right")) - 1), len(edges) - 1):
+        most, low, size = word_band(b, edges, share)
+        if n < low:
+            break
+        out += [(b, i if most <= 8 else 0, i * size, size) for i in range(most + 1)]
+    return out
+
+
+def word_probes(n: int, share: int) -> list[tuple[int, int, int, int]]:
+    """(band, segment, start, size) that a line of n words looks up, to find all near lines with at most as many words."""
+    edges = band_edges(share)
+    b, own = int(np.searchsorted(edges, n, "right")) - 1, n // share
+    if b < 0:
+        return []
+    most, low, size = word_band(b, edges, share)
+    out = set()
+    for i in range(own + 1):  # some segment is whole behind exactly i edits, which leaves own - i behind it
+        first, last = i * size - min(i, own - i), i * size + min(i, n - low + own - i)
+        out.update((b, i if most <= 8 else 0, p, size) for p in range(max(0, first), min(n - size, last) + 1))
+    return sorted(out)
+
+
+def word_distance(a: list[str], b: list[str]) -> int:
+    """Edits of words, bit-parallel over all of a."""
+    if not a or not b:
+        return len(a) or len(b)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    vp, vn, out = full, 0, len(a)
+    for x in b:
+        on = places.get(x, 0)
+        d = (((on & vp) + vp) ^ vp) | on
+        hp, hn = (vn | ~(d | vp)) & full, vp & d
+        out += bool(hp & last) - bool(hn & last)
+        hp, hn, on = hp << 1 | 1, hn << 1, on | vn
+        vp, vn = (hn | ~(on | hp)) & full, hp & on & full
+    return out
+
+
+def near_words(x: str, y: str, share: int) -> bool:
+    a, b = WORD.findall(x), WORD.findall(y)
+    most = max(len(a), len(b)) // share
+    return bool(most) and abs(len(a) - len(b)) <= most and word_distance(a, b) <= most
+
+
 def _occurrences(batches):
     for batch in batches:
         for first in range(0, len(batch), 512):
@@ -120,31 +202,46 @@ def _long_lines(batches, once: int = 200_000):
                 yield hs[i : i + 2048], lines[i : i + 2048]
 
 
-def _keys(plan, threshold: int):
-    """A function from documents to the hashed keys that plan (segments or probes of a length) names for their lines."""
+def _hashed(total: np.ndarray, down: np.ndarray, at: np.ndarray, plan, plans: dict[int, tuple[np.ndarray, ...]]):
+    """(keys, numbers of lines): for the lines of each length, the hashed spans that plan names; values by prefix sums."""
+    length = np.diff(at)
+    order = np.argsort(length, kind="stable")
+    for on in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+        n = int(length[on[0]])
+        if n not in plans:
+            if len(plans) > 4096:
+                plans.clear()
+            own = np.array(plan(n), np.int64).reshape(-1, 4)
+            plans[n] = own[:, 2], own[:, 2] + own[:, 3], V.mix((own[:, 0] << 4 | own[:, 1]).astype(np.uint64))
+        first, last, tag = plans[n]
+        for some in np.split(on, range(0, len(on), max(1, 1_000_000 // (len(tag) + 1)))[1:]):  # bounded, however long the lines are
+            start, end = at[some][:, None] + first, at[some][:, None] + last
+            yield V.mix((total[end] - total[start]) * down[start] + tag).ravel(), np.repeat(some, len(tag))
+
+
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = V.powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    return total, down
+
+
+def _keys(plan, word_plan):
+    """A function from documents to the hashed keys that the plans (segments or probes of a length) name for their lines:
+    even ones of characters, odd ones of words."""
 
     def run(batches):
         plans: dict[int, tuple[np.ndarray, ...]] = {}
+        word_plans: dict[int, tuple[np.ndarray, ...]] = {}
         for hs, lines in _long_lines(batches):
             points, at = code_points(lines)
-            up, down = V.powers(len(points) + 1)
-            total = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum((points + np.uint64(1)) * up[:-1], out=total[1:])
-            length = np.diff(at)
-            order = np.argsort(length, kind="stable")
-            keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for on in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
-                n = int(length[on[0]])
-                if n not in plans:
-                    if len(plans) > 4096:
-                        plans.clear()
-                    own = np.array(plan(n, threshold), np.int64)
-                    plans[n] = own[:, 2], own[:, 2] + own[:, 3], V.mix((own[:, 0] << 3 | own[:, 1]).astype(np.uint64))
-                first, last, tag = plans[n]
-                start, end = at[on][:, None] + first, at[on][:, None] + last
-                keys.append(V.mix((total[end] - total[start]) * down[start] + tag).ravel())
-                owner.append(np.repeat(hs[on], len(tag)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "h"])
+            total, down = _sums(points + np.uint64(1))
+            found = [(k & ~np.uint64(1), on) for k, on in _hashed(total, down, at, plan, plans)]
+            words, first = word_hashes(points, at, total, down)
+            total, down = _sums(words)
+            found += [(k | np.uint64(1), on) for k, on in _hashed(total, down, first, word_plan, word_plans)]
+            for k, on in found:
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(hs[on])], ["key", "h"])
 
     return run
 
@@ -183,11 +280,14 @@ def _index_plan(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return [(n, i, start, size) for i, (start, size) in enumerate(segments(n, threshold))]
 
 
-def _verify(threshold: int):
+def _verify(threshold: int, share: int):
     def run(batches):
         for batch in batches:
             if len(batch):
-                ok = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)
+                x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                ok = within(x, y, threshold)
+                for k in np.flatnonzero(~ok).tolist():
+                    ok[k] = near_words(x[k], y[k], share)
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -202,18 +302,19 @@ def owned(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
 
 
-def near_links(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): hashes of different lines within threshold edits, each pair once."""
-    index = rows.mapInArrow(tidied(_keys(_index_plan, threshold)), "key long, h long").distinct()
-    probe = rows.mapInArrow(tidied(_keys(probes, threshold)), "key long, h long").select("key", F.col("h").alias("h2"))
+def near_links(rows: DataFrame, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
+    """(a, b): hashes of different lines within threshold edits, or one edit of words for every `share` of them, each pair once."""
+    index = rows.mapInArrow(tidied(_keys(lambda n: _index_plan(n, threshold), lambda n: word_segments(n, share))), "key long, h long").distinct()
+    probe = rows.mapInArrow(tidied(_keys(lambda n: probes(n, threshold), lambda n: word_probes(n, share))), "key long, h long").select("key", F.col("h").alias("h2"))
     parities = F.col("h").bitwiseXOR(F.col("h2")).bitwiseAND(F.lit(0xFFFFFFFF))
-    met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & (F.bit_count(parities) <= 2 * threshold))
+    alike = (F.bit_count(parities) <= 2 * threshold) | (index.key.bitwiseAND(F.lit(1)) == 1)
+    met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & alike)
     pairs = cut(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted))
     texts = rows.mapInArrow(tidied(_texts(held)), "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold, share), "a long, b long"))
 
 
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
