@@ -21,7 +21,8 @@ which a join then drops).
 
 Lines are told apart by 64 bits: the parities and 32 bits of XXH64. Defined cases: lines without a letter or digit stay; a null text
 stays null; a document with text whose every lettered line is dropped has text of the rest (an empty
-text, if nothing); documents with a null id come last; repeated rows (same id) are one document.
+text, if nothing); documents with a null id come last; equal rows
+(same id and text) are one document; of others with the same id, or none, that with the smaller hash of its text is earlier.
 """
 
 from __future__ import annotations
@@ -180,9 +181,9 @@ def _occurrences(batches):
         for first in range(0, len(batch), 512):
             some = batch.slice(first, 512)
             found = [distinct_lines(t) for t in some.column(1).to_pylist()]
-            ids = some.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             at = pa.array([k for x in found for k, _ in x], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, at, pa.array(line_hashes([line for x in found for _, line in x]))], ["d", "at", "h"])
+            yield pa.RecordBatch.from_arrays([some.column(0).take(owner), some.column(2).take(owner), at, pa.array(line_hashes([line for x in found for _, line in x]))], ["d", "w", "at", "h"])
 
 
 def _long_lines(batches, once: int = 200_000):
@@ -299,7 +300,7 @@ def _few(df: DataFrame, most: int = 400_000) -> DataFrame:
 
 
 def owned(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text", F.xxhash64("text").alias("w"))
 
 
 def near_links(rows: DataFrame, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
@@ -318,22 +319,22 @@ def near_links(rows: DataFrame, threshold: int = THRESHOLD, share: int = SHARE)
 
 
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(d, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
+    """(d, w, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
     rows = owned(docs)
-    seen = stash(rows.mapInArrow(tidied(_occurrences), "d long, at int, h long"), "lines")
-    grouped = seen.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("k"))
-    firsts = stash(grouped.select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"), "k"), "line-firsts")
+    seen = stash(rows.mapInArrow(tidied(_occurrences), "d long, w long, at int, h long"), "lines")
+    grouped = seen.groupBy("h").agg(F.min(F.struct("d", "w", "at")).alias("f"), F.count("*").alias("k"))
+    firsts = stash(grouped.select("h", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.col("f.at").alias("at0"), "k"), "line-firsts")
     links = near_links(rows, threshold)
-    place = firsts.select("h", F.struct("d0", "at0").alias("f"))
+    place = firsts.select("h", F.struct("d0", "w0", "at0").alias("f"))
     sides = links.join(place.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a").join(place.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
     later = F.struct("fb", "b") < F.struct("fa", "a")
     ends = sides.select(F.explode(F.array(F.struct(F.col("a").alias("h"), later.alias("later")), F.struct(F.col("b").alias("h"), (~later).alias("later")))).alias("e"))
     near = ends.groupBy("e.h").agg(F.max("e.later").alias("near"), F.count("*").alias("links"))
-    repeated = firsts.filter("k > 1").select("h", "d0")
+    repeated = firsts.filter("k > 1").select("h", "d0", "w0")
     flags = repeated.join(near, "h", "full_outer")
-    hit = seen.join(flags, "h").select("d", "at", (F.col("d") > F.coalesce("d0", "d")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    hit = seen.join(flags, "h").select("d", "w", "at", (F.struct("d", "w") > F.struct(F.coalesce("d0", "d").alias("d"), F.coalesce("w0", "w").alias("w"))).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     hit = hit.filter("exact or near or links > 0").distinct()
-    return hit.groupBy("d").agg(
+    return hit.groupBy("d", "w").agg(
         F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("at"))).alias("ats"), F.sum(F.col("exact").cast("long")).alias("exact"),
         F.sum((F.col("near") & ~F.col("exact")).cast("long")).alias("near"), F.sum("links").alias("n_links"),
     )
@@ -358,8 +359,8 @@ def rewrite(text: str | None, drop) -> tuple[str | None, int, int, int]:
 
 def _with_fates(docs: DataFrame, threshold: int) -> tuple[DataFrame, list[str]]:
     names = docs.columns
-    held = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), docs["text"].alias("quire_text"), *(docs[f"`{c}`"].alias(f"quire_{k}") for k, c in enumerate(names)))
-    return held.join(_few(stash(fates(docs, threshold), "line-fates")), "d", "left"), names
+    held = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs["text"]).alias("w"), docs["text"].alias("quire_text"), *(docs[f"`{c}`"].alias(f"quire_{k}") for k, c in enumerate(names)))
+    return held.join(_few(stash(fates(docs, threshold), "line-fates")), ["d", "w"], "left"), names
 
 
 def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
