@@ -55,11 +55,11 @@ def _fingerprints(batches):
     for batch in batches:
         for first in range(0, len(batch), 256):
             some = batch.slice(first, 256)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([fingerprint(t) for t in some.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([fingerprint(t) for t in some.column(1).to_pylist()], pa.int64()), some.column(2)], ["doc_id", "fp", "w"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_fingerprints), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("w")).mapInArrow(tidied(_fingerprints), "doc_id long, fp long, w long")
 
 
 def anchors(x: Column) -> tuple[Column, Column]:
@@ -94,15 +94,15 @@ def links(points: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) of each row of docs."""
+    """doc_id, fp, component_id (the smallest doc_id reachable), w (hash of the text) and root (one fp of the component) of each row of docs."""
     fps = cut(fingerprints(docs))
     points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     joined = components(links(points))
     named = points.join(joined.withColumnRenamed("node", "fp"), "fp")
     lowest = named.groupBy("least").agg(F.min("low").alias("lowest"))
-    named = named.join(lowest, "least").select("fp", "lowest")
-    every = points.join(named, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return fps.join(every, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(lowest, "least").select("fp", "lowest", "least")
+    every = points.join(named, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("least", "fp").alias("root"))
+    return fps.join(every, "fp").select("doc_id", "fp", "component_id", "w", "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -110,10 +110,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: that with the smallest id. All columns stay; rows with a null id stay."""
-    found = cut(grouped(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first")))
-    own = free(docs, "quire_id")[0]
-    gone = found.filter("not first").select(F.col("doc_id").alias(own)).distinct()
-    out = docs.join(gone, docs["doc_id"].cast("long") == gone[own], "left_anti")
-    again = found.filter("first").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if again else out
+    """docs with one document of each group: that with the smallest id and, of these, the smallest hash of its text.
+    All columns stay; rows with a null id stay; rows with one id and different groups are told apart by their texts."""
+    found = cut(grouped(docs).filter("doc_id is not null").groupBy("root", "doc_id", "w").count())
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "w")).alias("best"))
+    found = found.join(best, "root").withColumn("first", F.struct("doc_id", "w") == F.col("best"))
+    own, text = free(docs, "quire_id", "quire_hash")
+    gone = found.filter("not first").select(F.col("doc_id").alias(own), F.col("w").alias(text))
+    out = docs.join(gone, (docs["doc_id"].cast("long") == gone[own]) & (F.xxhash64(docs["text"]) == gone[text]), "left_anti")
+    if not found.filter("first and count > 1").limit(1).count():
+        return out
+    with_id = out.filter("doc_id is not null").withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
+    return with_id.unionByName(out.filter("doc_id is null"))

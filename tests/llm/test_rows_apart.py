@@ -4,7 +4,7 @@ from collections import Counter
 
 import xxhash
 
-from quire.llm import linededup
+from quire.llm import linededup, simhash
 from tests.conftest import rows
 from tests.llm.fixtures import clashing, odd_docs
 
@@ -44,3 +44,13 @@ def test_line_dedup_keeps_rows_apart(spark):
     docs += [(r.doc_id, r.text) for r in odd_docs(spark).select("doc_id", "text").collect()]
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
     assert Counter((r["doc_id"], r["text"]) for r in rows(linededup.clean(df))) == brute_clean(docs)
+
+
+def test_simhash_keeps_rows_apart(spark):
+    a, b, c = ("one text of some words that stand here", "another text with words of its own in it", "third and last of the texts that differ")
+    docs = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, a), (None, c), (None, c), (None, None)]
+    df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    # b's only document with the smallest id is the one of id 2, whose other row is a copy of 1
+    assert Counter((r["doc_id"], r["text"]) for r in rows(kept)) == Counter([(1, a), (2, b), (4, c), (None, a), (None, c), (None, c), (None, None)])
