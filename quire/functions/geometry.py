@@ -46,14 +46,15 @@ def from_percent(p: Column) -> Column:
 
 
 def from_document(b: Column, page_width: Column, page_height: Column) -> Column:
-    """The box of struct(l, t, r, b, coord_origin): pixels where some coordinate exceeds 1.5, else shares;
-    y runs upwards where coord_origin says BOTTOMLEFT."""
+    """The box of struct(l, t, r, b), whose y runs upwards: pixels where some coordinate exceeds 1.5, else shares.
+    Null where a coordinate is missing or the page has no size. Boxes beyond the page stay as they are."""
     pixels = F.greatest(*(F.abs(b[k]) for k in "ltrb")) > 1.5
-    sx, sy = F.when(pixels, page_width).otherwise(F.lit(1.0)), F.when(pixels, page_height).otherwise(F.lit(1.0))
-    up = F.upper(F.coalesce(b["coord_origin"], F.lit(""))).contains("BOTTOM")
-    y = lambda k: F.when(up, 1 - b[k] / sy).otherwise(b[k] / sy)
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return box(unit(b["l"] / sx), unit(y("t")), unit(b["r"] / sx), unit(y("b")))
+    x = lambda k: F.when(pixels, b[k] / page_width).otherwise(b[k])
+    y = lambda k: F.when(pixels, (page_height - b[k]) / page_height).otherwise(1 - b[k])
+    there = F.lit(True)
+    for k in "ltrb":
+        there = there & b[k].isNotNull()
+    return F.when(there & (page_width > 0) & (page_height > 0), box(x("l"), y("t"), x("r"), y("b")))
 
 
 def polygon(p: Column) -> Column:

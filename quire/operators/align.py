@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import metrics as M
-from quire.functions.normalize import TextConfig, artifacts, normalize
+from quire.functions.normalize import TextConfig, artifacts, normalize, strip
 from quire.functions.segment import segments
+from quire.operators import order
 from quire.operators.parallel import spread
 from quire.operators.solvers import SOLVERS
 
@@ -99,11 +100,13 @@ def unmatched_segments(matches: DataFrame, predictions: DataFrame, config: TextC
 
 
 def document_metrics(regions: DataFrame, predictions: DataFrame, config: TextConfig = DEFAULT) -> DataFrame:
-    """NED, CER and WER of whole pages: regions in their order, a blank line between, against the whole prediction."""
-    gt = pages(regions).select("task_id", F.array_join(F.col("regions.gt_raw"), "\n\n").alias("gt"))
-    text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(BREAK_MARK), F.lit(""))
-    both = gt.join(predictions.select(F.col("task_id").cast("string").alias("task_id"), "model", (artifacts(text) if config.strip_artifacts else text).alias("pred")), "task_id")
-    both = both.select("task_id", "model", normalize(F.col("gt"), config).alias("gt"), normalize(F.col("pred"), config).alias("pred"))
+    """NED, CER and WER of whole pages: normalised regions in reading order (without boxes: in their own), a blank line
+    between those that are not empty, against the whole normalised prediction."""
+    placed = order.reading(regions) if "bbox" in regions.columns else regions.withColumn("place", F.col("gt_index"))
+    parts = placed.select(F.col("task_id").cast("string").alias("task_id"), "place", "gt_index", normalize(strip(F.coalesce("gt_raw", F.lit(""))), config).alias("t"))
+    gt = parts.groupBy("task_id").agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("place", "gt_index", "t")))).alias("p")).select("task_id", F.array_join(F.col("p.t"), "\n\n").alias("gt"))
+    pred = normalize(artifacts(F.coalesce("text", F.lit(""))), config)
+    both = gt.join(predictions.select(F.col("task_id").cast("string").alias("task_id"), "model", pred.alias("pred")), "task_id")
     a, b = F.col("gt"), F.col("pred")
     rows = spread(both, "task_id", "model").select("task_id", "model", M.distance(a, b).alias("d"), M.wer(a, b).alias("document_wer"), F.length(a).alias("document_gt_char_len"), F.length(b).alias("document_pred_char_len"))
     d, n, m = F.col("d"), F.col("document_gt_char_len"), F.col("document_pred_char_len")
@@ -111,6 +114,17 @@ def document_metrics(regions: DataFrame, predictions: DataFrame, config: TextCon
     return rows.select("task_id", "model", (d / F.greatest(n, m, F.lit(1))).alias("document_ned"), cer.alias("document_cer"), "document_wer", "document_gt_char_len", "document_pred_char_len")
 
 
+def notes(matches: DataFrame, predictions: DataFrame, regions: DataFrame, config: TextConfig = DEFAULT) -> DataFrame:
+    """(task_id, model, notes): what a page's scores do not show. no_gt_regions: the page has no regions;
+    unmatched_predictions=n: segments that no region took."""
+    pages_ = predictions.select(F.col("task_id").cast("string").alias("task_id"), F.col("model").cast("string").alias("model")).distinct()
+    known = regions.select(F.col("task_id").cast("string").alias("task_id"), F.lit(True).alias("quire_known")).distinct()
+    left = unmatched_segments(matches, predictions, config).groupBy("task_id", "model").agg(F.count("*").alias("quire_left"))
+    rows = pages_.join(known, "task_id", "left").join(left, ["task_id", "model"], "left")
+    said = F.when(F.col("quire_known").isNull(), F.array(F.lit("no_gt_regions"))).otherwise(F.array_compact(F.array(F.concat(F.lit("unmatched_predictions="), F.col("quire_left").cast("string")))))
+    return rows.select("task_id", "model", said.alias("notes"))
+
+
 def corpus_rates(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", *by: str) -> DataFrame:
     """Mean and micro CER and WER of all pairs (by columns)."""
     r, h = F.coalesce(F.col(ref), F.lit("")), F.coalesce(F.col(hyp), F.lit(""))

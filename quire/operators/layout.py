@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import metrics as M
 from quire.functions.normalize import TextConfig, normalize
+from quire.sources.predictions import layout_spans, line_spans
 
 MIN_IOU = 0.05
 
@@ -27,25 +28,24 @@ def region_shapes(regions: DataFrame) -> DataFrame:
 
 
 def overlaps(regions: DataFrame, spans: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
-    """(task_id, gt_index, span_index, iou) of all touching pairs. Boxes that share no area and no centre are dropped
-    by comparisons before any polygon is built."""
+    """(task_id, gt_index, span_index, iou, span, text) of all touching pairs. Boxes that share no area and no centre are
+    dropped by comparisons before any polygon is built."""
     shaped = region_shapes(regions).select("task_id", "gt_index", "box", "corners").filter("box is not null")
-    own = spans.select("task_id", "span_index", F.col("box").alias("span"))
+    own = spans.select("task_id", "span_index", F.col("box").alias("span"), F.col("text") if "text" in spans.columns else F.lit(None).cast("string").alias("text"))
     a, b = F.col("box"), F.col("span")
     apart = (a["x1"] < b["x0"]) | (b["x1"] < a["x0"]) | (a["y1"] < b["y0"]) | (b["y1"] < a["y0"])
     met = shaped.join(own, "task_id").filter(F.col("corners").isNotNull() | ~apart)
     met = met.filter(touches(a, F.col("corners"), b, min_iou))
     score = F.when(F.col("corners").isNotNull(), G.iou_polygon_box(F.col("corners"), b)).otherwise(G.iou(a, b))
-    return met.select("task_id", "gt_index", "span_index", score.alias("iou"))
+    return met.select("task_id", "gt_index", "span_index", score.alias("iou"), "span", "text")
 
 
 def align_layout(regions: DataFrame, spans: DataFrame, config: TextConfig = TextConfig(), min_iou: float = MIN_IOU) -> DataFrame:
     """A row for each region: the texts of its spans in reading order, one space between, and the score.
 
     Regions without a box have NED 1, whatever their text; a span may serve several regions."""
-    pairs = overlaps(regions, spans, min_iou).join(spans.select("task_id", "span_index", "text", F.col("box").alias("span")), ["task_id", "span_index"])
     order = F.struct(G.reading_row(F.col("span")).alias("row"), F.col("span")["x0"].alias("x"), "span_index", "text")
-    merged = pairs.groupBy("task_id", "gt_index").agg(F.array_sort(F.collect_list(order)).alias("parts"))
+    merged = overlaps(regions, spans, min_iou).groupBy("task_id", "gt_index").agg(F.array_sort(F.collect_list(order)).alias("parts"))
     out = regions.join(merged, ["task_id", "gt_index"], "left")
     pred = F.coalesce(F.array_join(F.col("parts.text"), " "), F.lit(""))
     out = out.select("task_id", "gt_index", "region_id", "bbox", F.coalesce("gt_raw", F.lit("")).alias("gt_raw"), pred.alias("pred_raw"), F.coalesce(F.col("parts.span_index"), F.array().cast("array<int>")).alias("pred_indices"))
@@ -63,3 +63,18 @@ def as_regions(spans: DataFrame) -> DataFrame:
     b = F.col("box")
     pct = F.struct((b["x0"] * 100).alias("x"), (b["y0"] * 100).alias("y"), ((b["x1"] - b["x0"]) * 100).alias("width"), ((b["y1"] - b["y0"]) * 100).alias("height"), F.lit(0.0).alias("rotation"))
     return spans.select("task_id", F.col("span_index").alias("gt_index"), F.concat(F.lit("span_"), F.col("span_index").cast("string")).alias("region_id"), pct.alias("bbox"), F.col("text").alias("gt_raw"))
+
+
+def align_recognizer_files(regions: DataFrame, pages: DataFrame, config: TextConfig = TextConfig(), min_iou: float = MIN_IOU) -> DataFrame:
+    """Regions against recognizer files (task_id, rec_texts, rec_boxes, as sources.predictions.recognizer_pages reads them)."""
+    return align_layout(regions, line_spans(pages), config, min_iou)
+
+
+def align_layout_files(regions: DataFrame, docs: DataFrame, config: TextConfig = TextConfig(), min_iou: float = MIN_IOU, page_no: int = 1) -> DataFrame:
+    """Regions against layout documents (task_id, pages, texts), one of them a task."""
+    return align_layout(regions, layout_spans(docs, page_no), config, min_iou)
+
+
+def align_documents(truth: DataFrame, predicted: DataFrame, config: TextConfig = TextConfig(), min_iou: float = MIN_IOU, page_no: int = 1) -> DataFrame:
+    """Two layout documents of each task with each other: the texts of the first are the regions."""
+    return align_layout(as_regions(layout_spans(truth, page_no)), layout_spans(predicted, page_no), config, min_iou)

@@ -17,9 +17,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """df written as Parquet in the shared folder (spark.checkpoint.dir) and read again: it survives lost executors."""
+    """df written as Parquet in the shared folder (spark.checkpoint.dir) and read again: it survives lost executors.
+    Only on a local master may the folder be left unset."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp(prefix="quire-")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,11 +41,12 @@ def last_tasks(tasks: DataFrame, position: str = "position") -> DataFrame:
 
 
 def joined(matches: DataFrame, tasks: DataFrame, regions: DataFrame, keys: list[str], data_keys: list[str] = [], by_region: bool = False) -> DataFrame:
-    """matches with _join (ok, no_task, bad_gt_index), a column for each choice key and task_data.<key> for each data key.
+    """matches with _join (ok, no_task, bad_gt_index; of tasks with one id the last counts), a column for each choice key and task_data.<key> for each data key.
 
     Rows that find no task or region are kept with sentinels. by_region: regions are found by region_id, else by gt_index."""
     own = matches.withColumn("task_id", key_of(F.col("task_id")))
-    known = tasks.select("task_id", F.col("data").alias("quire_data"), F.lit(True).alias("quire_task"))
+    ordered = tasks if "position" in tasks.columns else tasks.withColumn("position", F.monotonically_increasing_id())
+    known = last_tasks(ordered).select("task_id", F.col("data").alias("quire_data"), F.lit(True).alias("quire_task"))
     on = "region_id" if by_region else "gt_index"
     there = regions.select(key_of(F.col("task_id")).alias("task_id"), on, F.coalesce(F.col("choices"), F.expr("map()").cast("map<string,array<string>>")).alias("quire_choices")).dropDuplicates(["task_id", on])
     rows = own.join(known, "task_id", "left").join(there, ["task_id", on], "left")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +18,6 @@ MANIFEST = (
     "schema string, region_order string, tasks array<struct<task_id:string,inner_id:int,data:map<string,string>,source_export:string,"
     f"regions:array<struct<region_id:string,bbox_pct:{BOX},transcription_gt:string,choices:map<string,array<string>>>>>>"
 )
-SCHEMA_NAME = "ocr_ablation_gt_manifest_v1"
 
 
 def _text(value: Column) -> Column:
@@ -78,17 +74,37 @@ def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return tasks, each.select("task_id", "gt_index", "r.region_id", F.col("r.bbox_pct").alias("bbox"), F.coalesce("r.transcription_gt", F.lit("")).alias("gt_raw"), "r.choices")
 
 
-def save_manifest(tasks: DataFrame, regions: DataFrame, path: str, region_order: str = "first_seen") -> None:
-    """One JSON document; tasks with their regions in order. For manifests of a size that one file should hold."""
+def manifest_tasks(tasks: DataFrame, regions: DataFrame) -> DataFrame:
+    """(position, task): each task with its regions in order, in the form that manifests hold."""
     one = F.struct("gt_index", "region_id", F.col("bbox").alias("bbox_pct"), F.col("gt_raw").alias("transcription_gt"), "choices")
-    held = regions.groupBy("task_id").agg(F.collect_list(one).alias("r"))
-    held = held.withColumn("r", F.array_sort("r", lambda a, b: a["gt_index"] - b["gt_index"])).select("task_id", F.transform("r", lambda x: x.dropFields("gt_index")).alias("regions"))
-    rows = tasks.join(held, "task_id", "left")
-    all_tasks = F.struct("position", "task_id", "inner_id", "data", F.coalesce("regions", F.array()).alias("regions"), "source_export")
-    doc = rows.groupBy().agg(F.collect_list(all_tasks).alias("t")).select(F.lit(SCHEMA_NAME).alias("schema"), F.lit(region_order).alias("region_order"), F.transform(F.array_sort("t", lambda a, b: (a["position"] - b["position"]).cast("int")), lambda x: x.dropFields("position")).alias("tasks"))
+    held = regions.groupBy("task_id").agg(F.array_sort(F.collect_list(one), lambda a, b: a["gt_index"] - b["gt_index"]).alias("r"))
+    rows = tasks.join(held.select("task_id", F.transform("r", lambda x: x.dropFields("gt_index")).alias("regions")), "task_id", "left")
+    return rows.select("position", F.struct("task_id", "inner_id", "data", F.coalesce("regions", F.array()).alias("regions"), "source_export").alias("task"))
+
+
+def save_manifest(tasks: DataFrame, regions: DataFrame, path: str, region_order: str = "first_seen", schema: str = "manifest", most: int = 100_000) -> None:
+    """One JSON document, which one task has to hold: over `most` regions are an error (save_tasks has no bound)."""
+    if regions.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} regions are not for one document: use save_tasks")
+    rows = manifest_tasks(tasks, regions).agg(F.array_sort(F.collect_list(F.struct("position", "task")), lambda a, b: (a["position"] - b["position"]).cast("int")).alias("t"))
+    doc = rows.select(F.lit(schema).alias("schema"), F.lit(region_order).alias("region_order"), F.col("t.task").alias("tasks"))
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
+def save_tasks(tasks: DataFrame, regions: DataFrame, path: str) -> None:
+    """A manifest of any size: one task a line, in files as Spark writes them."""
+    rows = manifest_tasks(tasks, regions)
+    rows.select("position", "task.*").write.mode("overwrite").json(path)
+
+
+def load_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As load_manifest, of what save_tasks wrote."""
+    kinds = MANIFEST.split("tasks array<struct<", 1)[1].removesuffix(">>").replace("task_id:", "task_id ", 1).replace(",inner_id:", ", inner_id ", 1).replace(",data:", ", data ", 1).replace(",source_export:", ", source_export ", 1).replace(",regions:", ", regions ", 1)
+    rows = spark.read.schema(f"position long, {kinds}").json(path)
+    each = rows.select("task_id", F.posexplode("regions").alias("gt_index", "r"))
+    return rows.select("task_id", "inner_id", "data", "source_export", "position"), each.select("task_id", "gt_index", "r.region_id", F.col("r.bbox_pct").alias("bbox"), F.coalesce("r.transcription_gt", F.lit("")).alias("gt_raw"), "r.choices")
+
+
 def prediction_map(spark: SparkSession, path: str) -> DataFrame:
     """(task_id, path) of a JSON object."""
     raw = spark.read.text(path, wholetext=True)
@@ -97,8 +113,9 @@ def prediction_map(spark: SparkSession, path: str) -> DataFrame:
 
 # PAGE-XML
 
-# Types of regions and what they are called here.
-REGION_TYPES = {"paragraph": "paragraph", "heading": "heading", "header": "header", "footer": "footer", "caption": "caption", "marginalia": "marginalia", "page-number": "page-number", "table": "table", "signature": "signature"}
+# What the types of regions are called here; any other is a paragraph.
+REGION_TYPES = {"text": "paragraph", "paragraph": "paragraph", "header": "header", "footer": "footer", "table": "table_cell", "tablecell": "table_cell", "form": "form_field", "field": "form_field", "handwritten": "handwritten"}
+REGION_TYPE = re.compile(r"type:([^;]+);")
 PAGE = "array<struct<region_id:string,text_id:string,bbox:struct<x:double,y:double,width:double,height:double>,region_type:string,text:string,page_width:int,page_height:int>>"
 
 
@@ -106,33 +123,45 @@ def _local(element: ET.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def _line_text(element: ET.Element) -> str:
-    """The last transcription of a line or region."""
-    found = [u.text or "" for e in element if _local(e) == "TextEquiv" for u in e if _local(u) == "Unicode"]
-    return found[-1] if found else ""
+def _last_text(equivalents: list[ET.Element]) -> str:
+    """The last of several transcriptions, stripped."""
+    return (equivalents[-1].text or "").strip() if equivalents else ""
+
+
+def _under(element: ET.Element, *names: str) -> list[ET.Element]:
+    """Descendants of a name, then children of each further name below them."""
+    found = [e for e in element.iter() if _local(e) == names[0] and e is not element]
+    for name in names[1:]:
+        found = [e for parent in found for e in parent if _local(e) == name]
+    return found
+
+
+def region_type(custom: str) -> str:
+    found = REGION_TYPE.search(custom)
+    return REGION_TYPES.get(found[1].lower().replace(" ", "").strip(), "paragraph") if found else "paragraph"
 
 
 def page_regions(xml: str) -> list[dict]:
-    """Regions with corners: box in percent of the page, type, and the lines' text (or the region's own)."""
+    """Regions with corners: box in percent of the page, type, and the text of all lines in them (or their own)."""
     page = next((e for e in ET.fromstring(xml).iter() if _local(e) == "Page"), None)
     if page is None:
-        return []
-    width, height = int(page.get("imageWidth", 0)), int(page.get("imageHeight", 0))
+        raise ValueError("no Page in the XML")
+    width, height = float(page.get("imageWidth") or 0), float(page.get("imageHeight") or 0)
     share = lambda v, total: 100.0 * v / total if total else 0.0
     out: list[dict] = []
-    for region in (e for e in page.iter() if _local(e) == "TextRegion"):
-        corners = next((e.get("points", "") for e in region if _local(e) == "Coords"), "")
+    for region in _under(page, "TextRegion"):
+        corners = next((e.get("points") or "" for e in region if _local(e) == "Coords"), "")
         points = [tuple(map(float, p.split(","))) for p in corners.split()]
         if not points:
             continue
         xs, ys = zip(*points, strict=True)
-        kind = re.search(r"type:([^;]+);", region.get("custom", ""))
-        lines = [t for t in (_line_text(e) for e in region if _local(e) == "TextLine") if t]
+        lines = [_last_text(_under(line, "TextEquiv", "Unicode")) for line in _under(region, "TextLine")]
+        own = [u for e in region if _local(e) == "TextEquiv" for u in e if _local(u) == "Unicode"]
         k = len(out)
         out.append({
             "region_id": f"r{k}", "text_id": f"t{k}",
             "bbox": {"x": share(min(xs), width), "y": share(min(ys), height), "width": share(max(xs) - min(xs), width), "height": share(max(ys) - min(ys), height)},
-            "region_type": REGION_TYPES.get(kind[1].strip(), "paragraph") if kind else "paragraph", "text": "\n".join(lines) or _line_text(region), "page_width": width, "page_height": height,
+            "region_type": region_type(region.get("custom") or ""), "text": "\n".join(filter(None, lines)) or _last_text(own), "page_width": int(width), "page_height": int(height),
         })
     return out
 
@@ -162,7 +191,3 @@ def page_tasks(regions: DataFrame, images: dict[str, str]) -> DataFrame:
     rows = regions.withColumn("name", F.element_at(F.split("path", "/"), -1)).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("gt_index", F.array(shape, text).alias("r")))).alias("all"))
     out = F.struct(F.struct("image").alias("data"), F.array(F.struct(F.flatten(F.col("all.r")).alias("result"))).alias("predictions"))
     return rows.join(known, "name").select("name", F.to_json(out).alias("task"))
-
-
-def json_lines(rows: Iterator[dict]) -> str:
-    return "\n".join(json.dumps(r, ensure_ascii=False) for r in rows)

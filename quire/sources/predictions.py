@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,18 @@ BOX4 = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
 LAYOUT = f"pages map<string,struct<size:struct<width:double,height:double>>>, texts array<struct<text:string,orig:string,label:string,prov:array<struct<page_no:int,bbox:{BOX4}>>>>"
 
 
-def page_texts(spark: SparkSession, path: str, how: str = "auto", json_key: str | None = None) -> DataFrame:
-    """(path, task_id, text) of a folder's files, whole. auto: *.json by well-known keys (or json_key), others as they stand."""
+def page_texts(spark: SparkSession, path: str, form: str = "auto", json_key: str | None = None, native: bool = True) -> DataFrame:
+    """(path, task_id, text, error) of a folder's files, whole. form: auto (by the suffix), text or json; native: files
+    with the names of recognizer or layout output are read by their own form. What cannot be read has an error."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
     name = F.element_at(F.split("path", "/"), -1)
-    task = F.regexp_replace(name, "\\.[^.]*$", "")
-    is_json = F.lower("path").endswith(".json") if how == "auto" else F.lit(how == "json")
-    body = F.when(is_json, F.col("raw"))
-    found = J.at_path(body, json_key) if json_key else J.text_of(body)
-    return raw.select("path", task.alias("task_id"), F.when(is_json, found).otherwise(F.col("raw")).alias("text"))
+    read = raw.select("path", F.regexp_replace(name, "\\.[^.]*$", "").alias("task_id"), J.file_texts(name, F.col("raw"), form, json_key, native).alias("r"))
+    return read.select("path", "task_id", "r.text", "r.error")
+
+
+def default_path(folder: str, task_id: Column, suffix: str = ".md") -> Column:
+    """Where a task's prediction lies if no map names it."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), task_id.cast("string"), F.lit(suffix))
 
 
 def mapped(tasks: DataFrame, paths: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,10 +51,22 @@ def resolved(wanted: DataFrame, there: DataFrame, folder: str, **more) -> DataFr
     return met.groupBy("task_id", "path").agg(F.min_by("try", F.when(F.col("ok"), F.col("rank"))).alias("found"))
 
 
-def document_index(path: Column, explicit: Column, inner_id: Column, n: Column) -> Column:
-    """Which of a list's documents: the explicit index, the page number in the path, inner_id - 1, or the first; within bounds."""
+def wanted_index(path: Column, explicit: Column, inner_id: Column) -> Column:
     from_path = F.nullif(F.regexp_extract(path, "(?i)page_(\\d+)", 1), F.lit("")).cast("int")
-    return F.greatest(F.lit(0), F.least(F.coalesce(explicit, from_path, inner_id - 1, F.lit(0)), n - 1))
+    return F.coalesce(explicit, from_path, inner_id - 1, F.lit(0))
+
+
+def document_index(path: Column, explicit: Column, inner_id: Column, n: Column) -> Column:
+    """Which of a list's documents: the explicit index, the page number in the path, inner_id - 1, or the first; within
+    bounds. An empty list is an error."""
+    at = F.greatest(F.lit(0), F.least(wanted_index(path, explicit, inner_id), n - 1))
+    return F.when(n <= 0, F.raise_error(F.lit("an empty list of documents"))).otherwise(at)
+
+
+def index_note(path: Column, explicit: Column, inner_id: Column, n: Column) -> Column:
+    """A note where the wanted index lies outside the list, else null."""
+    at = wanted_index(path, explicit, inner_id)
+    return F.when((at < 0) | (at >= n), F.format_string("document index %s of %s was clamped", at, n))
 
 
 def layout_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +81,9 @@ def layout_documents(spark: SparkSession, path: str) -> DataFrame:
 def layout_spans(docs: DataFrame, page_no: int = 1, key: str = "task_id") -> DataFrame:
     """(key, span_index, text, box, page_no): texts with a place on the page, the first that has an area."""
     size = F.coalesce(F.try_element_at("pages", F.lit(str(page_no))), F.get(F.map_values("pages"), F.lit(0)))["size"]
-    rows = docs.select(key, size.alias("size"), F.posexplode("texts").alias("span_index", "t")).filter("size.width > 0 and size.height > 0")
+    flat = size.isNull() | (size["width"] <= 0) | (size["height"] <= 0)
+    sized = F.when(flat, F.raise_error(F.lit("a page of a layout document has no size"))).otherwise(size)
+    rows = docs.select(key, sized.alias("size"), F.posexplode("texts").alias("span_index", "t"))
     w, h = F.col("size.width"), F.col("size.height")
     text = strip(F.coalesce(F.nullif(strip(F.col("t.text")), F.lit("")), F.col("t.orig"), F.lit("")))
     placed = F.filter(F.col("t.prov"), lambda p: (p["page_no"].isNull() | (p["page_no"] == page_no)) & p["bbox"].isNotNull() & (G.area(G.from_document(p["bbox"], w, h)) > 0))
@@ -74,6 +92,23 @@ def layout_spans(docs: DataFrame, page_no: int = 1, key: str = "task_id") -> Dat
     return out.filter("text <> '' and box is not null")
 
 
+def recognizer_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rec_texts, rec_boxes, error) of recognizer files, one page a file."""
+
+    @F.pandas_udf("rec_texts array<string>, rec_boxes array<array<double>>, error string")
+    def run(raws: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw in raws:
+            try:
+                out.append((*J.lines_and_boxes(raw or ""), None))
+            except (ValueError, TypeError) as problem:
+                out.append((None, None, str(problem)))
+        return pd.DataFrame(out, columns=["rec_texts", "rec_boxes", "error"])
+
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), run("value").alias("r"))
+    return raw.select("path", "r.*")
+
+
 def line_spans(pages: DataFrame, key: str = "task_id") -> DataFrame:
     """Spans of recognizer lines (rec_texts, rec_boxes in pixels). The page's size is the farthest right and bottom of any
     box, at least 1; arrays of unlike length are an error."""
@@ -101,12 +136,11 @@ def lines_as_layout(pages: DataFrame, key: str = "task_id") -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_index, path, content) of a folder's images by path."""
+    """(page_index, path, content) of a folder's images by path. Places are dealt over the paths alone, all of which Spark's
+    own listing holds on the driver already; the contents stay where they are read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", IMAGES).load(folder)
-    # places are dealt on the paths alone; the contents stay where they are read
-    order = raw.select("path").rdd.map(lambda r: r[0]).sortBy(lambda p: p).zipWithIndex()
-    places = order.toDF("path string, page_index long") if not raw.select("path").isEmpty() else spark.createDataFrame([], "path string, page_index long")
-    return raw.join(places, "path").select(F.col("page_index").cast("int").alias("page_index"), "path", "content")
+    places = raw.agg(F.array_sort(F.collect_list("path")).alias("paths")).select(F.posexplode("paths").alias("page_index", "path"))
+    return raw.join(places, "path").select("page_index", "path", "content")
 
 
 def sidecars(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
@@ -114,3 +148,17 @@ def sidecars(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFram
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter=glob).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
     parsed = F.try_parse_json("raw")
     return raw.select("path", F.to_json(parsed).alias("value"), F.when(parsed.isNull(), F.lit("not valid JSON")).alias("error"))
+
+
+def page_images(wanted: DataFrame, there: DataFrame, base: str, images: str | None = None) -> DataFrame:
+    """wanted (task_id, image) with `found`, the first place where the image exists in there (path): as named, under base,
+    under the images folder by its name, or by what stands behind the first hyphen of its name (upload prefixes)."""
+    name = F.element_at(F.split(F.trim("image"), "/"), -1)
+    places = [F.trim("image"), F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(F.trim("image"), "^/+", ""))]
+    if images is not None:
+        folder = F.lit(images.rstrip("/") + "/")
+        places += [F.concat(folder, name), F.when(name.contains("-"), F.concat(folder, F.regexp_replace(name, "^[^-]*-", "")))]
+    tried = F.when(F.trim("image") != "", F.array_compact(F.array(*places))).otherwise(F.array().cast("array<string>"))
+    rows = wanted.select("task_id", "image", F.posexplode_outer(tried).alias("rank", "try"))
+    met = rows.join(there.select(F.col("path").alias("try"), F.lit(True).alias("ok")).distinct(), "try", "left")
+    return met.groupBy("task_id", "image").agg(F.min_by("try", F.when(F.col("ok"), F.col("rank"))).alias("found"))

