@@ -1,34 +1,40 @@
 """Line dedup: exact repeats, and a segment-partition edit join for near repeats.
 
 A line (`\\n`-split) with a letter or digit is dropped if an equal line stands earlier: earlier in its
-document, or in a document with a smaller id. Lines of at least MIN_CHARS code points are also dropped if
-a near line first occurs earlier (smaller document id, then position, then hash). Near are lines within
-THRESHOLD edits of characters, and lines within one edit of words (inserted, removed or changed) for every
-SHARE words of the line with more of them. Words are runs of characters above the space; from U+2E80 on
-(scripts written without spaces) each character is one.
-
-The edit join works on distinct lines. Each is cut into THRESHOLD + 1 segments; within so many edits one
-segment survives. Segments are indexed under (line length, segment number, segment); a line probes, for
-each length up to THRESHOLD shorter than its own, only the substrings that a segment could have become
-(the multi-match-aware window of positions). Candidates must agree in all but 2 * THRESHOLD of 32 parities
-of hashed characters, which the join itself tests, so that a segment shared by many lines yields few pairs;
-what is left is verified by banded bit-parallel edit distance. For edits of words the same is done with words
-for characters, by bands of lengths: a band has one segment more than its longest lines may have edits, of a
-size that fits the shortest lines that these can be near to; lines look up their own band and are indexed in each
-that may look for them. Until verified lines move as hashes only; the
-texts of candidates are picked out at the scan by a bitmap of fixed largest size (it may let others through,
-which a join then drops).
-
-Lines are told apart by 64 bits: the parities and 32 bits of XXH64. Defined cases: lines without a letter or digit stay; a null text
-stays null; a document with text whose every lettered line is dropped has text of the rest (an empty
-text, if nothing); documents with a null id come last; equal rows
-(same id and text) are one document; of others with the same id, or none, that with the smaller hash of its text is earlier.
+document, or in an earlier document (smaller id; of equal or null ids, null ones last, smaller hash of the text).
+Near lines make classes: a line is dropped if another line of its class first occurs earlier. Near are lines of at
+least MIN_CHARS code points within THRESHOLD edits of characters (shorter ones: equal lines only), and lines within
+one edit of words (inserted, removed or changed) for every SHARE words of the longer one; from WORDS_SUFFICE words on
+words alone decide, of which an edit of a character is two at most. Words are runs of
+characters above the space; from U+2E80 on (scripts written without spaces) each character is one. A class is
+whatever near lines connect; its number of links is, for each line, the number of the other lines in it.
+
+The edit join works on distinct lines, each cut into one segment more than the edits that are looked for: some
+segment survives. By characters, segments are indexed under (line length, segment number, segment), and a line
+probes, for each length up to THRESHOLD shorter than its own, only the substrings that a segment could have become
+(the multi-match-aware window of positions). By words, bands of lengths take the place of lengths: a line looks up
+its own band and is indexed in each that may look for it; of a segment, and of a substring, only the GRAM words
+that hash lowest stand as its key, so that neighbouring substrings mostly share one.
+
+Keys travel as packed arrays, one row for each task and bucket of keys. In a bucket, the lines that share a key are
+each paired with one of them only (within a task already, where a key has many lines): rows grow with the lines,
+not with their pairs. Pairs are verified on the texts by banded bit-parallel edit distance and give the first
+classes; where lines that share a key are left in different ones, these are compared with the rest, after parities
+of characters and words that every edit changes by two at most. Texts of candidates are picked out at the scan by a
+bitmap of fixed largest size (it may let others through, which a join then drops).
+
+Defined cases: equal lines are told by 126 bits of a hash; lines without a letter or digit stay; a null text stays
+null; an empty text stays empty; a document with text whose every lettered line is dropped has text of the rest
+(clean() lets such a document go if only blanks are left); equal rows (same id and text) are one document; ties of
+place are broken by id, text hash, position and line hash; very long lines and texts are taken whole, in arrays of
+bounded size; an empty table gives no rows; extra columns of any name are carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,13 @@ from pyspark.sql import functions as F
 
 from quire.llm import vectext as V
 from quire.llm.common import cut, stash, tidied
+from quire.llm.components import components
 from quire.llm.editdist import within
 
 THRESHOLD, MIN_CHARS, SHARE = 2, 24, 10
+#: Words whose lowest hash stands for a segment; words from which on lines are compared by words alone.
+GRAM = 4
+WORDS_SUFFICE = 2 * THRESHOLD * SHARE
 LAST = (1 << 63) - 1
 WORDY = re.compile(r"[^\W_]")
 WIDE = 0x2E80
@@ -53,21 +63,13 @@ def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
-def line_hashes(lines: list[str]) -> np.ndarray:
-    """64 bits for each (not empty) line: 32 of its hash, then 32 parities, each of the number of its characters
-    in one of 32 classes. One edit changes at most two parities."""
+def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """126 bits for each line as two numbers; the first is not negative and leaves room for one bit more."""
     import xxhash
 
-    if not lines:
-        return np.zeros(0, np.int64)
-    points, at = code_points(lines)
-    odd = np.bitwise_xor.reduceat(np.uint32(1) << ((points * np.uint32(2654435761)) >> np.uint32(27)), at[:-1])
-    own = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) >> 32 for x in lines), np.uint64, len(lines))
-    return (own << np.uint64(32) | odd).view(np.int64)
-
-
-def line_hash(line: str) -> int:
-    return int(line_hashes([line])[0])
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<u8").reshape(-1, 2)
+    return (both[:, 0] >> np.uint64(2)).astype(np.int64), both[:, 1].view(np.int64)
 
 
 def distinct_lines(text: str | None) -> list[tuple[int, str]]:
@@ -79,6 +81,9 @@ def distinct_lines(text: str | None) -> list[tuple[int, str]]:
     return [(k, line) for line, k in seen.items()]
 
 
+# plans: which parts of a line are indexed and looked up
+
+
 def segments(n: int, threshold: int) -> list[tuple[int, int]]:
     """(start, length) of the segments of a line of n characters; the longer ones last."""
     short, more = divmod(n, threshold + 1)
@@ -102,21 +107,11 @@ def probes(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def word_hashes(points: np.ndarray, at: np.ndarray, total: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word (as WORD finds them) of lines given by code points and their prefix sums, and where each line's begin."""
-    gap, wide = points <= 0x20, points >= WIDE
-    edge = np.zeros(len(points) + 1, bool)  # whether a word cannot go on across the place before a character
-    edge[at] = True
-    edge[1:-1] |= gap[1:] | gap[:-1] | wide[1:] | wide[:-1]
-    starts, ends = np.flatnonzero(~gap & edge[:-1]), np.flatnonzero(~gap & edge[1:]) + 1
-    return V.mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, at)
-
-
 def band_edges(share: int) -> np.ndarray:
-    """Numbers of words at which bands begin; a line with fewer than the first has no edits of words."""
+    """Numbers of words at which bands begin, multiples of share; a line with fewer than the first has no edits of words."""
     out = [share]
     while out[-1] < 1 << 31:
-        out.append(max(out[-1] + 1, out[-1] * 6 // 5))
+        out.append(out[-1] + share * max(1, out[-1] // share // 5))
     return np.array(out, np.int64)
 
 
@@ -126,29 +121,38 @@ def word_band(b: int, edges: np.ndarray, share: int) -> tuple[int, int, int]:
     return most, low, low // (most + 1)
 
 
-def word_segments(n: int, share: int) -> list[tuple[int, int, int, int]]:
+#: Segments of a band are numbered in their keys up to so many edits.
+NUMBERED = 8
+
+
+def word_segments(n: int, share: int, edges: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(band, segment, start, size) under which a line of n words is indexed; segments go without number where they are many."""
-    edges, out = band_edges(share), []
+    edges, out = band_edges(share) if edges is None else edges, []
     for b in range(max(0, int(np.searchsorted(edges, n, "right")) - 1), len(edges) - 1):
         most, low, size = word_band(b, edges, share)
         if n < low:
             break
-        out += [(b, i if most <= 8 else 0, i * size, size) for i in range(most + 1)]
+        out += [(b, i if most <= NUMBERED else 0, i * size, size) for i in range(most + 1)]
     return out
 
 
-def word_probes(n: int, share: int) -> list[tuple[int, int, int, int]]:
+def word_probes(n: int, share: int, edges: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(band, segment, start, size) that a line of n words looks up, to find all near lines with at most as many words."""
-    edges = band_edges(share)
+    edges = band_edges(share) if edges is None else edges
     b, own = int(np.searchsorted(edges, n, "right")) - 1, n // share
     if b < 0:
         return []
     most, low, size = word_band(b, edges, share)
-    out = set()
-    for i in range(own + 1):  # some segment is whole behind exactly i edits, which leaves own - i behind it
-        first, last = i * size - min(i, own - i), i * size + min(i, n - low + own - i)
-        out.update((b, i if most <= 8 else 0, p, size) for p in range(max(0, first), min(n - size, last) + 1))
-    return sorted(out)
+    i = np.arange(own + 1)  # some segment is whole behind exactly i edits, which leaves own - i behind it
+    first = np.maximum(0, i * size - np.minimum(i, own - i))
+    last = np.minimum(n - size, i * size + np.minimum(i, n - low + own - i))
+    if most <= NUMBERED:
+        return [(b, int(k), p, size) for k in i for p in range(int(first[k]), int(last[k]) + 1)]
+    step = np.zeros(n + 2, np.int64)
+    on = first <= last
+    np.add.at(step, first[on], 1)
+    np.add.at(step, last[on] + 1, -1)
+    return [(b, 0, p, size) for p in np.flatnonzero(np.cumsum(step)).tolist()]
 
 
 def word_distance(a: list[str], b: list[str]) -> int:
@@ -176,77 +180,250 @@ def near_words(x: str, y: str, share: int) -> bool:
     return bool(most) and abs(len(a) - len(b)) <= most and word_distance(a, b) <= most
 
 
-def _occurrences(batches):
-    for batch in batches:
-        for first in range(0, len(batch), 512):
-            some = batch.slice(first, 512)
-            found = [distinct_lines(t) for t in some.column(1).to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            at = pa.array([k for x in found for k, _ in x], pa.int32())
-            yield pa.RecordBatch.from_arrays([some.column(0).take(owner), some.column(2).take(owner), at, pa.array(line_hashes([line for x in found for _, line in x]))], ["d", "w", "at", "h"])
-
-
-def _long_lines(batches, once: int = 200_000):
-    """Lines that take part in the edit join, as (hashes, lines); what a task has seen lately is left out."""
-    seen: set[int] = set()
-    for batch in batches:
-        for first in range(0, len(batch), 1024):
-            texts = batch.column(1).slice(first, 1024).to_pylist()
-            lines = [x for x in {line for t in texts if t for line in t.split("\n") if len(line) >= MIN_CHARS} if WORDY.search(x)]
-            hs = line_hashes(lines)
-            new = np.array([h not in seen for h in hs.tolist()], bool)
-            lines, hs = [x for x, on in zip(lines, new.tolist(), strict=True) if on], hs[new]
-            if len(seen) + len(hs) > once:
-                seen.clear()
-            seen.update(hs.tolist())
-            for i in range(0, len(lines), 2048):
-                yield hs[i : i + 2048], lines[i : i + 2048]
-
-
-def _hashed(total: np.ndarray, down: np.ndarray, at: np.ndarray, plan, plans: dict[int, tuple[np.ndarray, ...]]):
-    """(keys, numbers of lines): for the lines of each length, the hashed spans that plan names; values by prefix sums."""
-    length = np.diff(at)
-    order = np.argsort(length, kind="stable")
-    for on in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
-        n = int(length[on[0]])
-        if n not in plans:
-            if len(plans) > 4096:
-                plans.clear()
-            own = np.array(plan(n), np.int64).reshape(-1, 4)
-            plans[n] = own[:, 2], own[:, 2] + own[:, 3], V.mix((own[:, 0] << 4 | own[:, 1]).astype(np.uint64))
-        first, last, tag = plans[n]
-        for some in np.split(on, range(0, len(on), max(1, 1_000_000 // (len(tag) + 1)))[1:]):  # bounded, however long the lines are
-            start, end = at[some][:, None] + first, at[some][:, None] + last
-            yield V.mix((total[end] - total[start]) * down[start] + tag).ravel(), np.repeat(some, len(tag))
-
-
 def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the values times powers of a base, and the inverse powers: hashes of any span follow from them."""
     up, down = V.powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=total[1:])
     return total, down
 
 
-def _keys(plan, word_plan):
-    """A function from documents to the hashed keys that the plans (segments or probes of a length) name for their lines:
-    even ones of characters, odd ones of words."""
+def _spans(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total, down = sums
+    return (total[end] - total[start]) * down[start]
+
+
+class Lines:
+    """A batch of lines as arrays: characters, hashes of words, and where each line's begin."""
+
+    def __init__(self, lines: list[str]):
+        self.points, self.at = code_points(lines)
+        self.sums = _sums(self.points + np.uint64(1))
+        gap, wide = self.points <= 0x20, self.points >= WIDE
+        edge = np.zeros(len(self.points) + 1, bool)  # whether a word cannot go on across the place before a character
+        edge[self.at] = True
+        edge[1:-1] |= gap[1:] | gap[:-1] | wide[1:] | wide[:-1]
+        starts, ends = np.flatnonzero(~gap & edge[:-1]), np.flatnonzero(~gap & edge[1:]) + 1
+        self.words, self.first = V.mix(_spans(self.sums, starts, ends)), np.searchsorted(starts, self.at)
+
+    def sketches(self) -> np.ndarray:
+        """32 parities of characters, then 32 of words, each of how many of a line's lie in one of 32 classes. One edit
+        changes at most two parities of either."""
+        bit = lambda x: np.uint32(1) << x.astype(np.uint32)
+        odd = lambda bits, at: np.where(np.diff(at) > 0, np.bitwise_xor.reduceat(np.append(bits, np.uint32(0)), at[:-1]), 0).astype(np.uint64)
+        letters = odd(bit((self.points * np.uint32(2654435761)) >> np.uint32(27)), self.at)
+        return (letters << np.uint64(32) | odd(bit(self.words >> np.uint64(59)), self.first)).view(np.int64)
+
+
+class Keys:
+    """The hashed keys of lines; plans of lengths are worked out once."""
+
+    def __init__(self, threshold: int, share: int):
+        self.threshold, self.share, self.edges = threshold, share, band_edges(share)
+        self.plans: dict[tuple[str, int, int], tuple[np.ndarray, ...]] = {}
+
+    def plan(self, kind: str, n: int, role: int) -> tuple[np.ndarray, ...]:
+        """Tags, starts, sizes, and whether a span is another than those that the line is indexed under.
+        kind: chars or words; role: 1 what is indexed, 0 what is looked up."""
+        if (kind, n, role) not in self.plans:
+            if len(self.plans) > 4096:
+                self.plans.clear()
+            if kind == "words":
+                rows = word_segments(n, self.share, self.edges) if role else word_probes(n, self.share, self.edges)
+            else:
+                rows = [(n, i, start, size) for i, (start, size) in enumerate(segments(n, self.threshold))] if role else probes(n, self.threshold)
+            own = np.array(rows, np.int64).reshape(-1, 4)
+            indexed = set() if role else {tuple(r) for r in (word_segments(n, self.share, self.edges) if kind == "words" else [(n, i, *x) for i, x in enumerate(segments(n, self.threshold))])}
+            other = np.array([tuple(r) not in indexed for r in rows], bool)
+            self.plans[kind, n, role] = V.mix((own[:, 0] << 5 | own[:, 1] << 1 | (kind == "words")).astype(np.uint64)), own[:, 2], own[:, 3], other
+        return self.plans[kind, n, role]
+
+    def of(self, lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(keys, numbers of lines, role)."""
+        held = Lines(lines)
+        n_words = np.diff(held.first)
+        grams: dict[int, np.ndarray] = {}
+        word_sums = _sums(held.words)
+        for kind, at, lengths, lines_on in (("chars", held.at, np.diff(held.at), n_words < WORDS_SUFFICE), ("words", held.first, n_words, n_words >= self.share * 9 // 10)):
+            which = np.flatnonzero(lines_on)
+            which = which[np.argsort(lengths[which], kind="stable")]
+            for on in np.split(which, np.flatnonzero(np.diff(lengths[which])) + 1) if len(which) else []:
+                for role in (0, 1):
+                    tag, start, size, other = self.plan(kind, int(lengths[on[0]]), role)
+                    if kind == "chars":
+                        tag, start, size = tag[other], start[other], size[other]
+                    for some in np.split(on, range(0, len(on), max(1, 1_000_000 // (len(tag) + 1)))[1:]):  # bounded, however long the lines are
+                        if not len(tag):
+                            continue
+                        if kind == "chars":
+                            begin = at[some][:, None] + start
+                            key, fresh = _spans(held.sums, begin, begin + size), None
+                        else:
+                            key, fresh = self.lowest(held, word_sums, grams, at[some], tag, start, size)
+                            fresh &= other
+                        key, own = V.mix(key + tag), np.repeat(some, len(tag))
+                        yield (key.ravel(), own, role) if fresh is None else (key[fresh], own[fresh.ravel()], role)
+
+    @staticmethod
+    def lowest(held: Lines, sums, grams: dict[int, np.ndarray], at: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest hash of GRAM words in each span of words, and whether it differs from that of the span before."""
+        out = np.empty((len(at), len(tag)), np.uint64)
+        for own in np.unique(size).tolist():
+            wide, cols = min(GRAM, own), np.flatnonzero(size == own)
+            if wide not in grams:
+                first = np.arange(max(0, len(held.words) - wide + 1))
+                grams[wide] = V.mix(_spans(sums, first, first + wide))
+            begin = at[:, None] + start[cols]
+            best = grams[wide][begin]
+            for k in range(1, own - wide + 1):
+                np.minimum(best, grams[wide][begin + k], out=best)
+            out[:, cols] = best
+        fresh = np.ones(out.shape, bool)
+        fresh[:, 1:] = (out[:, 1:] != out[:, :-1]) | (tag[1:] != tag[:-1])
+        return out, fresh
+
+
+# keys in packed rows
+
+#: Bits of a key within its bucket, keys that a task holds, and lines of a key from which on a task pairs them itself.
+KEY_BITS, HELD_KEYS, MANY = 40, 1_000_000, 16
+PACKED = "bucket int, keys binary, hs binary"
+
+
+def _long_lines(batches, chars: int = 5_000_000, once: int = 400_000) -> Iterator[list[str]]:
+    """Lines that take part in the edit join; what a task has seen lately is left out."""
+    seen: set[int] = set()
+    held, size = [], 0
+    for batch in batches:
+        for first in range(0, len(batch), 256):
+            for text in batch.column(1).slice(first, 256).to_pylist():
+                for line in text.split("\n") if text else ():
+                    if len(line) >= MIN_CHARS and (known := hash(line)) not in seen:
+                        if len(seen) >= once:
+                            seen.clear()
+                        seen.add(known)
+                        if WORDY.search(line):
+                            held.append(line)
+                            size += len(line)
+                if size > chars:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(sorted_values)) + 1, [len(sorted_values)]]).astype(np.int64)
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def pack(key: np.ndarray, hr: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Keys and lines (hash, then a bit for the role) as one row a bucket; under -1 - bucket stand pairs of lines whose
+    key many lines here have: all with one of them, which alone goes on."""
+    key = key >> np.uint64(64 - bits - KEY_BITS)
+    order = np.argsort(key)
+    key, hr = key[order], hr[order]
+    at = _runs(key)
+    pairs, keep = [], np.ones(len(key), bool)
+    for i in np.flatnonzero(np.diff(at) > MANY).tolist():
+        own = hr[at[i] : at[i + 1]]
+        lines, roles = np.unique(own >> 1), own & 1
+        if len(lines) > MANY:
+            least = (own[roles == 1] >> 1).min() if roles.any() else lines[0]
+            rest = lines[lines != least]
+            pairs.append(np.stack([np.full(len(rest), key[at[i]], np.int64), rest, np.full(len(rest), least)], 1))
+            keep[at[i] + 1 : at[i + 1]] = False
+            hr[at[i]] = least << 1 | int(roles.any())
+    key, hr = key[keep], hr[keep]
+    bucket = (key >> np.uint64(KEY_BITS)).astype(np.int32)
+    ends = _runs(bucket) if len(bucket) else np.zeros(1, np.int64)
+    low = np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BITS // 8 :])
+    rows = [pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]]), _binary(low, ends * (KEY_BITS // 8)), _binary(hr, ends * 8)], ["bucket", "keys", "hs"])]
+    if pairs:
+        met = np.concatenate(pairs)
+        cuts = np.arange(0, len(met) + 4096, 4096).clip(max=len(met))
+        rows.append(pa.RecordBatch.from_arrays([pa.array((-1 - met[cuts[:-1], 0] % (1 << bits)).astype(np.int32)), _binary(np.ascontiguousarray(met[:, 0]), cuts * 8), _binary(np.ascontiguousarray(met[:, 1:]), cuts * 16)], ["bucket", "keys", "hs"]))
+    return pa.concat_batches(rows)
+
+
+def _packed(threshold: int, share: int, bits: int):
+    """A function from documents to packed keys."""
 
     def run(batches):
-        plans: dict[int, tuple[np.ndarray, ...]] = {}
-        word_plans: dict[int, tuple[np.ndarray, ...]] = {}
-        for hs, lines in _long_lines(batches):
-            points, at = code_points(lines)
-            total, down = _sums(points + np.uint64(1))
-            found = [(k & ~np.uint64(1), on) for k, on in _hashed(total, down, at, plan, plans)]
-            words, first = word_hashes(points, at, total, down)
-            total, down = _sums(words)
-            found += [(k | np.uint64(1), on) for k, on in _hashed(total, down, first, word_plan, word_plans)]
-            for k, on in found:
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(hs[on])], ["key", "h"])
+        maker, keys, lines, size = Keys(threshold, share), [], [], 0
+        for held in _long_lines(batches):
+            h, _ = line_ids(held)
+            for key, on, role in maker.of(held):
+                keys.append(key)
+                lines.append(h[on] << 1 | role)
+                size += len(key)
+                if size >= HELD_KEYS:
+                    yield pack(np.concatenate(keys), np.concatenate(lines), bits)
+                    keys, lines, size = [], [], 0
+        if size:
+            yield pack(np.concatenate(keys), np.concatenate(lines), bits)
 
     return run
 
 
+def _star(bucket: int, keys: list[bytes], lines: list[bytes]) -> pa.RecordBatch:
+    """Each line that shares a key with others, and the least of these."""
+    low = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BITS // 8)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, 8 - KEY_BITS // 8 :] = low
+    key, hr = full.view(">u8").ravel().astype(np.int64), np.frombuffer(b"".join(lines), np.int64)
+    order = np.argsort(key)
+    key, hr = key[order], hr[order]
+    again = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    again[1:] |= same
+    again[:-1] |= same
+    key, hr = key[again], hr[again]
+    order = np.lexsort((hr, key))
+    key, hr = key[order], hr[order]
+    line, at = hr >> 1, _runs(key) if len(key) else np.zeros(1, np.int64)
+    size = np.diff(at)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    if len(size):
+        good = (np.add.reduceat(new, at[:-1], dtype=np.int64) > 1) & (np.bitwise_or.reduceat(hr & 1, at[:-1]) == 1)
+        least = np.repeat(line[at[:-1]], size)
+        new &= np.repeat(good, size) & (line != least)
+        key, line, least = key[new], line[new], least[new]
+    else:
+        least = line
+    return _pairs(key | bucket << KEY_BITS, line, least)
+
+
+def _pairs(key: np.ndarray, h: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(r)], ["key", "h", "r"])
+
+
+def _stars(batches):
+    """Pairs of lines (key, h, r) from packed rows in order of their bucket."""
+    held, keys, lines = None, [], []
+    for batch in batches:
+        for bucket, k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if bucket < 0:
+                both = np.frombuffer(h, np.int64).reshape(-1, 2)
+                yield _pairs(np.frombuffer(k, np.int64), both[:, 0].copy(), both[:, 1].copy())
+                continue
+            if bucket != held and keys:
+                yield _star(held, keys, lines)
+                keys, lines = [], []
+            held = bucket
+            keys.append(k)
+            lines.append(h)
+    if keys:
+        yield _star(held, keys, lines)
+
+
+# texts of candidates
+
 #: Bits of the bitmap for each wanted line, and at most.
 BITS_PER_LINE, MOST_BITS = 16, 27
 
@@ -254,8 +431,8 @@ BITS_PER_LINE, MOST_BITS = 16, 27
 def bitmap(wanted: DataFrame) -> np.ndarray:
     """One bit for each value of the first bits of a wanted h; at most 2**MOST_BITS bits, made by sums over tasks."""
     bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(BITS_PER_LINE * max(1, wanted.count()))))))
-    slot = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - bits))
-    word = F.call_function("shiftrightunsigned", slot, F.lit(6)).cast("int")
+    slot = F.call_function("shiftright", F.col("h"), F.lit(62 - bits))
+    word = F.call_function("shiftright", slot, F.lit(6)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     found = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
@@ -264,75 +441,119 @@ def bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def _texts(held):
-    """(h, line) of the lines that the bitmap lets through."""
+    """(h, g, chars, words, sketch, line) of the lines that the bitmap lets through."""
 
     def run(batches):
-        words = held.value
-        shift = np.uint64(64 - int(np.log2(len(words) * 64)))
-        for hs, lines in _long_lines(batches):
-            slot = hs.view(np.uint64) >> shift
-            on = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(hs[on]), pa.array([x for x, k in zip(lines, on.tolist(), strict=True) if k], pa.string())], ["h", "line"])
+        filled = held.value
+        shift = 62 - int(np.log2(len(filled) * 64))
+        for lines in _long_lines(batches):
+            h, g = line_ids(lines)
+            slot = (h >> shift).astype(np.uint64)
+            on = np.flatnonzero(filled[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            if len(on):
+                some = [lines[k] for k in on.tolist()]
+                own = Lines(some)
+                yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(g[on]), pa.array(np.diff(own.at)), pa.array(np.diff(own.first)), pa.array(own.sketches()), pa.array(some, pa.string())], ["h", "g", "chars", "words", "sketch", "line"])
 
     return run
 
 
-def _index_plan(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
-    return [(n, i, start, size) for i, (start, size) in enumerate(segments(n, threshold))]
-
-
 def _verify(threshold: int, share: int):
     def run(batches):
         for batch in batches:
             if len(batch):
                 x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                ok = within(x, y, threshold)
-                for k in np.flatnonzero(~ok).tolist():
-                    ok[k] = near_words(x[k], y[k], share)
+                ok = np.array([near_words(a, b, share) for a, b in zip(x, y, strict=True)], bool)
+                few = [k for k in np.flatnonzero(~ok).tolist() if abs(len(x[k]) - len(y[k])) <= threshold and all(len(WORD.findall(t)) < WORDS_SUFFICE for t in (x[k], y[k]))]
+                ok[few] = within([x[k] for k in few], [y[k] for k in few], threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _few(df: DataFrame, most: int = 400_000) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _checked(pairs: DataFrame, lines: DataFrame, threshold: int, share: int) -> DataFrame:
+    """The pairs (a, b; ids of lines) whose texts are near."""
+    side = lambda k, t: lines.select(F.col("id").alias(k), F.col("line").alias(t))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return cut(both.mapInArrow(tidied(_verify(threshold, share)), "a long, b long"))
+
+
+def _others(met: DataFrame, tested: DataFrame, threshold: int, share: int) -> DataFrame:
+    """Pairs of lines that share a key and are of different classes so far, if parities and lengths let them be near.
+
+    met: (key, id, label, chars, words, sketch, and the same of the line that they were paired with under r_ names)."""
+    names = ["id", "label", "chars", "words", "sketch"]
+    open_keys = met.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("label") != F.col("r_label")).alias("open")).filter("open and n > 1").select("key")
+    there = met.join(open_keys, "key", "left_semi")
+    ends = F.array(F.struct(*names), F.struct(*(F.col(f"r_{c}").alias(c) for c in names)))
+    every = there.select("key", F.inline(ends)).distinct()
+    late = there.filter(F.col("label") != F.col("r_label")).select("key", *(F.col(c).alias(f"u_{c}") for c in names))
+    apart = F.col("sketch").bitwiseXOR(F.col("u_sketch"))
+    most = F.floor(F.greatest("words", "u_words") / share)
+    letters = (F.bit_count(F.call_function("shiftrightunsigned", apart, F.lit(32))) <= 2 * threshold) & (F.abs(F.col("chars") - F.col("u_chars")) <= threshold) & (F.greatest("words", "u_words") < WORDS_SUFFICE)
+    by_words = (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * most) & (F.abs(F.col("words") - F.col("u_words")) <= most)
+    pairs = late.join(every, "key").filter((F.col("label") != F.col("u_label")) & (letters | by_words)).select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
+    """(h, g, label, members): the lines that have near ones, their class and how many lines it has.
+
+    rows: d, text; n_lines: about how many lines they have, from which the number of buckets follows."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_lines // 50_000)
+    bits = int(np.ceil(np.log2(4 * parts)))
+    keys = rows.mapInArrow(tidied(_packed(threshold, share, bits)), PACKED)
+    edges = stash(keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_stars), "key long, h long, r long"), "line-pairs")
+    wanted = cut(edges.select(F.explode(F.array("h", "r")).alias("h")).distinct())
+    held = spark.sparkContext.broadcast(bitmap(wanted))
+    texts = rows.mapInArrow(tidied(_texts(held)), "h long, g long, chars long, words long, sketch long, line string").join(wanted, "h", "left_semi")
+    lines = texts.groupBy("h", "g").agg(*(F.min(c).alias(c) for c in ("chars", "words", "sketch", "line")))
+    lines = stash(lines.withColumn("id", F.monotonically_increasing_id()), "line-texts")
+    # lines with one h, should there be any, are all compared
+    place = lines.select("h", "id")
+    tested = edges.select("h", "r").distinct().join(place, "h").join(place.select(F.col("h").alias("r"), F.col("id").alias("r_id")), "r")
+    tested = cut(tested.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct())
+    links = _checked(tested, lines, threshold, share)
+    first = cut(components(links))
+    known = lines.select("h", "id", "chars", "words", "sketch").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
+    known = stash(known, "line-classes")
+    met = edges.join(known, "h").join(known.select(*(F.col(c).alias("r" if c == "h" else f"r_{c}") for c in known.columns)), "r")
+    more = _checked(_others(met, tested, threshold, share), lines, threshold, share)
+    if not more.isEmpty():
+        first = cut(components(links.unionByName(more)))
+    found = first.join(lines.select(F.col("id").alias("node"), "h", "g"), "node")
+    return found.join(found.groupBy("least").agg(F.count("*").alias("members")), "least").select("h", "g", F.col("least").alias("label"), "members")
+
+
+# documents
 
 
-def owned(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text", F.xxhash64("text").alias("w"))
+def _occurrences(batches):
+    for batch in batches:
+        for first in range(0, len(batch), 512):
+            some = batch.slice(first, 512)
+            found = [distinct_lines(t) for t in some.column(1).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            at = pa.array([k for x in found for k, _ in x], pa.int32())
+            h, g = line_ids([line for x in found for _, line in x])
+            yield pa.RecordBatch.from_arrays([some.column(0).take(owner), some.column(2).take(owner), at, pa.array(h), pa.array(g)], ["d", "w", "at", "h", "g"])
 
 
-def near_links(rows: DataFrame, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
-    """(a, b): hashes of different lines within threshold edits, or one edit of words for every `share` of them, each pair once."""
-    index = rows.mapInArrow(tidied(_keys(lambda n: _index_plan(n, threshold), lambda n: word_segments(n, share))), "key long, h long").distinct()
-    probe = rows.mapInArrow(tidied(_keys(lambda n: probes(n, threshold), lambda n: word_probes(n, share))), "key long, h long").select("key", F.col("h").alias("h2"))
-    parities = F.col("h").bitwiseXOR(F.col("h2")).bitwiseAND(F.lit(0xFFFFFFFF))
-    alike = (F.bit_count(parities) <= 2 * threshold) | (index.key.bitwiseAND(F.lit(1)) == 1)
-    met = index.join(probe, (index.key == probe.key) & (F.col("h") != F.col("h2")) & alike)
-    pairs = cut(met.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted))
-    texts = rows.mapInArrow(tidied(_texts(held)), "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold, share), "a long, b long"))
+def owned(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text", F.xxhash64("text").alias("w"))
 
 
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(d, w, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
     rows = owned(docs)
-    seen = stash(rows.mapInArrow(tidied(_occurrences), "d long, w long, at int, h long"), "lines")
-    grouped = seen.groupBy("h").agg(F.min(F.struct("d", "w", "at")).alias("f"), F.count("*").alias("k"))
-    firsts = stash(grouped.select("h", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.col("f.at").alias("at0"), "k"), "line-firsts")
-    links = near_links(rows, threshold)
-    place = firsts.select("h", F.struct("d0", "w0", "at0").alias("f"))
-    sides = links.join(place.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a").join(place.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
-    later = F.struct("fb", "b") < F.struct("fa", "a")
-    ends = sides.select(F.explode(F.array(F.struct(F.col("a").alias("h"), later.alias("later")), F.struct(F.col("b").alias("h"), (~later).alias("later")))).alias("e"))
-    near = ends.groupBy("e.h").agg(F.max("e.later").alias("near"), F.count("*").alias("links"))
-    repeated = firsts.filter("k > 1").select("h", "d0", "w0")
-    flags = repeated.join(near, "h", "full_outer")
-    hit = seen.join(flags, "h").select("d", "w", "at", (F.struct("d", "w") > F.struct(F.coalesce("d0", "d").alias("d"), F.coalesce("w0", "w").alias("w"))).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    seen = stash(rows.mapInArrow(tidied(_occurrences), "d long, w long, at int, h long, g long"), "lines")
+    near = near_classes(rows, seen.count(), threshold)
+    grouped = seen.groupBy("h", "g").agg(F.min(F.struct("d", "w", "at")).alias("f"), F.count("*").alias("k"))
+    firsts = stash(grouped.join(near, ["h", "g"], "left").filter("k > 1 or label is not null"), "line-firsts")
+    best = firsts.filter("label is not null").groupBy("label").agg(F.min(F.struct("f", "h", "g")).alias("best"))
+    flags = firsts.join(best, "label", "left").select("h", "g", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.coalesce(F.struct("f", "h", "g") != F.col("best"), F.lit(False)).alias("near"), F.coalesce(F.col("members") - 1, F.lit(0)).alias("links"))
+    hit = seen.join(flags, ["h", "g"]).select("d", "w", "at", (F.struct("d", "w") > F.struct(F.col("d0").alias("d"), F.col("w0").alias("w"))).alias("exact"), "near", "links")
     hit = hit.filter("exact or near or links > 0").distinct()
     return hit.groupBy("d", "w").agg(
         F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("at"))).alias("ats"), F.sum(F.col("exact").cast("long")).alias("exact"),
@@ -357,6 +578,12 @@ def rewrite(text: str | None, drop) -> tuple[str | None, int, int, int]:
     return "\n".join(kept), len(lines), own, len(kept)
 
 
+def _few(found: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """The fates with a broadcast hint if their summed size is small."""
+    size = found.agg(F.sum(40 + 4 * F.size("ats"))).first()[0] or 0
+    return F.broadcast(found) if size <= most_bytes else found
+
+
 def _with_fates(docs: DataFrame, threshold: int) -> tuple[DataFrame, list[str]]:
     names = docs.columns
     held = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs["text"]).alias("w"), docs["text"].alias("quire_text"), *(docs[f"`{c}`"].alias(f"quire_{k}") for k, c in enumerate(names)))
@@ -364,7 +591,8 @@ def _with_fates(docs: DataFrame, threshold: int) -> tuple[DataFrame, list[str]]:
 
 
 def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_lines, n_exact (repeats of lines elsewhere or within), n_near, n_links, n_kept, kept_sha256."""
+    """Per document: doc_id, n_lines, n_exact (repeats of lines elsewhere or within), n_near (other lines dropped), n_links (other
+    lines in the classes of its lines), n_kept, kept_sha256."""
     rows = docs.select("doc_id", "text")
     joined, _ = _with_fates(rows, threshold)
 

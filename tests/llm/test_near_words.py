@@ -1,7 +1,4 @@
-"""Near repeats that grow with the line: whole words inserted, removed or changed, against brute force."""
-
-import re
-from collections import Counter
+"""Near repeats that grow with the line: whole words inserted, removed or changed, against brute force over all pairs."""
 
 import numpy as np
 import pytest
@@ -9,27 +6,7 @@ import pytest
 from quire.llm import linededup
 from quire.llm.common import table
 from tests.conftest import rows
-from tests.llm.test_lines import distance
-
-
-def words(line):
-    return re.findall(r"[^\x00-\x20⺀-\U0010ffff]+|[⺀-\U0010ffff]", line)
-
-
-def pairs_near(lines, share=linededup.SHARE, t=linededup.THRESHOLD):
-    """All pairs of lines; how often characters and words occur bounds the distance from below."""
-    out = set()
-    split = [words(x) for x in lines]
-    letters, tokens = [Counter(x) for x in lines], [Counter(x) for x in split]
-    for i, x in enumerate(lines):
-        for j in range(i + 1, len(lines)):
-            y, most = lines[j], max(len(split[i]), len(split[j])) // share
-            alike = abs(len(x) - len(y)) <= t and (letters[i] - letters[j]).total() <= t and distance(x, y) <= t
-            if not alike and most and abs(len(split[i]) - len(split[j])) <= most and len(tokens[i].keys() - tokens[j].keys()) <= most:
-                alike = distance(split[i], split[j]) <= most
-            if alike:
-                out.add(frozenset((x, y)))
-    return out
+from tests.llm.near import classes_of, distance
 
 
 def changed(rng, line, edits):
@@ -45,10 +22,14 @@ def changed(rng, line, edits):
     return " ".join(out)
 
 
-def linked(spark, lines):
+def found_classes(spark, lines, **more):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "d long, text string")
-    names = {linededup.line_hash(x): x for x in lines}
-    return {frozenset((names[r["a"]], names[r["b"]])) for r in rows(linededup.near_links(df))}
+    names = dict(zip(map(tuple, np.stack(linededup.line_ids(lines), 1).tolist()), lines))
+    got = {}
+    for r in rows(linededup.near_classes(df, **more)):
+        got.setdefault(r["label"], []).append((names[r["h"], r["g"]], r["members"]))
+    assert all(len(c) == n for c in got.values() for _, n in c)
+    return {x: frozenset(y for y, _ in c) for c in got.values() for x, _ in c}
 
 
 def test_word_distance():
@@ -89,12 +70,47 @@ def test_copies_with_words_changed_in_lines_of_all_lengths(spark):
         lines += [base, *(changed(rng, base, e) for e in (1, 1, 1, max(1, n // 10), max(1, n // 10), n // 10 + 1, n // 5))]
     lines += ["日本語のテキストがここに長く書かれていて一文字だけ違うもの", "日本語のテキストがここに長く書かれていて数文字も違うもの", "  ".join(lines[40].split(" "))]
     lines = sorted(set(lines))
-    want = pairs_near(lines)
-    assert linked(spark, lines) == want and len(want) > 60
+    want = classes_of(lines)
+    assert found_classes(spark, lines) == want and len(want) > 40
 
 
-def test_links_on_the_table(spark, sf_dir):
+def test_chains_that_their_least_line_does_not_hold_together(spark):
+    """Lines far from the one that all are first paired with, near to others that share a key with it."""
+    rng = np.random.default_rng(5)
+    lines = []
+    for c in range(12):
+        words_ = [f"c{c}w{k}x{rng.integers(0, 1000)}" for k in range(45)]
+        for step in range(6):
+            lines.append(" ".join(words_))
+            for k in rng.choice(np.arange(20, 45), 3, replace=False):
+                words_[k] = f"new{step}v{rng.integers(0, 100000)}"
+    lines += [" ".join(["all of these lines begin with the same ten words and then"] + [f"z{i}y{rng.integers(0, 10000)}" for _ in range(30)]) for i in range(60)]
+    want = classes_of(lines)
+    assert found_classes(spark, lines) == want and len(want) > 60
+
+
+def test_many_lines_of_one_key_are_paired_within_a_task():
+    rng = np.random.default_rng(6)
+    key = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    key[:400], key[400:420] = key[0], key[401]
+    hr = rng.integers(0, 1 << 61, 3000) << 1 | 1
+    got = [linededup._star(b, [k], [h]) if b >= 0 else linededup._pairs(np.frombuffer(k, np.int64), *np.frombuffer(h, np.int64).reshape(-1, 2).T.copy()) for b, k, h in zip(*linededup.pack(key, hr, 5).to_pydict().values())]
+    met = {frozenset((h, r)) for b in got for h, r in zip(b["h"].to_pylist(), b["r"].to_pylist())}
+    for some in (hr[:400] >> 1, hr[400:420] >> 1):
+        assert sum(len(p & set(some.tolist())) == 2 for p in met) == len(some) - 1
+    assert len(met) == 399 + 19
+
+
+def test_numbers_of_the_same_digits_are_different_lines(spark):
+    rng = np.random.default_rng(9)
+    lines = ["Serial number " + "".join(rng.permutation(list("0123456789" * 2))) for _ in range(100)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    kept = {r["text"] for r in rows(linededup.clean(df))}
+    assert kept == set(lines) - {x for c in set(classes_of(lines).values()) for x in c if x != min(c, key=lines.index)}
+
+
+def test_classes_on_the_table(spark, sf_dir):
     texts = [r.text for r in table(spark, sf_dir, "documents").select("text").collect()]
     lines = sorted({x for t in texts for x in (t or "").split("\n") if len(x) >= linededup.MIN_CHARS and linededup.WORDY.search(x)})
-    want = pairs_near(lines)
-    assert linked(spark, lines) == want and want
+    want = classes_of(lines)
+    assert found_classes(spark, lines) == want and want
