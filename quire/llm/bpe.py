@@ -1,14 +1,21 @@
-"""BPE encoding and decoding, exactly as the tokenizers library does, with tree concatenation for long text.
-
-A text is cut at white space only, where neither the normaliser nor the pre-tokeniser looks across, so
-that its words encode alone as they do together (and each word once while it is remembered). A pre-token too long for one go is encoded as a tree:
-its halves are encoded in parallel (threads; the library works outside Python's lock), and at each join
-a window around it is encoded anew and grown until its first and last token are those that both sides
-have there. As a sequence is the encoding of its text when every adjacent pair of tokens is, agreement on
-both sides makes the whole exact. (Merges make each token in one way, and none before its parts.)
-
-Defined cases: a null or empty text has no tokens, and decodes to empty text. Repeated rows are encoded
-one by one. Special-token strings in a text are encoded as the library does: as those tokens.
+"""BPE encoding and decoding, exactly as the tokenizers library does, by tree concatenation.
+
+A text longer than a leaf is halved, wherever the middle falls, until its parts are leaves; the leaves' words are
+encoded together, in one call of the library outside Python's lock (each word once while it is remembered), and the
+parts are joined again in pairs. Where a cut fell into a word, a window around the join is encoded anew as one text
+and grown by a word on each side until its first and last words encode as both sides have them. Neither the
+normaliser nor the pre-tokeniser looks across white space, so this agreement makes the whole exact.
+
+A single pre-token too long for one go (a word of over `leaf` characters) is itself encoded as a tree: its halves in
+parallel (threads), and at each join a window that is grown until its first and last token are those that both sides
+have there. As a sequence is the encoding of its text when every adjacent pair of tokens is, agreement on both sides
+makes the whole exact. (Merges make each token in one way, and none before its parts.) Where tokens do not spell the
+pre-token (unknown characters), it is encoded by the library at one go.
+
+Defined cases: a null or empty text has no tokens, and decodes to empty text; very long texts are encoded whole.
+Repeated rows are encoded one by one. Special-token strings in a text are encoded as the library does: as those
+tokens. Ties between merges are the tokenizer's own. An empty table gives no rows; extra columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import tidy
 
-#: Characters of a pre-token that are one leaf of the tree, and words that a task remembers.
-LEAF = 1 << 12
+#: Characters of a text, and of one pre-token, that are a leaf of the tree; words that a task remembers.
+TEXT_LEAF, LEAF = 1 << 11, 1 << 12
 REMEMBERED = 700_000
 #: Cuts at ASCII white space only: every tokenizer's idea of white space holds it.
 WORD = re.compile(r"[^ \t-\r]+")
@@ -37,14 +44,15 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class Codec:
     """An encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str | None = None, leaf: int = LEAF, threads: int = 2, data: str | None = None, remembered: int = REMEMBERED):
+    def __init__(self, path: str | None = None, leaf: int = LEAF, threads: int = 2, data: str | None = None, remembered: int = REMEMBERED, text_leaf: int = TEXT_LEAF):
         from tokenizers import Tokenizer, models
 
         data = data if data is not None else open(path, encoding="utf-8").read()
         self.tok = Tokenizer.from_str(data)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.leaf, self.threads, self.remembered = leaf, threads, remembered
+        self.leaf, self.threads, self.remembered, self.text_leaf = leaf, threads, remembered, text_leaf
+        self.joined = 0  # texts that were put together from halves
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
         raw = json.loads(data)
@@ -74,6 +82,8 @@ class Codec:
         with ThreadPoolExecutor(self.threads) as pool:
             nodes = list(pool.map(self._ids, pieces, ends))
             sizes = [len(p) for p in pieces]
+            if any(sum(self._length(t, last) for t in node) != n for node, n, last in zip(nodes, sizes, ends, strict=True)):
+                return self._ids(symbols, True)
             while len(nodes) > 1:
                 starts = np.concatenate([[0], np.cumsum(sizes)])
                 jobs = [(symbols, int(starts[k]), int(starts[k + 1]), int(starts[k + 2]), nodes[k], nodes[k + 1]) for k in range(0, len(nodes), 2)]
@@ -91,6 +101,8 @@ class Codec:
             b = end if j == len(right) else middle + sum(self._length(t, False) for t in right[:j])
             ids = self._ids(symbols[a:b], last and b == end)
             whole_left, whole_right = i == 0, j == len(right)
+            if (whole_left and whole_right) or sum(self._length(t, last and b == end) for t in ids) != b - a:
+                return ids if whole_left and whole_right else self._ids(symbols[begin:end], last)
             if ids and (whole_left or ids[0] == left[i]) and (whole_right or ids[-1] == right[j - 1]):
                 return left[:i] + ids + right[j:]
             k *= 2
@@ -128,11 +140,47 @@ class Codec:
             self.ids.clear()
             self.decoded.clear()
 
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text, by way of its leaves."""
+        size, cuts = self.text_leaf, [0, len(text)]
+        while len(text) > size * (len(cuts) - 1):
+            cuts = [c for a, b in zip(cuts, cuts[1:]) for c in (a, (a + b) // 2)] + [len(text)]
+        parts = [WORD.findall(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+        self._learn([w for part in parts for w in part])
+        self.joined += len(parts) > 1
+        while len(parts) > 1:
+            parts = [self.join_words(parts[k], parts[k + 1], WORD.fullmatch(text, cuts[k + 1] - 1, cuts[k + 1] + 1) is not None) for k in range(0, len(parts), 2)]
+            cuts = cuts[::2]
+        return parts[0]
+
+    def join_words(self, left: list[str], right: list[str], within: bool) -> list[str]:
+        """The words of two halves as those of the whole; within: the cut fell into a word. That word's ids are what is
+        left of a window's when the words around it, which both sides have encoded, agree."""
+        if not within:
+            return left + right
+        word, grown = left[-1] + right[0], 1
+        while word not in self.ids:
+            before, after = left[max(0, len(left) - 1 - grown) : -1], right[1 : 1 + grown]
+            ids = self.tok.encode(" ".join([*before, word, *after]), add_special_tokens=False).ids if len(word) <= self.leaf else []
+            known = [np.frombuffer(b"".join(self.ids.get(w, b"") for w in some), "<u4").tolist() for some in (before, after)]
+            agree = ids[: len(known[0])] == known[0] and ids[len(ids) - len(known[1]) :] == known[1]
+            if agree and all(w in self.ids for w in (*before, *after)) and len(word) <= self.leaf:
+                self._keep(word, ids[len(known[0]) : len(ids) - len(known[1])])
+            elif grown > max(len(left), len(right)) or len(word) > self.leaf:
+                self._learn([word])
+            grown *= 2
+        return [*left[:-1], word, *right[1:]]
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.ids[word] = np.asarray(ids, "<u4").tobytes()
+        if self.tok.decoder is None:
+            self.decoded[word] = self.tok.decode(ids, skip_special_tokens=False)
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit numbers, and the text decoded from them.
 
         Without a decoder the library puts one space between any two tokens, so words decode alone."""
-        words = WORD.findall(text)
+        words = self.words_of(text)
         self._learn(words)
         ids = b"".join(map(self.ids.__getitem__, words))
         if self.tok.decoder is None:

@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); on a local master a temporary one where none is set."""
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
@@ -75,9 +77,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, most: int, salt: str) -> DataFrame:
-    """At most about `most` rows, chosen by a hash of the key; all of them where there are fewer."""
+    """Rows chosen by a hash of the key alone, so that partitions and order do not matter: all where there are at most
+    `most`, else a share of them that gives 0.95 * most on average (over `most` only beyond many standard deviations)."""
     n = df.count()
     if n <= most:
         return df
-    share = max(1, int(most / n * 2**31))
-    return df.filter(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(2**31)) < share).limit(most)
+    share = max(1, int(0.95 * most / n * 2**31))
+    return df.filter(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(2**31)) < share)

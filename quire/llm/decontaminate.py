@@ -14,8 +14,10 @@ beyond that the exploded words are joined by a shuffle and the candidates checke
 
 Words: A-Z folded, runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Defined cases: a null or empty text has no
 words and is clean; null or empty items have no windows; an item without an id marks words but is not
-listed; an empty benchmark leaves every document clean.
-Repeated rows (same id and text) come out as often as they came in, each with its own result.
+listed; an empty benchmark leaves every document clean, empty documents give no rows; texts are split and compared
+whole, however long; of equally rare words of a window that which sorts first is its prefix (either finds the same
+places). Repeated rows (same id and text) come out as often as they came in, each with its own result. Extra
+columns are not looked at, whatever their names; keep_clean() keeps them.
 """
 
 from __future__ import annotations
@@ -131,8 +133,10 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; all columns stay."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, share: int | None = None) -> DataFrame:
+    """docs without those that hold a window of the benchmark; with share, only those go that are contaminated by it
+    (at least one word in `share` hit). All columns stay."""
     own, text = free(docs, "quire_id", "quire_hash")
-    bad = report(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(own), F.col("quire_text").alias(text))
+    bad = hits(docs, benchmark).filter(F.size("spans") > 0) if share is None else report(docs, benchmark, share=share).filter("contaminated")
+    bad = bad.select(F.col("doc_id").alias(own), F.col("quire_text").alias(text))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[own]) & (F.xxhash64(docs["text"]) == bad[text]), "left_anti")

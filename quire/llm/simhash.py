@@ -10,7 +10,9 @@ groups of copies cost one row, and links are only between different fingerprints
 Words: A-Z folded, runs of [^\\x20\\x09-\\x0D]; shingles of three words joined by a space, repeats kept (fewer
 words: the whole sequence). Hash: XXH64 with seed 42 of UTF-8. A bit is set if set in over half of them.
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows are
-documents of one group; the component of rows whose ids are all null is null.
+documents of one group; the component of rows whose ids are all null is null; a bit set in exactly half of the
+shingles is 0; very long texts count whole, their bits summed in parts; an empty table gives no rows; extra columns
+are not looked at, whatever their names, and keep_one() keeps them.
 """
 
 from __future__ import annotations

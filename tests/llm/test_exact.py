@@ -97,8 +97,9 @@ def test_clean_documents_stay(spark):
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
     kept = decontaminate.keep_clean(df, items)
     assert kept.columns == df.columns
-    bad = {x[0] for x in brute_leaks(docs, plain) if x[-1]}
-    assert {r["doc_id"] for r in rows(kept)} == {d for d, _ in docs} - bad | {d for d, t in docs if not next(iter(brute_leaks([(d, t)], plain)))[-1]}
+    leak = lambda d, t, k: next(iter(brute_leaks([(d, t)], plain)))[k]
+    assert Counter(r["text"] for r in rows(kept)) == Counter(t for d, t in docs if not leak(d, t, 2))
+    assert Counter(r["text"] for r in rows(decontaminate.keep_clean(df, items, share=20))) == Counter(t for d, t in docs if not leak(d, t, 5))
 
 
 # BPE
@@ -148,6 +149,29 @@ def test_bpe_trees_agree_with_the_library(library):
             assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_texts_are_put_together_from_halves(spark, sf_dir, library):
+    docs = [r.text or "" for r in table(spark, sf_dir, "documents").select("text").collect()]
+    rng = np.random.default_rng(4)
+    mixed = ["".join(rng.choice(list("ab é\n日.,'0"), n)) for n in (1, 5, 63, 64, 65, 129, 1000)] + ["<|endoftext|> " * 30, " " * 500, "x" * 500]
+    for leaf, texts in ((bpe.TEXT_LEAF, docs[:60]), (7, docs[:10] + mixed), (64, docs[:20] + mixed)):
+        codec = bpe.Codec(bpe.default_path(), text_leaf=leaf)
+        for text in texts:
+            ids, decoded = codec.encode(text)
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want
+            assert decoded == library.decode(want, skip_special_tokens=False)
+        assert codec.joined == sum(len(t) > leaf for t in texts)
+
+
+def test_bpe_trees_end_with_unknown_characters():
+    from tokenizers import Tokenizer, models
+
+    tok = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "ab": 2}, merges=[("a", "b")]))
+    codec = bpe.Codec(data=tok.to_str(), leaf=4)
+    for text in ("z" * 40, "ab" * 20, "abz" * 20 + "a"):
+        assert np.frombuffer(codec.encode(text)[0], "<u4").tolist() == tok.encode(text).ids
+
+
 def test_bpe_ids_and_text_come_along(spark, library):
     got = rows(bpe.encode(spark.createDataFrame([(1, "Hello there, world")], "doc_id long, text string"), tokens=True))[0]
     assert got["ids"] == library.encode("Hello there, world", add_special_tokens=False).ids
@@ -222,9 +246,11 @@ def test_one_document_of_each_group_stays(spark):
     docs = odd_docs(spark)
     kept = simhash.keep_one(clashing(docs))
     assert kept.columns == docs.columns + CLASHING
-    groups = {(d, c) for d, _, c in brute_groups([(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()])}
+    found = brute_groups([(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()])
     ids = [r["doc_id"] for r in rows(kept)]
-    assert sorted(i for i in ids if i is not None) == sorted({d for d, c in groups if d is not None and d == c})
+    # of an id that stands for two groups, a row of each may stay
+    stay = Counter(d for d, _, c in found if d is not None and d == c)
+    assert Counter(i for i in ids if i is not None) == stay and ids.count(None) == sum(n for (d, _, _), n in found.items() if d is None)
 
 
 # token counts
@@ -243,6 +269,26 @@ def test_counts_follow_deltas_and_commits_are_idempotent(spark, tmp_path):
     assert got == {("s", "en", "space-1"): (1, 4), ("s", "en", "word-1"): (1, 4), ("s", None, "space-1"): (1, 0), ("s", None, "word-1"): (1, 0)}
 
 
+def test_documents_move_and_batches_are_folded(spark, tmp_path):
+    ledger = counts.Ledger(spark, str(tmp_path / "ledger"))
+    make = lambda *r: spark.createDataFrame(list(r), "batch_id string, " + counts.CHANGE)
+    first = make(("1", "insert", "s", "en", "a b c", None, None, None), ("1", "insert", "s", "en", "d", None, None, None), ("2", "revise", "t", "de", "a b", "s", "en", "a b c"), ("2", "delete", None, None, None, "s", "en", "d"))
+    assert ledger.commit_all(first, ["1", "2", "3"]) == ["1", "2", "3"] and ledger.commit_all(first, ["2", "1"]) == []
+    want = [("de", 1, 2, "t")] * 2
+    got = lambda: sorted((r["lang"], r["n_docs"], r["n_tokens"], r["source"]) for r in rows(ledger.totals()))
+    assert got() == want
+    ledger.compact()
+    assert got() == want and ledger.commit_all(first, ["1", "2", "3"]) == [] and ledger.batches() == {"1", "2", "3"}
+    # a compaction that ended before it removed the folded batches
+    counts.delta(first.filter("batch_id = '1'")).write.parquet(str(tmp_path / "ledger/batch_id=1"))
+    assert got() == want
+    assert ledger.commit("4", make(("4", "insert", "t", "de", "x", None, None, None)).drop("batch_id"))
+    ledger.compact()
+    assert got() == [("de", 2, 3, "t")] * 2
+    with pytest.raises(ValueError):
+        ledger.commit("a/b", first)
+
+
 def test_a_half_written_batch_does_not_count(spark, tmp_path):
     ledger = counts.Ledger(spark, str(tmp_path / "ledger"))
     one = spark.createDataFrame([("insert", "s", "en", "a b", None)], "op string, source string, lang string, text string, old_text string")
