@@ -17,13 +17,13 @@ its own band and is indexed in each that may look for it; of a segment, and of a
 that hash lowest stand as its key, so that neighbouring substrings mostly share one.
 
 Keys travel as packed arrays, one row for each task and bucket of keys. In a bucket, the lines that share a key are
-each paired with one of them only (within a task already, where a key has many lines): rows grow with the lines,
-not with their pairs. Pairs are verified on the texts by banded bit-parallel edit distance and give the first
-classes; where lines that share a key are left in different ones, these are compared with the rest, after parities
-of characters and words that every edit changes by two at most. Texts of candidates are picked out at the scan by a
+each paired with one of them only (within a task already, where a key has many lines; apart, where parities of their
+words rule it out that any chain of near lines connects them): rows grow with the lines, not with their pairs. Pairs are verified on the texts by banded bit-parallel edit distance and give the first
+classes; where lines that share a key are left in different ones, these are compared with the rest. Parities of
+characters and words, of which every edit changes two at most, spare most texts a comparison. Texts of candidates are picked out at the scan by a
 bitmap of fixed largest size (it may let others through, which a join then drops).
 
-Defined cases: equal lines are told by 126 bits of a hash; lines without a letter or digit stay; a null text stays
+Defined cases: equal lines are told by 88 bits of a hash, their parities and length; lines without a letter or digit stay; a null text stays
 null; an empty text stays empty; a document with text whose every lettered line is dropped has text of the rest
 (clean() lets such a document go if only blanks are left); equal rows (same id and text) are one document; ties of
 place are broken by id, text hash, position and line hash; very long lines and texts are taken whole, in arrays of
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import vectext as V
@@ -48,7 +48,7 @@ from quire.llm.editdist import within
 
 THRESHOLD, MIN_CHARS, SHARE = 2, 24, 10
 #: Words whose lowest hash stands for a segment; words from which on lines are compared by words alone.
-GRAM = 4
+GRAM = 6
 WORDS_SUFFICE = 2 * THRESHOLD * SHARE
 LAST = (1 << 63) - 1
 WORDY = re.compile(r"[^\W_]")
@@ -63,13 +63,16 @@ def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
-def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """126 bits for each line as two numbers; the first is not negative and leaves room for one bit more."""
+def line_ids(lines: list[str], held: Lines | None = None, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each line: 24 bits of a hash, the edits of words that it allows (31: as many or more) and 32
+    parities of its words, which leave room for two bits more; then 64 bits of the hash."""
     import xxhash
 
-    digest = xxhash.xxh3_128_digest
+    digest, held = xxhash.xxh3_128_digest, held or Lines(lines)
     both = np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<u8").reshape(-1, 2)
-    return (both[:, 0] >> np.uint64(2)).astype(np.int64), both[:, 1].view(np.int64)
+    edits = np.minimum(np.diff(held.first) // share, 31).astype(np.uint64)
+    own = (both[:, 0] >> np.uint64(40)) << np.uint64(37) | edits << np.uint64(32) | held.word_parities()
+    return own.view(np.int64), both[:, 1].view(np.int64)
 
 
 def distinct_lines(text: str | None) -> list[tuple[int, str]]:
@@ -177,7 +180,7 @@ def word_distance(a: list[str], b: list[str]) -> int:
 def near_words(x: str, y: str, share: int) -> bool:
     a, b = WORD.findall(x), WORD.findall(y)
     most = max(len(a), len(b)) // share
-    return bool(most) and abs(len(a) - len(b)) <= most and word_distance(a, b) <= most
+    return bool(most) and len(set(a) - set(b)) <= most and abs(len(a) - len(b)) <= most and word_distance(a, b) <= most
 
 
 def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,13 +209,23 @@ class Lines:
         starts, ends = np.flatnonzero(~gap & edge[:-1]), np.flatnonzero(~gap & edge[1:]) + 1
         self.words, self.first = V.mix(_spans(self.sums, starts, ends)), np.searchsorted(starts, self.at)
 
-    def sketches(self) -> np.ndarray:
-        """32 parities of characters, then 32 of words, each of how many of a line's lie in one of 32 classes. One edit
-        changes at most two parities of either."""
-        bit = lambda x: np.uint32(1) << x.astype(np.uint32)
-        odd = lambda bits, at: np.where(np.diff(at) > 0, np.bitwise_xor.reduceat(np.append(bits, np.uint32(0)), at[:-1]), 0).astype(np.uint64)
-        letters = odd(bit((self.points * np.uint32(2654435761)) >> np.uint32(27)), self.at)
-        return (letters << np.uint64(32) | odd(bit(self.words >> np.uint64(59)), self.first)).view(np.int64)
+    def sketches(self) -> list[np.ndarray]:
+        """Parities of how many of a line's characters lie in each of 64 classes, then of its words in 4 times 64. One edit
+        changes at most two of either."""
+        letters = _parities((self.points * np.uint32(2654435761)) >> np.uint32(26), self.at, np.uint64)
+        # each word in one class of one of the four
+        which, kind = self.words >> np.uint64(62), self.words >> np.uint64(56) & np.uint64(63)
+        return [letters, *(_parities(kind, self.first, np.uint64, which == k) for k in range(4))]
+
+    def word_parities(self) -> np.ndarray:
+        return _parities(self.words >> np.uint64(59), self.first)
+
+
+def _parities(kinds: np.ndarray, at: np.ndarray, form=np.uint32, of: np.ndarray | None = None) -> np.ndarray:
+    bits = np.append(form(1) << kinds.astype(form), form(0))
+    if of is not None:
+        bits[:-1][~of] = 0
+    return np.where(np.diff(at) > 0, np.bitwise_xor.reduceat(bits, at[:-1]), 0).astype(np.uint64)
 
 
 class Keys:
@@ -238,9 +251,8 @@ class Keys:
             self.plans[kind, n, role] = V.mix((own[:, 0] << 5 | own[:, 1] << 1 | (kind == "words")).astype(np.uint64)), own[:, 2], own[:, 3], other
         return self.plans[kind, n, role]
 
-    def of(self, lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def of(self, held: Lines) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(keys, numbers of lines, role)."""
-        held = Lines(lines)
         n_words = np.diff(held.first)
         grams: dict[int, np.ndarray] = {}
         word_sums = _sums(held.words)
@@ -285,8 +297,10 @@ class Keys:
 
 # keys in packed rows
 
-#: Bits of a key within its bucket, keys that a task holds, and lines of a key from which on a task pairs them itself.
+#: Bits of a key within its bucket, keys that a task holds, and lines of a key beyond which a task pairs them itself.
 KEY_BITS, HELD_KEYS, MANY = 40, 1_000_000, 16
+#: Lines of a key up to which all their pairs' parities are compared; more are one group, of which the texts decide.
+ALL_PAIRS = 256
 PACKED = "bucket int, keys binary, hs binary"
 
 
@@ -322,8 +336,8 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def pack(key: np.ndarray, hr: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Keys and lines (hash, then a bit for the role) as one row a bucket; under -1 - bucket stand pairs of lines whose
-    key many lines here have: all with one of them, which alone goes on."""
+    """Keys and lines (hash, a bit for those that stand for many, a bit for the role) as one row a bucket; under
+    -1 - bucket stand pairs of lines whose key many lines here have: all with one of them, which alone goes on."""
     key = key >> np.uint64(64 - bits - KEY_BITS)
     order = np.argsort(key)
     key, hr = key[order], hr[order]
@@ -331,13 +345,13 @@ def pack(key: np.ndarray, hr: np.ndarray, bits: int) -> pa.RecordBatch:
     pairs, keep = [], np.ones(len(key), bool)
     for i in np.flatnonzero(np.diff(at) > MANY).tolist():
         own = hr[at[i] : at[i + 1]]
-        lines, roles = np.unique(own >> 1), own & 1
+        lines, roles = np.unique(own >> 2), own & 1
         if len(lines) > MANY:
-            least = (own[roles == 1] >> 1).min() if roles.any() else lines[0]
+            least = (own[roles == 1] >> 2).min() if roles.any() else lines[0]
             rest = lines[lines != least]
             pairs.append(np.stack([np.full(len(rest), key[at[i]], np.int64), rest, np.full(len(rest), least)], 1))
             keep[at[i] + 1 : at[i + 1]] = False
-            hr[at[i]] = least << 1 | int(roles.any())
+            hr[at[i]] = least << 2 | 2 | int(roles.any())
     key, hr = key[keep], hr[keep]
     bucket = (key >> np.uint64(KEY_BITS)).astype(np.int32)
     ends = _runs(bucket) if len(bucket) else np.zeros(1, np.int64)
@@ -356,10 +370,11 @@ def _packed(threshold: int, share: int, bits: int):
     def run(batches):
         maker, keys, lines, size = Keys(threshold, share), [], [], 0
         for held in _long_lines(batches):
-            h, _ = line_ids(held)
-            for key, on, role in maker.of(held):
+            own = Lines(held)
+            h, _ = line_ids(held, own, share)
+            for key, on, role in maker.of(own):
                 keys.append(key)
-                lines.append(h[on] << 1 | role)
+                lines.append(h[on] << 2 | role)
                 size += len(key)
                 if size >= HELD_KEYS:
                     yield pack(np.concatenate(keys), np.concatenate(lines), bits)
@@ -370,7 +385,7 @@ def _packed(threshold: int, share: int, bits: int):
     return run
 
 
-def _star(bucket: int, keys: list[bytes], lines: list[bytes]) -> pa.RecordBatch:
+def _star(bucket: int, keys: list[bytes], lines: list[bytes], threshold: int = THRESHOLD) -> pa.RecordBatch:
     """Each line that shares a key with others, and the least of these."""
     low = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BITS // 8)
     full = np.zeros((len(low), 8), np.uint8)
@@ -385,45 +400,78 @@ def _star(bucket: int, keys: list[bytes], lines: list[bytes]) -> pa.RecordBatch:
     key, hr = key[again], hr[again]
     order = np.lexsort((hr, key))
     key, hr = key[order], hr[order]
-    line, at = hr >> 1, _runs(key) if len(key) else np.zeros(1, np.int64)
-    size = np.diff(at)
+    # a line that comes several times under a key comes once, with all its bits
+    line, at = hr >> 2, _runs(key) if len(key) else np.zeros(1, np.int64)
+    if not len(key):
+        return _pairs(key, line, line)
+    index = np.repeat(np.bitwise_or.reduceat(hr & 1, at[:-1]) == 1, np.diff(at))
+    many = np.repeat(np.bitwise_or.reduceat(hr & 2, at[:-1]) == 2, np.diff(at))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    if len(size):
-        good = (np.add.reduceat(new, at[:-1], dtype=np.int64) > 1) & (np.bitwise_or.reduceat(hr & 1, at[:-1]) == 1)
-        least = np.repeat(line[at[:-1]], size)
-        new &= np.repeat(good, size) & (line != least)
-        key, line, least = key[new], line[new], least[new]
-    else:
-        least = line
-    return _pairs(key | bucket << KEY_BITS, line, least)
+    new &= index
+    key, line, many = key[new], line[new], many[new]
+    group = np.repeat(line, 1)
+    at = _runs(key) if len(key) else np.zeros(1, np.int64)
+    size, first = np.diff(at), at[:-1]
+    for n in np.unique(size).tolist():
+        on = first[size == n]
+        for some in np.split(on, range(0, len(on), max(1, 2_000_000 // (n * n)))[1:]):
+            rows = some[:, None] + np.arange(n)
+            group[rows] = line[some][:, None] if n > ALL_PAIRS else _alike(line[rows], many[some], threshold)
+    on = line != group
+    key = key[on] | bucket << KEY_BITS
+    own = (V.mix(key.astype(np.uint64)) ^ group[on].astype(np.uint64)).view(np.int64)  # a key's groups are apart
+    return _pairs(np.where(many[on], key, own), line[on], group[on])
+
+
+def _alike(lines: np.ndarray, all_of: np.ndarray, threshold: int) -> np.ndarray:
+    """For each row of lines that share a key: the first line that each is connected with by pairs whose parities of words
+    let them be near (all with the first, where all_of says so)."""
+    bits, edits = lines & 0xFFFFFFFF, lines >> 32 & 31
+    most = np.maximum(edits[:, :, None], edits[:, None, :])
+    # an edit of characters is three of words at most, beside a wide character
+    most = np.maximum(most, 3 * threshold)
+    near = (np.bitwise_count(bits[:, :, None] ^ bits[:, None, :]) <= 2 * most) | (most == 31) | all_of[:, None, None]
+    n = lines.shape[1]
+    label = np.broadcast_to(np.arange(n), lines.shape)
+    while True:
+        least = np.where(near, label[:, None, :], n).min(2)
+        if (least == label).all():
+            return np.take_along_axis(lines, label, 1)
+        label = least
 
 
 def _pairs(key: np.ndarray, h: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(r)], ["key", "h", "r"])
 
 
-def _stars(batches):
-    """Pairs of lines (key, h, r) from packed rows in order of their bucket."""
-    held, keys, lines = None, [], []
-    for batch in batches:
-        for bucket, k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if bucket < 0:
-                both = np.frombuffer(h, np.int64).reshape(-1, 2)
-                yield _pairs(np.frombuffer(k, np.int64), both[:, 0].copy(), both[:, 1].copy())
-                continue
-            if bucket != held and keys:
-                yield _star(held, keys, lines)
-                keys, lines = [], []
-            held = bucket
-            keys.append(k)
-            lines.append(h)
-    if keys:
-        yield _star(held, keys, lines)
+def _stars(threshold: int):
+    """A function from packed rows in order of their bucket to pairs of lines (key, h, r)."""
+
+    def run(batches):
+        held, keys, lines = None, [], []
+        for batch in batches:
+            for bucket, k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket < 0:
+                    both = np.frombuffer(h, np.int64).reshape(-1, 2)
+                    yield _pairs(np.frombuffer(k, np.int64), both[:, 0].copy(), both[:, 1].copy())
+                    continue
+                if bucket != held and keys:
+                    yield _star(held, keys, lines, threshold)
+                    keys, lines = [], []
+                held = bucket
+                keys.append(k)
+                lines.append(h)
+        if keys:
+            yield _star(held, keys, lines, threshold)
+
+    return run
 
 
 # texts of candidates
 
+#: What tells most lines apart without their texts: numbers of characters and words, and sketches of both.
+SHAPE = ["chars", "words", "s0", "s1", "s2", "s3", "s4"]
 #: Bits of the bitmap for each wanted line, and at most.
 BITS_PER_LINE, MOST_BITS = 16, 27
 
@@ -431,7 +479,7 @@ BITS_PER_LINE, MOST_BITS = 16, 27
 def bitmap(wanted: DataFrame) -> np.ndarray:
     """One bit for each value of the first bits of a wanted h; at most 2**MOST_BITS bits, made by sums over tasks."""
     bits = int(min(MOST_BITS, max(12, np.ceil(np.log2(BITS_PER_LINE * max(1, wanted.count()))))))
-    slot = F.call_function("shiftright", F.col("h"), F.lit(62 - bits))
+    slot = F.call_function("shiftright", F.col("h"), F.lit(61 - bits))
     word = F.call_function("shiftright", slot, F.lit(6)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     found = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
@@ -440,20 +488,20 @@ def bitmap(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _texts(held):
-    """(h, g, chars, words, sketch, line) of the lines that the bitmap lets through."""
+def _texts(held, share: int):
+    """(h, g, the shape, line) of the lines that the bitmap lets through."""
 
     def run(batches):
         filled = held.value
-        shift = 62 - int(np.log2(len(filled) * 64))
+        shift = 61 - int(np.log2(len(filled) * 64))
         for lines in _long_lines(batches):
-            h, g = line_ids(lines)
+            h, g = line_ids(lines, None, share)
             slot = (h >> shift).astype(np.uint64)
             on = np.flatnonzero(filled[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
             if len(on):
                 some = [lines[k] for k in on.tolist()]
                 own = Lines(some)
-                yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(g[on]), pa.array(np.diff(own.at)), pa.array(np.diff(own.first)), pa.array(own.sketches()), pa.array(some, pa.string())], ["h", "g", "chars", "words", "sketch", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(g[on]), pa.array(np.diff(own.at)), pa.array(np.diff(own.first)), *(pa.array(x.view(np.int64)) for x in own.sketches()), pa.array(some, pa.string())], ["h", "g", *SHAPE, "line"])
 
     return run
 
@@ -478,22 +526,33 @@ def _checked(pairs: DataFrame, lines: DataFrame, threshold: int, share: int) ->
     return cut(both.mapInArrow(tidied(_verify(threshold, share)), "a long, b long"))
 
 
+def _alike_shapes(threshold: int, share: int, x: str = "", y: str = "r_") -> Column:
+    """Whether lengths and sketches of two lines (columns of SHAPE under either prefix) let them be near."""
+    apart = lambda k: F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}")))
+    off = lambda c: F.abs(F.col(f"{x}{c}") - F.col(f"{y}{c}"))
+    longer = F.greatest(f"{x}words", f"{y}words")
+    letters = (longer < WORDS_SUFFICE) & (off("chars") <= threshold) & (apart(0) <= 2 * threshold)
+    most = F.floor(longer / share)
+    return letters | ((off("words") <= most) & (apart(1) + apart(2) + apart(3) + apart(4) <= 2 * most))
+
+
+def _named(df: DataFrame, prefix: str, *names: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in names))
+
+
 def _others(met: DataFrame, tested: DataFrame, threshold: int, share: int) -> DataFrame:
-    """Pairs of lines that share a key and are of different classes so far, if parities and lengths let them be near.
+    """Pairs of lines that share a key and are of different classes so far, if their shapes let them be near.
 
-    met: (key, id, label, chars, words, sketch, and the same of the line that they were paired with under r_ names)."""
-    names = ["id", "label", "chars", "words", "sketch"]
-    open_keys = met.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("label") != F.col("r_label")).alias("open")).filter("open and n > 1").select("key")
-    there = met.join(open_keys, "key", "left_semi")
+    met: (key, id, label, the shape, and the same of the line that they were paired with under r_ names)."""
+    names = ["id", "label", *SHAPE]
+    # a group may have been paired in parts: whoever is not of its main class is compared with all others
+    main = met.groupBy("key").agg(F.count("*").alias("n"), F.min("r_label").alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), F.count_distinct("r_label").alias("b"))
+    main = main.filter("n > 1 and (a or b > 1)").select("key", "main")
     ends = F.array(F.struct(*names), F.struct(*(F.col(f"r_{c}").alias(c) for c in names)))
-    every = there.select("key", F.inline(ends)).distinct()
-    late = there.filter(F.col("label") != F.col("r_label")).select("key", *(F.col(c).alias(f"u_{c}") for c in names))
-    apart = F.col("sketch").bitwiseXOR(F.col("u_sketch"))
-    most = F.floor(F.greatest("words", "u_words") / share)
-    letters = (F.bit_count(F.call_function("shiftrightunsigned", apart, F.lit(32))) <= 2 * threshold) & (F.abs(F.col("chars") - F.col("u_chars")) <= threshold) & (F.greatest("words", "u_words") < WORDS_SUFFICE)
-    by_words = (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * most) & (F.abs(F.col("words") - F.col("u_words")) <= most)
-    pairs = late.join(every, "key").filter((F.col("label") != F.col("u_label")) & (letters | by_words)).select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    every = cut(met.join(main, "key").select("key", "main", F.inline(ends)).distinct())
+    late = every.filter("label <> main").select("key", *(F.col(c).alias(f"u_{c}") for c in names))
+    pairs = late.join(every, "key").filter((F.col("label") != F.col("u_label")) & _alike_shapes(threshold, share, "", "u_"))
+    return pairs.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
@@ -504,21 +563,20 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_lines // 50_000)
     bits = int(np.ceil(np.log2(4 * parts)))
     keys = rows.mapInArrow(tidied(_packed(threshold, share, bits)), PACKED)
-    edges = stash(keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_stars), "key long, h long, r long"), "line-pairs")
+    edges = stash(keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_stars(threshold)), "key long, h long, r long"), "line-pairs")
     wanted = cut(edges.select(F.explode(F.array("h", "r")).alias("h")).distinct())
     held = spark.sparkContext.broadcast(bitmap(wanted))
-    texts = rows.mapInArrow(tidied(_texts(held)), "h long, g long, chars long, words long, sketch long, line string").join(wanted, "h", "left_semi")
-    lines = texts.groupBy("h", "g").agg(*(F.min(c).alias(c) for c in ("chars", "words", "sketch", "line")))
+    texts = rows.mapInArrow(tidied(_texts(held, share)), "h long, g long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(wanted, "h", "left_semi")
+    lines = texts.groupBy("h", "g").agg(*(F.min(c).alias(c) for c in (*SHAPE, "line")))
     lines = stash(lines.withColumn("id", F.monotonically_increasing_id()), "line-texts")
     # lines with one h, should there be any, are all compared
-    place = lines.select("h", "id")
-    tested = edges.select("h", "r").distinct().join(place, "h").join(place.select(F.col("h").alias("r"), F.col("id").alias("r_id")), "r")
-    tested = cut(tested.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct())
+    place = lines.select("h", "id", *SHAPE)
+    both = edges.select("h", "r").distinct().join(place, "h").join(_named(place.withColumnRenamed("h", "r"), "r_", "r", "id", *SHAPE).withColumnRenamed("r_r", "r"), "r")
+    tested = cut(both.filter(_alike_shapes(threshold, share)).select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct())
     links = _checked(tested, lines, threshold, share)
     first = cut(components(links))
-    known = lines.select("h", "id", "chars", "words", "sketch").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
-    known = stash(known, "line-classes")
-    met = edges.join(known, "h").join(known.select(*(F.col(c).alias("r" if c == "h" else f"r_{c}") for c in known.columns)), "r")
+    known = stash(place.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least"), "line-classes")
+    met = edges.join(known, "h").join(_named(known.withColumnRenamed("h", "r"), "r_", "r", "id", "label", *SHAPE).withColumnRenamed("r_r", "r"), "r")
     more = _checked(_others(met, tested, threshold, share), lines, threshold, share)
     if not more.isEmpty():
         first = cut(components(links.unionByName(more)))

@@ -6,7 +6,7 @@ import pytest
 from quire.llm import linededup
 from quire.llm.common import table
 from tests.conftest import rows
-from tests.llm.near import classes_of, distance
+from tests.llm.near import classes_of, distance, pairs_near
 
 
 def changed(rng, line, edits):
@@ -93,14 +93,54 @@ def test_many_lines_of_one_key_are_paired_within_a_task():
     rng = np.random.default_rng(6)
     key = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
     key[:400], key[400:420] = key[0], key[401]
-    hr = rng.integers(0, 1 << 61, 3000) << 1 | 1
+    hr = rng.integers(0, 1 << 60, 3000) << 2 | 1
     got = [linededup._star(b, [k], [h]) if b >= 0 else linededup._pairs(np.frombuffer(k, np.int64), *np.frombuffer(h, np.int64).reshape(-1, 2).T.copy()) for b, k, h in zip(*linededup.pack(key, hr, 5).to_pydict().values())]
     met = {frozenset((h, r)) for b in got for h, r in zip(b["h"].to_pylist(), b["r"].to_pylist())}
-    for some in (hr[:400] >> 1, hr[400:420] >> 1):
+    for some in (hr[:400] >> 2, hr[400:420] >> 2):
         assert sum(len(p & set(some.tolist())) == 2 for p in met) == len(some) - 1
     assert len(met) == 399 + 19
 
 
+def test_groups_that_are_paired_in_parts(spark, monkeypatch):
+    """Tasks pair the lines of a key themselves, each with its own first one."""
+    rng = np.random.default_rng(7)
+    lines = []
+    for c in range(3):
+        words_ = [f"c{c}w{k}x{rng.integers(0, 1000)}" for k in range(45)]
+        for step in range(30):
+            lines.append(" ".join(words_))
+            for k in rng.choice(np.arange(15, 45), 3, replace=False):
+                words_[k] = f"new{step}v{rng.integers(0, 100000)}"
+    want = classes_of(lines)
+    monkeypatch.setattr(linededup, "MANY", 3)
+    for held in (500, 4000):
+        monkeypatch.setattr(linededup, "HELD_KEYS", held)
+        own = linededup.Keys(2, 10)
+        packed, keys, hs, size = [], [], [], 0
+        for i in range(0, len(lines), 7):
+            some = linededup.Lines(lines[i : i + 7])
+            h, _ = linededup.line_ids(lines[i : i + 7], some)
+            for key, on, role in own.of(some):
+                keys.append(key)
+                hs.append(h[on] << 2 | role)
+                size += len(key)
+            if size > held or i + 7 >= len(lines):
+                packed += zip(*linededup.pack(np.concatenate(keys), np.concatenate(hs), 3).to_pydict().values())
+                keys, hs, size = [], [], 0
+        groups = {}
+        order = sorted(packed, key=lambda r: r[0])
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in order], pa.int32()), "keys": pa.array([r[1] for r in order], pa.binary()), "hs": pa.array([r[2] for r in order], pa.binary())})
+        for b in linededup._stars(2)(iter([batch])):
+            for k, h, r in zip(*b.to_pydict().values()):
+                groups.setdefault(k, set()).update((h, r))
+        ids = dict(zip(linededup.line_ids(lines)[0].tolist(), lines))
+        assert set(map(frozenset, pairs_near(lines))) <= {frozenset((ids[x], ids[y])) for g in groups.values() for x in g for y in g if x != y}
+    monkeypatch.undo()
+    assert found_classes(spark, lines) == want
+
+
 def test_numbers_of_the_same_digits_are_different_lines(spark):
     rng = np.random.default_rng(9)
     lines = ["Serial number " + "".join(rng.permutation(list("0123456789" * 2))) for _ in range(100)]
