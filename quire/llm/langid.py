@@ -6,10 +6,13 @@ position. A document's probabilities are the mean of those of all its positions;
 States begin anew with each unit, so a unit that occurs again in a task is not computed again.
 
 Training: back-propagation through time with Adam on units of at most `most` labelled documents (whole
-texts), drawn in proportion to their counts. Rows of fold 1 (crc32 of the id mod 3) are never learned.
+texts, chosen by a hash of their ids), drawn in proportion to their counts; what reaches the driver is the distinct
+units with their counts. Rows of fold 1 (crc32 of the id mod 3) are never learned.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; without a labelled row all
-are `und`. Ties go to the language that sorts first. Repeated rows are judged one by one.
+Defined cases: null texts and texts without a letter are `und` with score 0; without a labelled row (an empty table) all
+are `und`. Very long texts are read whole, a long run without white space in pieces. Ties go to the language that sorts
+first. Repeated rows are judged one by one. Extra columns are not looked at, whatever their names; keep_known() keeps
+them.
 """
 
 from __future__ import annotations

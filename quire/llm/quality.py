@@ -4,8 +4,12 @@ Counts and features are taken over whole texts, in numpy over Arrow batches. The
 logistic regression on hashed words, word pairs and byte 4-grams (each group as shares of the text),
 fitted on at most `most` labelled rows and calibrated (Platt) on a fifth of them held back.
 
-Defined cases: a null or empty text has no words, all counts 0, and fails (n_words < 10). Repeated rows
-are judged one by one. A null doc_id stays. Without labelled rows of both kinds nothing is rejected by
+The rows fitted on are chosen by a hash of their ids and sorted, so that neither partitions nor order matter; beyond
+`most_bytes` of text a share of them is taken, by a hash of the text, that comes to about so much.
+
+Defined cases: a null or empty text has no words, all counts 0, and fails (n_words < 10). Very long texts are counted
+whole. A probability of just the threshold is kept. An empty table gives no rows; extra columns are not looked at,
+whatever their names. Repeated rows are judged one by one. A null doc_id stays. Without labelled rows of both kinds nothing is rejected by
 the classifier (probability 1). Equal word windows and lines are told by 64-bit hashes.
 """
 
@@ -147,11 +151,15 @@ def fit(texts: pa.Array, good: np.ndarray, rounds: int = 60) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model | None:
-    """most: bound on the labelled rows the classifier is fitted on (whole texts)."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 200 << 20) -> Model | None:
+    """most, most_bytes: bounds on the labelled rows the classifier is fitted on (whole texts) and on their size."""
     marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quire_good"))
     marked = bounded_sample(marked, F.col("doc_id"), most, "quality")
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(marked), "doc_id").select("doc_id", "text", "quire_good").toArrow()
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(marked), "doc_id").select("doc_id", "text", "quire_good")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        rows = bounded_sample(rows, F.col("text"), max(1, int(rows.count() * most_bytes / size)), "quality-bytes")
+    rows = rows.toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(rows["text"].combine_chunks(), (rows["quire_good"].to_numpy() > 0).astype(np.int64)) if len(rows) else None
 

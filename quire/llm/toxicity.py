@@ -7,8 +7,11 @@ of the training folds. Only words markedly more frequent in the confirmed rows g
 near copies were removed from the sample by a bottom-4 sketch.
 
 Bounds: at most `most_positive` confirmed and `most_unlabelled` unlabelled rows are fitted on, each with
-its whole text. Defined cases: null or empty texts score like a text without any listed word; repeated
-rows are scored one by one; without confirmed rows every score is the prior.
+its whole text; what reaches the driver is their distinct buckets, at most 2**20 numbers a row. The rows are chosen by a
+hash of their ids and sorted before the fit, so that neither partitions nor order matter. Defined cases: null or
+empty texts score like a text without any listed word; very long texts are read whole; a score of just 0.5 is
+toxic; repeated rows are scored one by one; without confirmed rows every score is the prior; an empty table gives no
+rows; extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,10 +6,13 @@ SHA-256 is joined on its first eight hex digits, then the full digests are compa
 fit, the longest wins (host and path together; then the longer host). One marker expression per row brings
 each page through the same join, so pages are read once and only one small row per page is shuffled.
 
-The rule table is broadcast while it has at most `broadcast_rules` rows, and else joined by a shuffle.
+Rules are a list, or a table (verdict, host, path) of any size. Their table is broadcast while it has at most
+`broadcast_rules` rows, and else joined by a shuffle.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, no rule, and the default
-verdict. Repeated rows come out as often as they came in. Rows with a null page_id are judged as well.
+verdict. Very long URLs are read whole. Of rules that are equal the block counts; of equally long ones that fit (host
+and path together) that with the longer host. Repeated rows come out as often as they came in. Rows with a null page_id
+are judged as well. An empty table gives no rows; extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,22 +38,29 @@ def digest(expression: Column) -> Column:
     return F.sha2(expression.cast("binary"), 256)
 
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """The rules as (prefix, digest, rule, verdict, rank), and the marker; of equal rules, a block wins."""
-    best: dict[tuple[str, str], str] = {}
-    for verdict, host, path in rules:
-        key = (host.lower(), "/" + path.lstrip("/"))
-        best[key] = "block" if "block" in (verdict, best.get(key)) else verdict
-    rows = [(h + p, h + p, v, (len(h + p) << 20) + len(h)) for (h, p), v in best.items()] + [(MARK, None, None, -1)]
-    df = spark.createDataFrame(rows, "quire_expr string, quire_rule string, quire_verdict string, quire_rank long")
+def rule_rows(spark: SparkSession, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """(host, path, verdict) of each different rule; of equal rules, a block wins."""
+    rows = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    path = F.concat(F.lit("/"), F.regexp_replace("path", "^/+", ""))
+    return rows.select(F.lower("host").alias("host"), path.alias("path"), "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """The rules as (prefix, digest, rule, verdict, rank), and the marker."""
+    whole = F.concat("host", "path")
+    rank = F.length(whole).cast("long") * (1 << 20) + F.length("host")
+    mark = rules.sparkSession.createDataFrame([(MARK, None, None, -1)], "quire_expr string, quire_rule string, quire_verdict string, quire_rank long")
+    rows = rules.select(whole.alias("quire_expr"), whole.alias("quire_rule"), F.col("verdict").alias("quire_verdict"), rank.alias("quire_rank")).unionByName(mark)
     full = digest(F.col("quire_expr"))
-    return df.select(F.substring(full, 1, 8).alias("quire_prefix"), full.alias("quire_full"), "quire_rule", "quire_verdict", "quire_rank")
+    return rows.select(F.substring(full, 1, 8).alias("quire_prefix"), full.alias("quire_full"), "quire_rule", "quire_verdict", "quire_rank")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
     spark = pages.sparkSession
-    labels = sorted({r[1].count(".") + 1 for r in rules})
-    lengths = sorted({len("/" + r[2].lstrip("/")) for r in rules})
+    listed = rule_rows(spark, rules)
+    # how many labels and characters rules have: a few numbers, however many rules there are
+    shape = listed.agg(F.array_sort(F.collect_set(F.size(F.split("host", "[.]", -1)))).alias("labels"), F.array_sort(F.collect_set(F.length("path"))).alias("lengths"), F.count("*").alias("n")).first()
+    labels, lengths = shape["labels"], shape["lengths"]
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("quire_url"))
     host, path = host_and_path(F.col("quire_url"))
     own = own.select("page_id", "quire_url", host.alias("host"), path.alias("path"))
@@ -59,8 +69,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     exprs = F.array_compact(F.array(F.lit(MARK), *exprs))
     rows = own.select("page_id", "host", "path", F.explode(exprs).alias("quire_expr"))
     rows = rows.withColumn("quire_full_url", digest(F.col("quire_expr"))).withColumn("quire_prefix", F.substring("quire_full_url", 1, 8))
-    known = rule_table(spark, rules)
-    known = F.broadcast(known) if len(rules) <= broadcast_rules else known
+    known = rule_table(listed)
+    known = F.broadcast(known) if shape["n"] <= broadcast_rules else known
     found = rows.join(known, (rows.quire_prefix == known.quire_prefix) & (rows.quire_full_url == known.quire_full))
     best = found.groupBy("page_id", "host", "path").agg(
         F.max(F.struct("quire_rank", "quire_rule", "quire_verdict")).alias("best"), F.sum((F.col("quire_rank") < 0).cast("int")).alias("copies")
