@@ -3,6 +3,11 @@
 Language ID drops documents without a known language; line dedup removes repeated and nearly repeated
 lines (and documents that consist of nothing else); SimHash keeps one document of each group of near
 copies; decontamination drops documents that hold benchmark passages; BPE encodes and decodes the rest.
+
+Defined cases, as the operators' own docstrings state them: a null text has no language and goes in the first stage,
+as an empty one does; very long texts go through whole; rows without an id are documents of their own; of repeated
+rows and of ties one stays, by id and hash of the text; an empty table gives no rows; extra columns, whatever their
+names, stay until the last stage.
 """
 
 from __future__ import annotations

@@ -38,13 +38,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain(c: Column) -> Column:
-    """Printable ASCII only: the other engine measures distances in bytes."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
-
-
-PLAIN = "regexp_replace(coalesce({}, ''), '[^ -~]', '', 'g')"
 NED = "levenshtein({0}, {1}) / cast(greatest(length({0}), length({1}), 1) as double)"
+#: The other engine measures distances in bytes: the characters of a pair become the bytes 1, 2, ... (a pair here has under
+#: 127 different ones), which changes no length and no distance in code points.
+LETTERS = "list_distinct(regexp_extract_all({0} || {1}, '(?s).'))"
+CODED = "array_to_string(list_transform(regexp_extract_all({0}, '(?s).'), lambda ch: chr(cast(list_position(cs, ch) as int))), '')"
 
 
 def r6(c: Column) -> Column:
@@ -55,13 +53,16 @@ def r6(c: Column) -> Column:
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, role, ref, hyp: each turn with the one after it (empty after the last)."""
+    """conv_id, turn, role, ref, hyp: each whole turn with the one after it (empty after the last)."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = read(spark, sf_dir, "conversations")
-    return spread(rows.select("conv_id", "turn", "role", plain(F.col("text")).alias("ref"), plain(F.lead("text").over(w)).alias("hyp")), "conv_id", "turn")
+    whole = lambda c: F.coalesce(c, F.lit(""))
+    return spread(rows.select("conv_id", "turn", "role", whole(F.col("text")).alias("ref"), whole(F.lead("text").over(w)).alias("hyp")), "conv_id", "turn")
 
 
-PAIRS = f"pairs as (select conv_id, turn, role, {PLAIN.format('text')} as ref, {PLAIN.format('lead(text) over (partition by conv_id order by turn)')} as hyp from conversations)"
+PAIRS = f"""raw as (select conv_id, turn, role, coalesce(text, '') as r, coalesce(lead(text) over (partition by conv_id order by turn), '') as h from conversations),
+spelled as (select *, {LETTERS.format('r', 'h')} as cs from raw),
+pairs as (select conv_id, turn, role, {CODED.format('r')} as ref, {CODED.format('h')} as hyp from spelled)"""
 
 
 @query(f"with {PAIRS} select conv_id, turn, levenshtein(ref, hyp) as distance, round({NED.format('ref', 'hyp')}, 6) as ned, round(1 - {NED.format('ref', 'hyp')}, 6) as similarity, cast(greatest(length(ref), length(hyp), 1) as bigint) as weight from pairs")
@@ -108,8 +109,9 @@ def task_metrics(spark, sf_dir):
     return found.select("task_id", "n", r6(F.col("mean_ned")).alias("mean_ned"), r6(F.col("micro_ned")).alias("micro_ned"), "n_unmatched")
 
 
-@query(f"""with {PAIRS}, x as (select a.conv_id, a.turn as gt_index, b.turn as seg_index, a.ref as g, b.ref as p from pairs a join pairs b using (conv_id))
-select cast(conv_id as varchar) as task_id, gt_index, seg_index, round({NED.format('g', 'p')}, 6) as ned from x""")
+@query(f"""with x as (select a.conv_id, a.turn as gt_index, b.turn as seg_index, coalesce(a.text, '') as r, coalesce(b.text, '') as h from conversations a join conversations b using (conv_id)),
+spelled as (select *, {LETTERS.format('r', 'h')} as cs from x), y as (select conv_id, gt_index, seg_index, {CODED.format('r')} as g, {CODED.format('h')} as p from spelled)
+select cast(conv_id as varchar) as task_id, gt_index, seg_index, round({NED.format('g', 'p')}, 6) as ned from y""")
 def cost_matrix(spark, sf_dir):
     rows = turn_pairs(spark, sf_dir).select(F.col("conv_id").cast("string").alias("task_id"), "turn", "ref")
     found = A.cost_matrix(rows.select("task_id", F.col("turn").alias("gt_index"), F.col("ref").alias("gt_norm")), rows.select("task_id", F.col("turn").alias("seg_index"), F.col("ref").alias("pred_norm")))
@@ -119,29 +121,26 @@ def cost_matrix(spark, sf_dir):
 # strata
 
 
-def end_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long rows: each document's first line scored against its last."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\\n", -1)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", plain(F.element_at(lines, 1)).alias("gt_norm"), plain(F.element_at(lines, -1)).alias("pred_norm"))
-    return spread(docs, "doc_id").withColumn("ned", M.ned(F.col("gt_norm"), F.col("pred_norm")))
+def marked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long rows: the matches of whole turns with their role, turn, and a mark that every third turn lacks."""
+    rows = turn_pairs(spark, sf_dir).withColumnsRenamed({"ref": "gt_norm", "hyp": "pred_norm"}).withColumn("ned", M.ned(F.col("gt_norm"), F.col("pred_norm")))
+    mark = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("m"), (F.col("conv_id") % 5).cast("string")))
+    return rows.select("role", F.col("turn").cast("string").alias("turn"), F.coalesce(mark, F.lit(strata.MISSING)).alias("mark"), "gt_norm", "pred_norm", "ned")
 
 
-ENDS = f"""ends as (select doc_id, lang, source, {PLAIN.format("string_split(coalesce(text, ''), chr(10))[1]")} as g, {PLAIN.format("string_split(coalesce(text, ''), chr(10))[-1]")} as p from documents),
-marked as (select e.*, {NED.format('g', 'p')} as ned, greatest(length(g), length(p), 1) as w, coalesce(cast(quality as varchar), '__missing__') as quality from ends e left join labels using (doc_id))"""
-STRATUM = "select '{0}' as dimension, {1} as stratum, count(*) as n, round(avg(ned), 6) as mean_ned, round(sum(ned * w) / sum(w), 6) as micro_ned from marked group by {1}"
+MARKED = f"""{PAIRS}, marked as (select role, cast(turn as varchar) as turn, case when turn % 3 <> 0 then 'm' || (conv_id % 5) else '__missing__' end as mark, {NED.format('ref', 'hyp')} as ned, greatest(length(ref), length(hyp), 1) as w from pairs)"""
+STRATUM = "select '{0}' as dimension, {0} as stratum, count(*) as n, round(avg(ned), 6) as mean_ned, round(sum(ned * w) / sum(w), 6) as micro_ned from marked group by {0}"
 
 
-@query(f"with {ENDS} " + " union all ".join(STRATUM.format(k, v) for k, v in (("lang", "lang"), ("source", "source"), ("quality", "quality"))) + " union all select '__all__', '', count(*), round(avg(ned), 6), round(sum(ned * w) / sum(w), 6) from marked")
+@query(f"with {MARKED} " + " union all ".join(map(STRATUM.format, ("role", "turn", "mark"))) + " union all select '__all__', '', count(*), round(avg(ned), 6), round(sum(ned * w) / sum(w), 6) from marked")
 def strata_grouping_sets(spark, sf_dir):
-    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    rows = end_lines(spark, sf_dir).join(labels, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(strata.MISSING)))
-    found = strata.strata(rows, ["lang", "source", "quality"])
+    found = strata.strata(marked_matches(spark, sf_dir), ["role", "turn", "mark"])
     return found.select("dimension", "stratum", "n", r6(F.col("mean_ned")).alias("mean_ned"), r6(F.col("micro_ned")).alias("micro_ned"))
 
 
-@query(f"with {ENDS}, s as (select source as stratum, count(*) as n from marked group by source) select 'source' as dimension, stratum, n, row_number() over (order by n desc, stratum) as place from s")
+@query(f"with {MARKED}, s as (select turn as stratum, count(*) as n from marked group by turn) select 'turn' as dimension, stratum, n, row_number() over (order by n desc, stratum) as place from s")
 def strata_ranked(spark, sf_dir):
-    return strata.ranked(strata.strata(end_lines(spark, sf_dir), ["source"]).filter("dimension = 'source'")).select("dimension", "stratum", "n", F.col("place").cast("long").alias("place"))
+    return strata.ranked(strata.strata(marked_matches(spark, sf_dir), ["turn"]).filter("dimension = 'turn'")).select("dimension", "stratum", "n", F.col("place").cast("long").alias("place"))
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +253,7 @@ met as (select *, o / (u - o) as iou from pair where o / (u - o) >= 0.05 or ((p0
 
 @query(f"with {MET} select t as task_id, i as gt_index, j as span_index, round(iou, 6) as iou from met")
 def box_iou_join(spark, sf_dir):
-    return layout.overlaps(boxes(spark, sf_dir), spans_of(spark, sf_dir)).withColumn("iou", r6(F.col("iou")))
+    return layout.overlaps(boxes(spark, sf_dir), spans_of(spark, sf_dir)).select("task_id", "gt_index", "span_index", r6(F.col("iou")).alias("iou"))
 
 
 @query(f"""with {MET}, m as (select t, i, string_agg(part, ' ' order by floor((q0 + q1) / 2 * 10 + 0.5), p0, j) as pred from met group by t, i),
@@ -265,8 +264,8 @@ def layout_merge_text(spark, sf_dir):
     return found.select("task_id", "gt_index", "pred_raw", r6(F.col("ned")).alias("ned"))
 
 
-@query(f"""with {BOXES}, page as (select t, greatest(max(x + w), 1) as pw, greatest(max(y + h), 1) as ph from boxes group by t)
-select t as task_id, cast(row_number() over (partition by t order by i) - 1 as int) as span_index, txt as text, round(x / pw, 6) as x0, round(y / ph, 6) as y0, round((x + w) / pw, 6) as x1, round((y + h) / ph, 6) as y1 from boxes join page using (t)""")
+@query(f"""with {BOXES}, page as (select t, max(x + w) as pw, max(y + h) as ph from boxes group by t), up as (select *, ph - y as top, ph - (y + h) as bottom from boxes join page using (t))
+select t as task_id, cast(row_number() over (partition by t order by i) - 1 as int) as span_index, txt as text, round(x / pw, 6) as x0, round((ph - top) / ph, 6) as y0, round((x + w) / pw, 6) as x1, round((ph - bottom) / ph, 6) as y1 from up""")
 def recognizer_lines_as_layout(spark, sf_dir):
     """Lines with pixel boxes, written as a layout document and read back as spans."""
     b = F.col("bbox")
@@ -279,10 +278,14 @@ def recognizer_lines_as_layout(spark, sf_dir):
 # text functions
 
 
-@query("select page_id, round(list_min(list_transform(generate_series(0, length(url) - 11), lambda i: levenshtein(substr(url, cast(i + 1 as bigint), 11), 'example.com'))) / 11.0, 6) as d from pages where length(url) >= 11")
+@query(f"""with {PAIRS}, w as (select conv_id, turn, case when length(ref) <= length(hyp) then ref else hyp end as n, case when length(ref) <= length(hyp) then hyp else ref end as h from pairs where ref <> '' and hyp <> '')
+select conv_id, turn, round(list_min(list_transform(generate_series(0, length(h) - length(n)), lambda i: levenshtein(substr(h, cast(i + 1 as bigint), length(n)), n))) / cast(length(n) as double), 6) as d from w""")
 def window_fuzzy(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").filter("length(url) >= 11")
-    return rows.select("page_id", r6(M.best_window(F.lit("example.com"), F.col("url"))["d"]).alias("d"))
+    """The shorter of two whole turns in the longer."""
+    a, b = F.col("ref"), F.col("hyp")
+    first = F.length(a) <= F.length(b)
+    rows = turn_pairs(spark, sf_dir).filter("ref <> '' and hyp <> ''").select("conv_id", "turn", F.when(first, a).otherwise(b).alias("n"), F.when(first, b).otherwise(a).alias("h"))
+    return rows.select("conv_id", "turn", r6(M.best_window(F.col("n"), F.col("h"))["d"]).alias("d"))
 
 
 def digest(c: Column) -> tuple[Column, Column]:
@@ -353,9 +356,9 @@ def json_key_path(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k.cast("long")).alias("total"), F.count_distinct(k).alias("keys"))
 
 
-@query("select conv_id, turn, md5(text) as guessed from conversations")
+@query("select conv_id, turn, md5(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32))) as guessed from conversations")
 def json_guess_text(spark, sf_dir):
-    body = F.to_json(F.struct(F.struct(F.array(F.col("text")).alias("pages")).alias("result")))
+    body = F.to_json(F.struct(F.lit(1).alias("pages"), F.struct(F.array(F.struct(F.col("text").alias("transcription"))).alias("output")).alias("result")))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", J.text_of(body).alias("t"))
     return rows.select("conv_id", "turn", F.md5("t").alias("guessed"))
 
