@@ -264,7 +264,7 @@ class Keys:
                     tag, start, size, other = self.plan(kind, int(lengths[on[0]]), role)
                     if kind == "chars":
                         tag, start, size = tag[other], start[other], size[other]
-                    for some in np.split(on, range(0, len(on), max(1, 1_000_000 // (len(tag) + 1)))[1:]):  # bounded, however long the lines are
+                    for some in np.split(on, range(0, len(on), max(1, 300_000 // (len(tag) + 1)))[1:]):  # bounded, however long the lines are
                         if not len(tag):
                             continue
                         if kind == "chars":
@@ -298,13 +298,13 @@ class Keys:
 # keys in packed rows
 
 #: Bits of a key within its bucket, keys that a task holds, and lines of a key beyond which a task pairs them itself.
-KEY_BITS, HELD_KEYS, MANY = 40, 1_000_000, 16
+KEY_BITS, HELD_KEYS, MANY = 40, 500_000, 16
 #: Lines of a key up to which all their pairs' parities are compared; more are one group, of which the texts decide.
 ALL_PAIRS = 256
 PACKED = "bucket int, keys binary, hs binary"
 
 
-def _long_lines(batches, chars: int = 5_000_000, once: int = 400_000) -> Iterator[list[str]]:
+def _long_lines(batches, chars: int = 1_500_000, once: int = 200_000) -> Iterator[list[str]]:
     """Lines that take part in the edit join; what a task has seen lately is left out."""
     seen: set[int] = set()
     held, size = [], 0
@@ -415,7 +415,7 @@ def _star(bucket: int, keys: list[bytes], lines: list[bytes], threshold: int = T
     size, first = np.diff(at), at[:-1]
     for n in np.unique(size).tolist():
         on = first[size == n]
-        for some in np.split(on, range(0, len(on), max(1, 2_000_000 // (n * n)))[1:]):
+        for some in np.split(on, range(0, len(on), max(1, 400_000 // (n * n)))[1:]):
             rows = some[:, None] + np.arange(n)
             group[rows] = line[some][:, None] if n > ALL_PAIRS else _alike(line[rows], many[some], threshold)
     on = line != group
