@@ -35,7 +35,7 @@ from quire.llm.common import tidy
 
 #: Characters of a text, and of one pre-token, that are a leaf of the tree; words that a task remembers.
 TEXT_LEAF, LEAF = 1 << 11, 1 << 12
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Cuts at ASCII white space only: every tokenizer's idea of white space holds it.
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -146,7 +146,9 @@ class Codec:
         while len(text) > size * (len(cuts) - 1):
             cuts = [c for a, b in zip(cuts, cuts[1:]) for c in (a, (a + b) // 2)] + [len(text)]
         parts = [WORD.findall(text[a:b]) for a, b in zip(cuts, cuts[1:])]
-        self._learn([w for part in parts for w in part])
+        # pieces of words that a cut fell into are not encoded, nor remembered
+        cut = [False, *(WORD.fullmatch(text, c - 1, c + 1) is not None for c in cuts[1:-1]), False]
+        self._learn([w for k, part in enumerate(parts) for w in part[cut[k] : len(part) - cut[k + 1]]])
         self.joined += len(parts) > 1
         while len(parts) > 1:
             parts = [self.join_words(parts[k], parts[k + 1], WORD.fullmatch(text, cuts[k + 1] - 1, cuts[k + 1] + 1) is not None) for k in range(0, len(parts), 2)]

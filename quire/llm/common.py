@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import vectext as V
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +45,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def tidy() -> None:
     """Gives memory that a task no longer needs back to the system: Python workers outlive their tasks."""
+    V.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

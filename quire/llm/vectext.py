@@ -33,6 +33,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def forget() -> None:
+    """Gives the tables of powers back; they are made anew when needed."""
+    _powers.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
