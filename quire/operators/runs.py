@@ -7,6 +7,7 @@ loading is not part of a page's time. Errors stay rows of their page and model.
 from __future__ import annotations
 
 import hashlib
+import resource
 import time
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.align import PAGE_BREAK
 
-RUN = "model string, page_index int, elapsed double, text string, error string"
+RUN = "model string, page_index int, elapsed double, text string, error string, native string, json string, peak_mb double"
 
 
 class Recognizer:
@@ -29,9 +30,18 @@ class Recognizer:
     def load(self) -> None:
         """Whatever is needed before the first page."""
 
+    def page(self, index: int) -> None:
+        """Told the index (from 0) of the page that is read next."""
+
     def read(self, content: bytes) -> str:
         raise NotImplementedError
 
+    def native(self) -> str | None:
+        """The text of the page read last in the recognizer's own form, if it has one."""
+
+    def json(self) -> str | None:
+        """What the recognizer has to say of the page read last, as JSON, if anything."""
+
 
 class Echo(Recognizer):
     """A stub without a model: the bytes as text, or their digest where they are none."""
@@ -65,7 +75,8 @@ def chosen_pages(pages: DataFrame, wanted: list[int] | None) -> DataFrame:
 
 
 def run(pages: DataFrame, models: list[str], tasks: int | None = None) -> DataFrame:
-    """(model, page_index, elapsed, text, error) of every page (page_index, content) and model."""
+    """(model, page_index, elapsed, text, error, native, json, peak_mb) of every page (page_index, content) and model;
+    peak_mb: most memory that the task's process has held so far."""
     makers = {m: REGISTRY[m] for m in known(models)[0]}
     work = pages.select("page_index", "content", F.explode(F.array(*map(F.lit, makers))).alias("model"))
     work = work.repartition(tasks, "model", "page_index") if tasks else work.repartition("model", "page_index")
@@ -81,15 +92,21 @@ def run(pages: DataFrame, models: list[str], tasks: int | None = None) -> DataFr
                         held[name].load()
                     except Exception as problem:  # noqa: BLE001
                         held[name] = problem
-                began, text, error = time.perf_counter(), None, None
+                model, text, error, own, said = held[name], None, None, None, None
+                if not isinstance(model, Exception):
+                    model.page(index)
+                began = time.perf_counter()
                 try:
-                    if isinstance(held[name], Exception):
-                        raise held[name]
-                    text = held[name].read(content)
+                    if isinstance(model, Exception):
+                        raise model
+                    text = model.read(content)
                 except Exception as problem:  # noqa: BLE001
                     error = f"{type(problem).__name__}: {problem}"
-                out.append((name, index, time.perf_counter() - began, text, error))
-            yield pd.DataFrame(out, columns=["model", "page_index", "elapsed", "text", "error"])
+                took = time.perf_counter() - began
+                if error is None:
+                    own, said = model.native(), model.json()
+                out.append((name, index, took, text, error, own, said, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024))
+            yield pd.DataFrame(out, columns=["model", "page_index", "elapsed", "text", "error", "native", "json", "peak_mb"])
 
     return work.mapInPandas(one, RUN)
 
@@ -131,8 +148,29 @@ def combined(runs: DataFrame, *by: str, order: str = "page_index", text: str = "
 
 
 def results(runs: DataFrame) -> DataFrame:
-    """One row a model: status, timings, characters of the combined text (breaks included), failed pages, the first error.
-    A model with an error has status error."""
+    """One row a model: status, timings, characters of the combined text (breaks included), failed pages, the first error and,
+    if runs have it, the peak of memory. A model with an error has status error."""
     chars = F.sum(F.length("text")) + F.lit(len(PAGE_BREAK)) * (F.count("text") - 1)
-    all_pages = runs.groupBy("model").agg(F.min("error").alias("error"), F.count("error").alias("failed"), chars.alias("total_chars"))
+    peak = [F.max("peak_mb").alias("peak_mb")] if "peak_mb" in runs.columns else []
+    all_pages = runs.groupBy("model").agg(F.min("error").alias("error"), F.count("error").alias("failed"), chars.alias("total_chars"), *peak)
     return all_pages.join(timings(runs.filter("error is null")), "model", "left").withColumn("status", F.when(F.col("failed") > 0, "error").otherwise("ok"))
+
+
+def exports(texts: DataFrame, also_txt: bool = False) -> DataFrame:
+    """(model, name, text): the files that combined texts (model, text) go to. Models that write markdown have a file with
+    their own extension, and one of plain text if asked for; others one of plain text."""
+    kinds = {m: make() for m, make in REGISTRY.items()}
+    ends = {m: [k.extension, *([".txt"] if also_txt else [])] if k.markdown else [".txt"] for m, k in kinds.items()}
+    known = texts.sparkSession.createDataFrame([(m, e) for m, es in ends.items() for e in es], "model string, quire_end string")
+    return texts.join(F.broadcast(known), "model").select("model", F.concat("model", F.lit("_output"), "quire_end").alias("name"), "text")  # as many rows as models are registered
+
+
+def summary_table(found: DataFrame, metadata: dict[str, str] | None = None) -> str:
+    """results() as plain text for people, one line a registered model."""
+    lines = [f"{k}: {v}" for k, v in (metadata or {}).items()] + [f"{'model':<16} {'status':<6} {'total s':>9} {'s a page':>17} {'RAM MB':>8} {'chars':>10}"]
+    for r in found.filter(F.col("model").isin(list(REGISTRY))).orderBy("model").collect():
+        if r["status"] == "ok":
+            lines.append(f"{r['model']:<16} {'ok':<6} {r['total']:>9.2f} {r['mean']:>8.2f} ± {r['std']:>6.2f} {(r['peak_mb'] if 'peak_mb' in r else 0) or 0:>8.0f} {r['total_chars']:>10,}")
+        else:
+            lines.append(f"{r['model']:<16} {'error':<6} {(r['error'] or '')[:50]}")
+    return "\n".join(lines)

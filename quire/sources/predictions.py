@@ -86,10 +86,11 @@ def layout_spans(docs: DataFrame, page_no: int = 1, key: str = "task_id") -> Dat
     rows = docs.select(key, sized.alias("size"), F.posexplode("texts").alias("span_index", "t"))
     w, h = F.col("size.width"), F.col("size.height")
     text = strip(F.coalesce(F.nullif(strip(F.col("t.text")), F.lit("")), F.col("t.orig"), F.lit("")))
-    placed = F.filter(F.col("t.prov"), lambda p: (p["page_no"].isNull() | (p["page_no"] == page_no)) & p["bbox"].isNotNull() & (G.area(G.from_document(p["bbox"], w, h)) > 0))
-    first = F.get(placed, F.lit(0))
-    out = rows.select(key, "span_index", text.alias("text"), G.from_document(first["bbox"], w, h).alias("box"), F.coalesce(first["page_no"], F.lit(page_no)).alias("page_no"))
-    return out.filter("text <> '' and box is not null")
+    here = F.filter(F.col("t.prov"), lambda p: (p["page_no"].isNull() | (p["page_no"] == page_no)) & p["bbox"].isNotNull())
+    boxed = F.transform(here, lambda p: F.struct(G.from_document(p["bbox"], w, h).alias("box"), F.coalesce(p["page_no"], F.lit(page_no)).alias("page_no")))
+    placed = F.filter(boxed, lambda p: G.area(p["box"]) > 0)
+    # the first place comes out of a generator, so that the box is worked out once however often it is used
+    return rows.select(key, "span_index", text.alias("text"), F.inline(F.slice(placed, 1, 1))).filter("text <> ''")
 
 
 def recognizer_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -45,8 +45,10 @@ def read_alignments(spark: SparkSession, path: str, lines: bool = False) -> Data
     A file is one report (indented or not), a list of them, or one report a line; lines: all files are of the last kind
     and may be of any size, where otherwise each is one row."""
     raw = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("source_file"), "value")
-    whole = F.try_parse_json("value")
-    docs = F.when(F.startswith(F.ltrim("value"), F.lit("[")) & whole.isNotNull(), F.transform(F.try_variant_get(whole, "$", "array<variant>"), lambda v: F.to_json(v))).when(whole.isNotNull(), F.array("value")).otherwise(F.split("value", "\n"))
+    filled = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    each_line = (F.size(filled) > 1) & F.forall(filled, lambda x: x.startswith("{") & x.endswith("}"))
+    many = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    docs = F.when(each_line, filled).when(many.isNotNull(), F.transform(many, lambda v: F.to_json(v))).otherwise(F.array("value"))
     rows = raw.select("source_file", F.explode(docs).alias("doc")).select("source_file", F.from_json("doc", REPORT).alias("r")).filter("r.task_id is not null")
     each = rows.select("source_file", "r.*").select("task_id", "model_name", "alignment", "match_mode", "source_file", F.explode("matches").alias("m"))
     return each.filter("m is not null").select(

@@ -12,7 +12,7 @@ from quire.functions import metrics as M
 from quire.functions import models
 from quire.functions import normalize as N
 from quire.functions import segment as S
-from quire.operators import align, layout, solvers, strata
+from quire.operators import align, layout, runs, solvers, strata
 from quire.plans import registry
 from quire.sources import manifest, predictions, reports
 from quire.streaming import follow
@@ -225,3 +225,32 @@ def test_simple_matching_is_the_cheapest_on_pages(spark, sf_dir):
         for g, p in own.items():
             assert all(cost[g, p] <= cost[g, q] + 1e-9 for q in free)
             assert all(cost[g, p] + cost[h, q] <= cost[g, q] + cost[h, p] + 1e-9 for h, q in own.items())
+
+
+def test_recognizer_hooks_and_exports(spark):
+    class Marked(runs.Recognizer):
+        markdown, extension = True, ".mmd"
+
+        def page(self, index):
+            self.index = index
+
+        def read(self, content):
+            return f"# {content.decode()}"
+
+        def native(self):
+            return f"native {self.index}"
+
+        def json(self):
+            return json.dumps({"page": self.index})
+
+    runs.register("marked", Marked)
+    pages = spark.createDataFrame([(k, f"p{k}".encode()) for k in range(2)], "page_index int, content binary")
+    found = runs.run(pages, ["marked", "echo"]).cache()
+    got = {(r["model"], r["page_index"]): r for r in rows(found)}
+    assert got["marked", 1]["native"] == "native 1" and got["marked", 1]["json"] == '{"page": 1}' and got["echo", 0]["native"] is None and got["echo", 0]["peak_mb"] > 0
+    texts = runs.combined(found, "model")
+    assert {r["name"] for r in rows(runs.exports(texts))} == {"marked_output.mmd", "echo_output.txt"}
+    assert {r["name"] for r in rows(runs.exports(texts, also_txt=True))} == {"marked_output.mmd", "marked_output.txt", "echo_output.txt"}
+    said = runs.summary_table(runs.results(found), {"pages": "2"})
+    assert said.startswith("pages: 2\n") and "marked           ok" in said and "echo             ok" in said
+    del runs.REGISTRY["marked"]
