@@ -35,7 +35,7 @@ from quire.llm.common import tidy
 
 #: Characters of a text, and of one pre-token, that are a leaf of the tree; words that a task remembers.
 TEXT_LEAF, LEAF = 1 << 11, 1 << 12
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Cuts at ASCII white space only: every tokenizer's idea of white space holds it.
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -134,7 +134,7 @@ class Codec:
         if self.tok.decoder is None:
             self.decoded.update(zip((w for w, _ in found), self.tok.decode_batch([i for _, i in found], skip_special_tokens=False)))
 
-    def forget(self, most: int = 100_000) -> None:
+    def forget(self, most: int = 50_000) -> None:
         """A worker outlives its task: it keeps the tokenizer, but no more than `most` words."""
         if len(self.ids) > most:
             self.ids.clear()
