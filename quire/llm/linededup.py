@@ -19,7 +19,8 @@ that hash lowest stand as its key, so that neighbouring substrings mostly share
 Keys travel as packed arrays, one row for each task and bucket of keys. In a bucket, the lines that share a key are
 each paired with one of them only (within a task already, where a key has many lines; apart, where parities of their
 words rule it out that any chain of near lines connects them): rows grow with the lines, not with their pairs. Pairs are verified on the texts by banded bit-parallel edit distance and give the first
-classes; where lines that share a key are left in different ones, these are compared with the rest. Parities of
+classes; where lines that share a key are left in different ones, these are compared with a few others of a large
+group, picked anew TURNS times, which brings most together, and in the end with all the rest. Parities of
 characters and words, of which every edit changes two at most, spare most texts a comparison. Texts of candidates are picked out at the scan by a
 bitmap of fixed largest size (it may let others through, which a join then drops).
 
@@ -540,19 +541,35 @@ def _named(df: DataFrame, prefix: str, *names: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in names))
 
 
-def _others(met: DataFrame, tested: DataFrame, threshold: int, share: int) -> DataFrame:
-    """Pairs of lines that share a key and are of different classes so far, if their shapes let them be near.
+def _open_groups(met: DataFrame) -> DataFrame:
+    """(key, main, id, label, the shape): members of groups of lines that share a key and are of different classes so far.
 
     met: (key, id, label, the shape, and the same of the line that they were paired with under r_ names)."""
     names = ["id", "label", *SHAPE]
-    # a group may have been paired in parts: whoever is not of its main class is compared with all others
+    # a group may have been paired in parts: whoever is not of its main class is compared with others
     main = met.groupBy("key").agg(F.count("*").alias("n"), F.min("r_label").alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), F.count_distinct("r_label").alias("b"))
     main = main.filter("n > 1 and (a or b > 1)").select("key", "main")
     ends = F.array(F.struct(*names), F.struct(*(F.col(f"r_{c}").alias(c) for c in names)))
-    every = cut(met.join(main, "key").select("key", "main", F.inline(ends)).distinct())
-    late = every.filter("label <> main").select("key", *(F.col(c).alias(f"u_{c}") for c in names))
-    pairs = late.join(every, "key").filter((F.col("label") != F.col("u_label")) & _alike_shapes(threshold, share, "", "u_"))
-    return pairs.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return cut(met.join(main, "key").select("key", "main", F.inline(ends)).distinct())
+
+
+#: Lines of a large group that all others are compared with at once, and how often; then all are compared with the rest.
+PICKED, TURNS = 8, 3
+
+
+def _picked(groups: DataFrame, turn: int) -> DataFrame:
+    """Of groups with many lines, PICKED of their members by hashes of their ids."""
+    member = F.struct("id", "label", *SHAPE)
+    least = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PICKED + k)).alias("o"), member.alias("m"))).alias(f"p{k}") for k in range(PICKED)]
+    large = groups.groupBy("key").agg(F.count("*").alias("n"), *least).filter(F.col("n") > 2 * PICKED)
+    return large.select("key", F.inline(F.array_distinct(F.array(*(F.col(f"p{k}.m") for k in range(PICKED))))))
+
+
+def _across(groups: DataFrame, others: DataFrame, threshold: int, share: int) -> DataFrame:
+    """Pairs (a, b) of members that are not of their group's main class with others of other classes, if shapes let them be near."""
+    late = groups.filter("label <> main").select("key", *(F.col(c).alias(f"u_{c}") for c in ("id", "label", *SHAPE)))
+    pairs = late.join(others, "key").filter((F.col("label") != F.col("u_label")) & _alike_shapes(threshold, share, "", "u_"))
+    return pairs.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct()
 
 
 def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
@@ -574,12 +591,25 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     both = edges.select("h", "r").distinct().join(place, "h").join(_named(place.withColumnRenamed("h", "r"), "r_", "r", "id", *SHAPE).withColumnRenamed("r_r", "r"), "r")
     tested = cut(both.filter(_alike_shapes(threshold, share)).select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct())
     links = _checked(tested, lines, threshold, share)
-    first = cut(components(links))
-    known = stash(place.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least"), "line-classes")
-    met = edges.join(known, "h").join(_named(known.withColumnRenamed("h", "r"), "r_", "r", "id", "label", *SHAPE).withColumnRenamed("r_r", "r"), "r")
-    more = _checked(_others(met, tested, threshold, share), lines, threshold, share)
-    if not more.isEmpty():
-        first = cut(components(links.unionByName(more)))
+
+    def classes() -> tuple[DataFrame, DataFrame]:
+        first = cut(components(links))
+        known = stash(place.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least"), "line-classes")
+        met = edges.join(known, "h").join(_named(known.withColumnRenamed("h", "r"), "r_", "r", "id", "label", *SHAPE).withColumnRenamed("r_r", "r"), "r")
+        return first, _open_groups(met)
+
+    first, groups = classes()
+    for turn in range(TURNS + 1):
+        others = _picked(groups, turn) if turn < TURNS else groups.drop("main")
+        pairs = cut(_across(groups, others, threshold, share).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        links = cut(links.unionByName(_checked(pairs, lines, threshold, share)))
+        if turn < TURNS:
+            tested = cut(tested.unionByName(pairs))
+            first, groups = classes()
+        else:
+            first = cut(components(links))
     found = first.join(lines.select(F.col("id").alias("node"), "h", "g"), "node")
     return found.join(found.groupBy("least").agg(F.count("*").alias("members")), "least").select("h", "g", F.col("least").alias("label"), "members")
 
