@@ -544,10 +544,10 @@ def _named(df: DataFrame, prefix: str, *names: str) -> DataFrame:
 def _open_groups(met: DataFrame) -> DataFrame:
     """(key, main, id, label, the shape): members of groups of lines that share a key and are of different classes so far.
 
-    met: (key, id, label, the shape, and the same of the line that they were paired with under r_ names)."""
+    met: (key, id, label, members of the class, the shape, and the same of the line that they were paired with under r_ names)."""
     names = ["id", "label", *SHAPE]
-    # a group may have been paired in parts: whoever is not of its main class is compared with others
-    main = met.groupBy("key").agg(F.count("*").alias("n"), F.min("r_label").alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), F.count_distinct("r_label").alias("b"))
+    # a group may have been paired in parts: whoever is not of its largest class is compared with others
+    main = met.groupBy("key").agg(F.count("*").alias("n"), F.greatest(F.max(F.struct("members", "label")), F.max(F.struct(F.col("r_members").alias("members"), F.col("r_label").alias("label"))))["label"].alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), F.count_distinct("r_label").alias("b"))
     main = main.filter("n > 1 and (a or b > 1)").select("key", "main")
     ends = F.array(F.struct(*names), F.struct(*(F.col(f"r_{c}").alias(c) for c in names)))
     return cut(met.join(main, "key").select("key", "main", F.inline(ends)).distinct())
@@ -595,7 +595,8 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     def classes() -> tuple[DataFrame, DataFrame]:
         first = cut(components(links))
         known = stash(place.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least"), "line-classes")
-        met = edges.join(known, "h").join(_named(known.withColumnRenamed("h", "r"), "r_", "r", "id", "label", *SHAPE).withColumnRenamed("r_r", "r"), "r")
+        known = known.join(known.groupBy("label").agg(F.count("*").alias("members")), "label")
+        met = edges.join(known, "h").join(_named(known.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "members", *SHAPE).withColumnRenamed("r_r", "r"), "r")
         return first, _open_groups(met)
 
     first, groups = classes()
