@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import vectext as V
-from quire.llm.common import bounded_sample, fold
+from quire.llm.common import bounded_sample, fold, mapped
 
 BITS = 20
 FOLDS = 5
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_un
     own = docs.select("doc_id", "text").filter(fold(F.col("doc_id"), FOLDS) != 0)
     pos = own.join(F.broadcast(marked), "doc_id").select(F.lit(True).alias("positive"), "text")
     rest = bounded_sample(own, F.col("doc_id"), most_unlabelled, "unlabelled").select(F.lit(False).alias("positive"), "text")
-    rows = pos.unionAll(rest).mapInArrow(_bags, "positive boolean, bag array<int>").toArrow()
+    rows = mapped(pos.unionAll(rest), _bags, "positive boolean, bag array<int>").toArrow()
     which = rows["positive"].to_numpy()
     bags = [np.asarray(x, np.int64) for x in rows["bag"].to_numpy()]
     order = sorted(range(len(bags)), key=lambda i: bags[i].tobytes())
@@ -146,4 +146,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, out, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, run, "doc_id long, held_out boolean, score double, predicted int")

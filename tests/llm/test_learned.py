@@ -165,3 +165,37 @@ def test_quality_on_odd_rows(spark, labels):
     got = rows(quality.judge(docs, quality.train(docs, marked)))
     assert len(got) == docs.count() and all(0 <= r["p_good"] <= 1 for r in got)
     assert all(not r["kept"] for r in got if r["n_words"] < 10)
+
+
+@pytest.mark.parametrize("work", [lambda docs: toxicity.score(docs, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), -1.0))])
+def test_batches_of_long_texts_are_bounded_by_bytes(spark, work):
+    """3,000 rows of 10,000 characters went to Python as one batch of 30 MB."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    own = spark.newSession()
+    docs = own.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghi "), 1000).alias("text"))
+    assert work(docs) is not None
+    assert docs.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 6 << 20
+
+
+def test_toxicity_scores_long_texts_in_little_memory():
+    """The tables of a slice of texts are bounded (they took 131 MB, now 44)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quire.llm import vectext
+
+    texts = pa.array(["word of a text " * 250] * 1500)  # 5.6 MB
+    model = toxicity.Model(np.arange(100), np.ones(100), -1.0)
+    tracemalloc.start()
+    try:
+        for _, _, x in vectext.slices(texts):
+            model.scores(x)
+        assert tracemalloc.get_traced_memory()[1] < 90e6
+    finally:
+        tracemalloc.stop()
