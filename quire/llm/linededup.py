@@ -19,8 +19,8 @@ that hash lowest stand as its key, so that neighbouring substrings mostly share
 Keys travel as packed arrays, one row for each task and bucket of keys. In a bucket, the lines that share a key are
 each paired with one of them only (within a task already, where a key has many lines; apart, where parities of their
 words rule it out that any chain of near lines connects them): rows grow with the lines, not with their pairs. Pairs are verified on the texts by banded bit-parallel edit distance and give the first
-classes; where lines that share a key are left in different ones, these are compared with a few others of a large
-group, picked anew TURNS times, which brings most together, and in the end with all the rest. Parities of
+classes; where lines that share a key are left in different ones, all such pairs are met in units of work that hold the
+lines' texts, a pair once for all its keys, and compared unless others have connected it meanwhile. Parities of
 characters and words, of which every edit changes two at most, spare most texts a comparison. Texts of candidates are picked out at the scan by a
 bitmap of fixed largest size (it may let others through, which a join then drops).
 
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import vectext as V
-from quire.llm.common import cut, stash, tidied
+from quire.llm.common import cut, mapped, stash
 from quire.llm.components import components
 from quire.llm.editdist import within
 
@@ -179,7 +179,10 @@ def word_distance(a: list[str], b: list[str]) -> int:
 
 
 def near_words(x: str, y: str, share: int) -> bool:
-    a, b = WORD.findall(x), WORD.findall(y)
+    return near_word_lists(WORD.findall(x), WORD.findall(y), share)
+
+
+def near_word_lists(a: list[str], b: list[str], share: int) -> bool:
     most = max(len(a), len(b)) // share
     return bool(most) and len(set(a) - set(b)) <= most and abs(len(a) - len(b)) <= most and word_distance(a, b) <= most
 
@@ -524,7 +527,7 @@ def _checked(pairs: DataFrame, lines: DataFrame, threshold: int, share: int) ->
     """The pairs (a, b; ids of lines) whose texts are near."""
     side = lambda k, t: lines.select(F.col("id").alias(k), F.col("line").alias(t))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(tidied(_verify(threshold, share)), "a long, b long"))
+    return cut(mapped(both, _verify(threshold, share), "a long, b long"))
 
 
 def _alike_shapes(threshold: int, share: int, x: str = "", y: str = "r_") -> Column:
@@ -553,23 +556,114 @@ def _open_groups(met: DataFrame) -> DataFrame:
     return cut(met.join(main, "key").select("key", "main", F.inline(ends)).distinct())
 
 
-#: Lines of a large group that all others are compared with at once, and how often; then all are compared with the rest.
-PICKED, TURNS = 8, 3
+#: Lines of a main class's groups that are not of it, and lines in all, that one unit of work holds.
+MOST_LATE, MOST_MEMBERS, UNIT_ROWS = 2_000, 20_000, 20_000
+
+
+class _Classes:
+    """Union-find over a unit's lines, from the classes that they have."""
+
+    def __init__(self, label: np.ndarray):
+        known, self.of = np.unique(label, return_inverse=True)  # of: each line's class
+        self.up = np.arange(len(known))
 
+    def root(self, c: int) -> int:
+        while self.up[c] != c:
+            self.up[c] = c = self.up[self.up[c]]
+        return int(c)
 
-def _picked(groups: DataFrame, turn: int) -> DataFrame:
-    """Of groups with many lines, PICKED of their members by hashes of their ids."""
-    member = F.struct("id", "label", *SHAPE)
-    least = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PICKED + k)).alias("o"), member.alias("m"))).alias(f"p{k}") for k in range(PICKED)]
-    large = groups.groupBy("key").agg(F.count("*").alias("n"), *least).filter(F.col("n") > 2 * PICKED)
-    return large.select("key", F.inline(F.array_distinct(F.array(*(F.col(f"p{k}.m") for k in range(PICKED))))))
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.root(self.of[x]), self.root(self.of[y])
+        self.up[max(a, b)] = min(a, b)
+        return a != b
 
+    def apart(self, x: int, y: int) -> bool:
+        return self.root(self.of[x]) != self.root(self.of[y])
 
-def _across(groups: DataFrame, others: DataFrame, threshold: int, share: int) -> DataFrame:
-    """Pairs (a, b) of members that are not of their group's main class with others of other classes, if shapes let them be near."""
-    late = groups.filter("label <> main").select("key", *(F.col(c).alias(f"u_{c}") for c in ("id", "label", *SHAPE)))
-    pairs = late.join(others, "key").filter((F.col("label") != F.col("u_label")) & _alike_shapes(threshold, share, "", "u_"))
-    return pairs.select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct()
+    def roots(self, lines: np.ndarray) -> np.ndarray:
+        return np.array([self.root(c) for c in self.of[lines].tolist()], np.int64)
+
+
+def _settle(key: np.ndarray, who: np.ndarray, mine: np.ndarray, other: np.ndarray, label: np.ndarray, shape: np.ndarray, lines: list[str], threshold: int, share: int) -> list[tuple[int, int]]:
+    """Pairs of lines whose texts are near and that join classes: all that the members' pairs connect, each class once.
+
+    key, who, mine, other: a row for each member of a group: its place among the lines, whether it is compared with
+    others, and whether others are with it. label, shape, lines: of each line."""
+    classes, words, out = _Classes(label), {}, []
+    done: set[bytes] = set()
+    tested: set[tuple[int, int]] = set()
+    order = np.lexsort((who, key))
+    who, mine, other, cuts = who[order], mine[order], other[order], _runs(key[order])
+
+    def words_of(k: int) -> list[str]:
+        if k not in words:
+            words[k] = WORD.findall(lines[k])
+        return words[k]
+
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        on = slice(first, end)
+        late, rest = who[on][mine[on]], who[on][other[on]]
+        form = late.tobytes() + b"|" + rest.tobytes()
+        if not len(late) or form in done:  # keys beside each other mostly have the same lines
+            continue
+        done.add(form)
+        root_of = classes.roots(rest)
+        for some in np.split(late, range(0, len(late), max(1, 200_000 // max(1, len(rest))))[1:]):
+            n_chars, n_words, sketch = (shape[some, 0], shape[some, 1], shape[some, 2:].view(np.uint64))
+            apart = lambda k: np.bitwise_count(sketch[:, None, k] ^ shape[rest, 2 + k].view(np.uint64)).astype(np.int64)
+            longer = np.maximum(n_words[:, None], shape[rest, 1])
+            open_ = classes.roots(some)[:, None] != root_of
+            letters = open_ & (longer < WORDS_SUFFICE) & (np.abs(n_chars[:, None] - shape[rest, 0]) <= threshold) & (apart(0) <= 2 * threshold)
+            most = longer // share
+            by_words = open_ & (np.abs(n_words[:, None] - shape[rest, 1]) <= most)
+            if by_words.any():
+                by_words &= sum(apart(k) for k in (1, 2, 3, 4)) <= 2 * most
+            few = []
+            for i, j in zip(*(x.tolist() for x in np.nonzero(letters | by_words))):
+                x, y = sorted((int(some[i]), int(rest[j])))
+                if (x, y) in tested or not classes.apart(x, y):
+                    continue
+                tested.add((x, y))
+                if by_words[i, j] and near_word_lists(words_of(x), words_of(y), share):
+                    classes.join(x, y)
+                    out.append((x, y))
+                elif letters[i, j]:
+                    few.append((x, y))
+            near = within([lines[x] for x, _ in few], [lines[y] for _, y in few], threshold) if few else ()
+            out += [(x, y) for (x, y), ok in zip(few, near) if ok and classes.join(x, y)]
+    return out
+
+
+def _settled(groups: DataFrame, lines: DataFrame, threshold: int, share: int) -> DataFrame:
+    """(a, b): labels of classes that near lines of a group join; every pair of lines of a group that may be near and is not
+    connected otherwise has its texts compared.
+
+    Groups with one main class mostly have the same lines, and go to one unit of work, or, where they are large, are dealt to
+    units by squares of their pairs: a pair of lines is met once there, however many keys it shares."""
+    spark = groups.sparkSession
+    late = F.col("label") != F.col("main")
+    sizes = groups.groupBy("main").agg(F.count_distinct(F.when(late, F.col("id"))).alias("n_late"), F.count_distinct("id").alias("n"))
+    sizes = sizes.select("main", F.ceil(F.col("n_late") / MOST_LATE).cast("int").alias("across"), F.ceil(F.col("n") / MOST_MEMBERS).cast("int").alias("down"))
+    cells = groups.join(sizes, "main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("across") * F.col("down") - 1)))
+    cells = cells.withColumn("mine", late & (F.col("id") % F.col("across") == F.floor(F.col("cell") / F.col("down")))).withColumn("other", F.col("id") % F.col("down") == F.col("cell") % F.col("down"))
+    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups.count() // UNIT_ROWS)
+    cells = cells.filter("mine or other").withColumn("unit", F.pmod(F.xxhash64("main", "cell"), F.lit(units)).cast("int"))
+    members = cells.select(F.col("unit").alias("place"), F.col("id").alias("own"), *(F.col(c).alias(f"own_{c}") for c in ("label", *SHAPE))).distinct()
+    members = members.join(lines.select(F.col("id").alias("own"), "line"), "own")
+
+    def run(unit, table: pa.Table, members: pa.Table) -> pa.Table:
+        ids = members["own"].to_numpy()
+        order = np.argsort(ids)
+        who = order[np.searchsorted(ids, table["id"].to_numpy(), sorter=order)]
+        label = members["own_label"].to_numpy()
+        shape = np.stack([members[f"own_{c}"].to_numpy() for c in SHAPE], 1)
+        mine, other = (table[c].to_numpy() for c in ("mine", "other"))
+        found = _settle(table["key"].to_numpy(), who, mine, other, label, shape, members["line"].to_pylist(), threshold, share)
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(label[both[:, 0]]), "b": pa.array(label[both[:, 1]])})
+
+    found = cells.select("unit", "key", "id", "mine", "other").groupBy("unit").cogroup(members.groupBy("place"))
+    return cut(found.applyInArrow(run, "a long, b long"))
 
 
 def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
@@ -579,11 +673,11 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_lines // 50_000)
     bits = int(np.ceil(np.log2(4 * parts)))
-    keys = rows.mapInArrow(tidied(_packed(threshold, share, bits)), PACKED)
-    edges = stash(keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_stars(threshold)), "key long, h long, r long"), "line-pairs")
+    keys = mapped(rows, _packed(threshold, share, bits), PACKED)
+    edges = stash(mapped(keys.repartition(parts, "bucket").sortWithinPartitions("bucket"), _stars(threshold), "key long, h long, r long"), "line-pairs")
     wanted = cut(edges.select(F.explode(F.array("h", "r")).alias("h")).distinct())
     held = spark.sparkContext.broadcast(bitmap(wanted))
-    texts = rows.mapInArrow(tidied(_texts(held, share)), "h long, g long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(wanted, "h", "left_semi")
+    texts = mapped(rows, _texts(held, share), "h long, g long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(wanted, "h", "left_semi")
     lines = texts.groupBy("h", "g").agg(*(F.min(c).alias(c) for c in (*SHAPE, "line")))
     lines = stash(lines.withColumn("id", F.monotonically_increasing_id()), "line-texts")
     # lines with one h, should there be any, are all compared
@@ -592,27 +686,15 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     tested = cut(both.filter(_alike_shapes(threshold, share)).select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct())
     links = _checked(tested, lines, threshold, share)
 
-    def classes() -> tuple[DataFrame, DataFrame]:
-        first = cut(components(links))
-        known = stash(place.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least"), "line-classes")
-        known = known.join(known.groupBy("label").agg(F.count("*").alias("members")), "label")
-        met = edges.join(known, "h").join(_named(known.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "members", *SHAPE).withColumnRenamed("r_r", "r"), "r")
-        return first, _open_groups(met)
-
-    first, groups = classes()
-    for turn in range(TURNS + 1):
-        others = _picked(groups, turn) if turn < TURNS else groups.drop("main")
-        pairs = cut(_across(groups, others, threshold, share).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        links = cut(links.unionByName(_checked(pairs, lines, threshold, share)))
-        if turn < TURNS:
-            tested = cut(tested.unionByName(pairs))
-            first, groups = classes()
-        else:
-            first = cut(components(links))
-    found = first.join(lines.select(F.col("id").alias("node"), "h", "g"), "node")
-    return found.join(found.groupBy("least").agg(F.count("*").alias("members")), "least").select("h", "g", F.col("least").alias("label"), "members")
+    first = cut(components(links))
+    known = lines.select("h", "g", "id", *SHAPE).join(first.withColumnRenamed("node", "id"), "id", "left")
+    known = known.withColumn("label", F.coalesce("least", "id")).drop("least")
+    known = stash(known.join(known.groupBy("label").agg(F.count("*").alias("members")), "label"), "line-classes")
+    side = known.drop("g")
+    met = edges.join(side, "h").join(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "members", *SHAPE).withColumnRenamed("r_r", "r"), "r")
+    joined = components(_settled(_open_groups(met), lines, threshold, share))
+    found = known.select("h", "g", "label").join(joined.withColumnRenamed("node", "label"), "label", "left").select("h", "g", F.coalesce("least", "label").alias("label"))
+    return found.join(found.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1"), "label").select("h", "g", "label", "members")
 
 
 # documents
@@ -636,7 +718,7 @@ def owned(docs: DataFrame) -> DataFrame:
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(d, w, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
     rows = owned(docs)
-    seen = stash(rows.mapInArrow(tidied(_occurrences), "d long, w long, at int, h long, g long"), "lines")
+    seen = stash(mapped(rows, _occurrences, "d long, w long, at int, h long, g long"), "lines")
     near = near_classes(rows, seen.count(), threshold)
     grouped = seen.groupBy("h", "g").agg(F.min(F.struct("d", "w", "at")).alias("f"), F.count("*").alias("k"))
     firsts = stash(grouped.join(near, ["h", "g"], "left").filter("k > 1 or label is not null"), "line-firsts")
@@ -696,9 +778,8 @@ def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             )
 
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return joined.select(F.col("quire_0").cast("long").alias("doc_id"), "quire_text", "ats", zero("exact"), zero("near"), zero("n_links")).mapInArrow(
-        run, "doc_id long, n_lines long, n_exact long, n_near long, n_links long, n_kept long, kept_sha256 string"
-    )
+    own = joined.select(F.col("quire_0").cast("long").alias("doc_id"), "quire_text", "ats", zero("exact"), zero("near"), zero("n_links"))
+    return mapped(own, run, "doc_id long, n_lines long, n_exact long, n_near long, n_links long, n_kept long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -715,5 +796,5 @@ def clean(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             keep = pa.array([n is None or bool(n.strip()) or not t.strip() for t, n in zip(texts, new, strict=True)])
             yield pa.RecordBatch.from_arrays(cols, [f"quire_{k}" for k in range(len(names))]).filter(keep)
 
-    out = joined.select(*(f"quire_{k}" for k in range(len(names))), "ats").mapInArrow(tidied(run), ", ".join(f"quire_{k} {kinds[c]}" for k, c in enumerate(names)))
+    out = mapped(joined.select(*(f"quire_{k}" for k in range(len(names))), "ats"), run, ", ".join(f"quire_{k} {kinds[c]}" for k, c in enumerate(names)))
     return out.select(*(F.col(f"quire_{k}").alias(c) for k, c in enumerate(names)))
