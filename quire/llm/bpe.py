@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import tidy
+from quire.llm.common import mapped
 
 #: Characters of a text, and of one pre-token, that are a leaf of the tree; words that a task remembers.
 TEXT_LEAF, LEAF = 1 << 11, 1 << 12
@@ -213,7 +213,6 @@ def encode(docs: DataFrame, path: str | None = None, tokens: bool = False) -> Da
         codec = kept[key]
         yield from coded(codec, batches)
         codec.forget()
-        tidy()
 
     def coded(codec, batches):
         for batch in batches:
@@ -232,4 +231,4 @@ def encode(docs: DataFrame, path: str | None = None, tokens: bool = False) -> Da
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + ", ids array<int>, decoded string" * tokens)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA + ", ids array<int>, decoded string" * tokens)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, fold, tidied
+from quire.llm.common import bounded_sample, fold, mapped
 
 FOLDS, HELD = 3, 1
 UNIT = 24
@@ -158,7 +158,7 @@ def train(docs: DataFrame, most: int = 1500) -> Network | None:
     """most: bound on the labelled documents learned from."""
     own = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").filter(fold(F.col("doc_id"), FOLDS) != HELD)
     own = bounded_sample(own, F.col("doc_id"), most, "langid").select("lang", "text")
-    units = own.mapInArrow(_units, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")).toArrow()
+    units = mapped(own, _units, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")).toArrow()
     units = units.sort_by([("lang", "ascending"), ("unit", "ascending")])
     return fit(units["unit"].to_pylist(), units["lang"].to_pylist(), units["n"].to_numpy())
 
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, net: Network | None, extra: list[str] | None = Non
     text = F.lit(None).cast("string").alias("text") if "text" in named else F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), *(F.col(f"`{c}`").alias(f"quire_{k}") for k, c in enumerate(named)))
     more = "".join(f", quire_{k} {kinds[c]}" for k, c in enumerate(named))
-    return rows.mapInArrow(tidied(run), f"doc_id long, held_out boolean, lang_pred string, score double{more}")
+    return mapped(rows, run, f"doc_id long, held_out boolean, lang_pred string, score double{more}")
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.3) -> DataFrame:

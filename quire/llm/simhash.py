@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, free, tidied
+from quire.llm.common import cut, free, mapped
 from quire.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
@@ -61,7 +61,7 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("w")).mapInArrow(tidied(_fingerprints), "doc_id long, fp long, w long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("w")), _fingerprints, "doc_id long, fp long, w long")
 
 
 def anchors(x: Column) -> tuple[Column, Column]:

@@ -167,7 +167,7 @@ def test_quality_on_odd_rows(spark, labels):
     assert all(not r["kept"] for r in got if r["n_words"] < 10)
 
 
-@pytest.mark.parametrize("work", [lambda docs: toxicity.score(docs, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), -1.0))])
+@pytest.mark.parametrize("work", [lambda docs: toxicity.score(docs, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), -1.0)), lambda docs: langid.keep_known(docs, None)])
 def test_batches_of_long_texts_are_bounded_by_bytes(spark, work):
     """3,000 rows of 10,000 characters went to Python as one batch of 30 MB."""
     import pyarrow as pa
