@@ -24,7 +24,7 @@ lines' texts, a pair once for all its keys, and compared unless others have conn
 characters and words, of which every edit changes two at most, spare most texts a comparison. Texts of candidates are picked out at the scan by a
 bitmap of fixed largest size (it may let others through, which a join then drops).
 
-Defined cases: equal lines are told by 88 bits of a hash, their parities and length; lines without a letter or digit stay; a null text stays
+Defined cases: equal lines are told by 128 bits of a hash; lines without a letter or digit stay; a null text stays
 null; an empty text stays empty; a document with text whose every lettered line is dropped has text of the rest
 (clean() lets such a document go if only blanks are left); equal rows (same id and text) are one document; ties of
 place are broken by id, text hash, position and line hash; very long lines and texts are taken whole, in arrays of
@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +65,18 @@ def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
-def line_ids(lines: list[str], held: Lines | None = None, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers for each line: 24 bits of a hash, the edits of words that it allows (31: as many or more) and 32
-    parities of its words, which leave room for two bits more; then 64 bits of the hash."""
+def digests(lines: list[str]) -> np.ndarray:
+    """128 bits of a hash of each line, as two numbers."""
     import xxhash
 
-    digest, held = xxhash.xxh3_128_digest, held or Lines(lines)
-    both = np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<u8").reshape(-1, 2)
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<u8").reshape(-1, 2)
+
+
+def line_ids(lines: list[str], held: Lines | None = None, share: int = SHARE, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each line: 24 bits of a hash, the edits of words that it allows (31: as many or more) and 32
+    parities of its words, which leave room for two bits more; then 64 bits of the hash. both: the lines' digests."""
+    held, both = held or Lines(lines), digests(lines) if both is None else both
     edits = np.minimum(np.diff(held.first) // share, 31).astype(np.uint64)
     own = (both[:, 0] >> np.uint64(40)) << np.uint64(37) | edits << np.uint64(32) | held.word_parities()
     return own.view(np.int64), both[:, 1].view(np.int64)
@@ -159,22 +165,36 @@ def word_probes(n: int, share: int, edges: np.ndarray | None = None) -> list[tup
     return [(b, 0, p, size) for p in np.flatnonzero(np.cumsum(step)).tolist()]
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
-    """Edits of words, bit-parallel over all of a."""
+def word_distance(a: list[str], b: list[str], most: int | None = None) -> int:
+    """Edits of words, bit-parallel over all of a; with most, some number above it may stand for what is more."""
+    # words that both begin or end with cost nothing
+    first, size = 0, min(len(a), len(b))
+    while first < size and a[first] == b[first]:
+        first += 1
+    end = 0
+    while end < size - first and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[first : len(a) - end], b[first : len(b) - end]
     if not a or not b:
         return len(a) or len(b)
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    # the edits of two beginnings of one length, less the difference of the lengths, are no more than those of the whole
+    enough = len(a) + len(b) if most is None else most + abs(len(a) - len(b))
     vp, vn, out = full, 0, len(a)
-    for x in b:
+    for j, x in enumerate(b, 1):
         on = places.get(x, 0)
         d = (((on & vp) + vp) ^ vp) | on
         hp, hn = (vn | ~(d | vp)) & full, vp & d
         out += bool(hp & last) - bool(hn & last)
         hp, hn, on = hp << 1 | 1, hn << 1, on | vn
         vp, vn = (hn | ~(on | hp)) & full, hp & on & full
+        if not j % 8 and enough < j <= len(a):
+            head = (1 << j) - 1
+            if (so_far := j + (vp & head).bit_count() - (vn & head).bit_count()) > enough:
+                return so_far - abs(len(a) - len(b))
     return out
 
 
@@ -184,7 +204,7 @@ def near_words(x: str, y: str, share: int) -> bool:
 
 def near_word_lists(a: list[str], b: list[str], share: int) -> bool:
     most = max(len(a), len(b)) // share
-    return bool(most) and len(set(a) - set(b)) <= most and abs(len(a) - len(b)) <= most and word_distance(a, b) <= most
+    return bool(most) and len(set(a) - set(b)) <= most and abs(len(a) - len(b)) <= most and word_distance(a, b, most) <= most
 
 
 def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,29 +283,32 @@ class Keys:
         for kind, at, lengths, lines_on in (("chars", held.at, np.diff(held.at), n_words < WORDS_SUFFICE), ("words", held.first, n_words, n_words >= self.share * 9 // 10)):
             which = np.flatnonzero(lines_on)
             which = which[np.argsort(lengths[which], kind="stable")]
-            for on in np.split(which, np.flatnonzero(np.diff(lengths[which])) + 1) if len(which) else []:
+            cuts = _runs(lengths[which]).tolist() if len(which) else [0]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 for role in (0, 1):
-                    tag, start, size, other = self.plan(kind, int(lengths[on[0]]), role)
+                    tag, start, size, other = self.plan(kind, int(lengths[which[low]]), role)
                     if kind == "chars":
                         tag, start, size = tag[other], start[other], size[other]
-                    for some in np.split(on, range(0, len(on), max(1, 300_000 // (len(tag) + 1)))[1:]):  # bounded, however long the lines are
-                        if not len(tag):
-                            continue
+                    if not len(tag):
+                        continue
+                    step = max(1, 300_000 // (len(tag) + 1))  # bounded, however long the lines are
+                    for first in range(low, high, step):
+                        some = which[first : min(high, first + step)]
                         if kind == "chars":
                             begin = at[some][:, None] + start
-                            key, fresh = _spans(held.sums, begin, begin + size), None
+                            yield V.mix(_spans(held.sums, begin, begin + size) + tag).ravel(), np.repeat(some, len(tag)), role
                         else:
                             key, fresh = self.lowest(held, word_sums, grams, at[some], tag, start, size)
-                            fresh &= other
-                        key, own = V.mix(key + tag), np.repeat(some, len(tag))
-                        yield (key.ravel(), own, role) if fresh is None else (key[fresh], own[fresh.ravel()], role)
+                            line, span = np.nonzero(fresh & other)
+                            yield V.mix(key[line, span] + tag[span]), some[line], role
 
     @staticmethod
     def lowest(held: Lines, sums, grams: dict[int, np.ndarray], at: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lowest hash of GRAM words in each span of words, and whether it differs from that of the span before."""
         out = np.empty((len(at), len(tag)), np.uint64)
-        for own in np.unique(size).tolist():
-            wide, cols = min(GRAM, own), np.flatnonzero(size == own)
+        sizes = sorted(set(size.tolist()))
+        for own in sizes:
+            wide, cols = min(GRAM, own), slice(None) if len(sizes) == 1 else np.flatnonzero(size == own)
             if wide not in grams:
                 first = np.arange(max(0, len(held.words) - wide + 1))
                 grams[wide] = V.mix(_spans(sums, first, first + wide))
@@ -492,20 +515,27 @@ def bitmap(wanted: DataFrame) -> np.ndarray:
     return out
 
 
+def _let_through(filled: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has a bit for an h that begins with the same 24 bits of the hash; e: digests' first halves."""
+    bits = int(np.log2(len(filled) * 64))
+    more = max(0, bits - 24)
+    slot = e >> np.uint64(64 - bits + more) << np.uint64(more)
+    return filled[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64((1 << (1 << more)) - 1) != 0
+
+
 def _texts(held, share: int):
-    """(h, g, the shape, line) of the lines that the bitmap lets through."""
+    """(h, g, e, the shape, line) of the lines that the bitmap lets through; e, g: the digest."""
 
     def run(batches):
         filled = held.value
-        shift = 61 - int(np.log2(len(filled) * 64))
         for lines in _long_lines(batches):
-            h, g = line_ids(lines, None, share)
-            slot = (h >> shift).astype(np.uint64)
-            on = np.flatnonzero(filled[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            both = digests(lines)
+            on = np.flatnonzero(_let_through(filled, both[:, 0]))
             if len(on):
-                some = [lines[k] for k in on.tolist()]
+                some, both = [lines[k] for k in on.tolist()], both[on]
                 own = Lines(some)
-                yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(g[on]), pa.array(np.diff(own.at)), pa.array(np.diff(own.first)), *(pa.array(x.view(np.int64)) for x in own.sketches()), pa.array(some, pa.string())], ["h", "g", *SHAPE, "line"])
+                h, g = line_ids(some, own, share, both)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(both[:, 0].view(np.int64)), pa.array(np.diff(own.at)), pa.array(np.diff(own.first)), *(pa.array(x.view(np.int64)) for x in own.sketches()), pa.array(some, pa.string())], ["h", "g", "e", *SHAPE, "line"])
 
     return run
 
@@ -544,16 +574,28 @@ def _named(df: DataFrame, prefix: str, *names: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in names))
 
 
+#: A class's members times this, and its label: one number, as structs would be sorted to be added up.
+RANK = Decimal(10**19)
+
+
+def _rank(members: str, label: str) -> Column:
+    return (F.col(members).cast("decimal(18,0)") * F.lit(RANK) + F.col(label)).cast("decimal(38,0)")
+
+
+def _label_of(rank: Column) -> Column:
+    return (rank % F.lit(RANK)).cast("long")
+
+
 def _open_groups(met: DataFrame) -> DataFrame:
-    """(key, main, id, label, the shape): members of groups of lines that share a key and are of different classes so far.
+    """(key, main, id, label): members of groups of lines that share a key and are of different classes so far.
 
-    met: (key, id, label, members of the class, the shape, and the same of the line that they were paired with under r_ names)."""
-    names = ["id", "label", *SHAPE]
+    met: (key, id, label, rank of the class by its size, and the same of the line that they were paired with under r_ names)."""
+    names = ["id", "label"]
     # a group may have been paired in parts: whoever is not of its largest class is compared with others
-    main = met.groupBy("key").agg(F.count("*").alias("n"), F.greatest(F.max(F.struct("members", "label")), F.max(F.struct(F.col("r_members").alias("members"), F.col("r_label").alias("label"))))["label"].alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), F.count_distinct("r_label").alias("b"))
-    main = main.filter("n > 1 and (a or b > 1)").select("key", "main")
+    main = met.groupBy("key").agg(F.count("*").alias("n"), _label_of(F.max(F.greatest("rank", "r_rank"))).alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), (F.min("r_label") != F.max("r_label")).alias("b"))
+    main = main.filter("n > 1 and (a or b)").select("key", "main")
     ends = F.array(F.struct(*names), F.struct(*(F.col(f"r_{c}").alias(c) for c in names)))
-    return cut(met.join(main, "key").select("key", "main", F.inline(ends)).distinct())
+    return met.join(main, "key").select("key", "main", F.inline(ends)).distinct()
 
 
 #: Lines of a main class's groups that are not of it, and lines in all, that one unit of work holds.
@@ -667,7 +709,7 @@ def _settled(groups: DataFrame, lines: DataFrame, threshold: int, share: int) ->
 
 
 def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD, share: int = SHARE) -> DataFrame:
-    """(h, g, label, members): the lines that have near ones, their class and how many lines it has.
+    """(h, g, e, label, members): the lines that have near ones, their class and how many lines it has; e, g: the digest.
 
     rows: d, text; n_lines: about how many lines they have, from which the number of buckets follows."""
     spark = rows.sparkSession
@@ -677,8 +719,8 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     edges = stash(mapped(keys.repartition(parts, "bucket").sortWithinPartitions("bucket"), _stars(threshold), "key long, h long, r long"), "line-pairs")
     wanted = cut(edges.select(F.explode(F.array("h", "r")).alias("h")).distinct())
     held = spark.sparkContext.broadcast(bitmap(wanted))
-    texts = mapped(rows, _texts(held, share), "h long, g long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(wanted, "h", "left_semi")
-    lines = texts.groupBy("h", "g").agg(*(F.min(c).alias(c) for c in (*SHAPE, "line")))
+    texts = mapped(rows, _texts(held, share), "h long, g long, e long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(wanted, "h", "left_semi")
+    lines = texts.groupBy("h", "g", "e").agg(*(F.min(c).alias(c) for c in (*SHAPE, "line")))
     lines = stash(lines.withColumn("id", F.monotonically_increasing_id()), "line-texts")
     # lines with one h, should there be any, are all compared
     place = lines.select("h", "id", *SHAPE)
@@ -687,14 +729,15 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     links = _checked(tested, lines, threshold, share)
 
     first = cut(components(links))
-    known = lines.select("h", "g", "id", *SHAPE).join(first.withColumnRenamed("node", "id"), "id", "left")
+    known = lines.select("h", "g", "e", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
     known = known.withColumn("label", F.coalesce("least", "id")).drop("least")
     known = stash(known.join(known.groupBy("label").agg(F.count("*").alias("members")), "label"), "line-classes")
-    side = known.drop("g")
-    met = edges.join(side, "h").join(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "members", *SHAPE).withColumnRenamed("r_r", "r"), "r")
-    joined = components(_settled(_open_groups(met), lines, threshold, share))
-    found = known.select("h", "g", "label").join(joined.withColumnRenamed("node", "label"), "label", "left").select("h", "g", F.coalesce("least", "label").alias("label"))
-    return found.join(found.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1"), "label").select("h", "g", "label", "members")
+    side = known.select("h", "id", "label", _rank("members", "label").alias("rank"))
+    met = edges.join(side, "h").join(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "rank").withColumnRenamed("r_r", "r"), "r")
+    groups = cut(_open_groups(met).join(lines.select("id", *SHAPE), "id"))
+    joined = components(_settled(groups, lines, threshold, share))
+    found = known.select("h", "g", "e", "label").join(joined.withColumnRenamed("node", "label"), "label", "left").select("h", "g", "e", F.coalesce("least", "label").alias("label"))
+    return found.join(found.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1"), "label").select("h", "g", "e", "label", "members")
 
 
 # documents
@@ -707,8 +750,8 @@ def _occurrences(batches):
             found = [distinct_lines(t) for t in some.column(1).to_pylist()]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             at = pa.array([k for x in found for k, _ in x], pa.int32())
-            h, g = line_ids([line for x in found for _, line in x])
-            yield pa.RecordBatch.from_arrays([some.column(0).take(owner), some.column(2).take(owner), at, pa.array(h), pa.array(g)], ["d", "w", "at", "h", "g"])
+            both = digests([line for x in found for _, line in x]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([some.column(0).take(owner), some.column(2).take(owner), at, *(pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1))], ["d", "w", "at", "e", "g"])
 
 
 def owned(docs: DataFrame) -> DataFrame:
@@ -718,13 +761,15 @@ def owned(docs: DataFrame) -> DataFrame:
 def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(d, w, ats, exact, near, n_links) for each document that loses a line or has a near line: positions dropped, and counts."""
     rows = owned(docs)
-    seen = stash(mapped(rows, _occurrences, "d long, w long, at int, h long, g long"), "lines")
-    near = near_classes(rows, seen.count(), threshold)
-    grouped = seen.groupBy("h", "g").agg(F.min(F.struct("d", "w", "at")).alias("f"), F.count("*").alias("k"))
-    firsts = stash(grouped.join(near, ["h", "g"], "left").filter("k > 1 or label is not null"), "line-firsts")
-    best = firsts.filter("label is not null").groupBy("label").agg(F.min(F.struct("f", "h", "g")).alias("best"))
-    flags = firsts.join(best, "label", "left").select("h", "g", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.coalesce(F.struct("f", "h", "g") != F.col("best"), F.lit(False)).alias("near"), F.coalesce(F.col("members") - 1, F.lit(0)).alias("links"))
-    hit = seen.join(flags, ["h", "g"]).select("d", "w", "at", (F.struct("d", "w") > F.struct(F.col("d0").alias("d"), F.col("w0").alias("w"))).alias("exact"), "near", "links")
+    seen = stash(mapped(rows, _occurrences, "d long, w long, at int, e long, g long"), "lines")
+    near = near_classes(rows, seen.count(), threshold).drop("h")
+    # most lines occur once and have no near ones: they are done before anything is sorted
+    again = stash(seen.groupBy("e", "g").agg(F.count("*").alias("k")).join(near, ["e", "g"], "left").filter("k > 1 or label is not null").drop("k"), "line-again")
+    seen = stash(seen.join(again.select("e", "g"), ["e", "g"]), "line-places")
+    firsts = stash(seen.groupBy("e", "g").agg(F.min(F.struct("d", "w", "at")).alias("f")).join(again, ["e", "g"]), "line-firsts")
+    best = firsts.filter("label is not null").groupBy("label").agg(F.min(F.struct("f", "e", "g")).alias("best"))
+    flags = firsts.join(best, "label", "left").select("e", "g", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.coalesce(F.struct("f", "e", "g") != F.col("best"), F.lit(False)).alias("near"), F.coalesce(F.col("members") - 1, F.lit(0)).alias("links"))
+    hit = seen.join(flags, ["e", "g"]).select("d", "w", "at", (F.struct("d", "w") > F.struct(F.col("d0").alias("d"), F.col("w0").alias("w"))).alias("exact"), "near", "links")
     hit = hit.filter("exact or near or links > 0").distinct()
     return hit.groupBy("d", "w").agg(
         F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("at"))).alias("ats"), F.sum(F.col("exact").cast("long")).alias("exact"),
