@@ -180,22 +180,21 @@ def word_distance(a: list[str], b: list[str], most: int | None = None) -> int:
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    full = (1 << len(a)) - 1
     # the edits of two beginnings of one length, less the difference of the lengths, are no more than those of the whole
     enough = len(a) + len(b) if most is None else most + abs(len(a) - len(b))
-    vp, vn, out = full, 0, len(a)
+    vp, vn = full, 0
     for j, x in enumerate(b, 1):
         on = places.get(x, 0)
         d = (((on & vp) + vp) ^ vp) | on
         hp, hn = (vn | ~(d | vp)) & full, vp & d
-        out += bool(hp & last) - bool(hn & last)
         hp, hn, on = hp << 1 | 1, hn << 1, on | vn
         vp, vn = (hn | ~(on | hp)) & full, hp & on & full
         if not j % 8 and enough < j <= len(a):
             head = (1 << j) - 1
             if (so_far := j + (vp & head).bit_count() - (vn & head).bit_count()) > enough:
                 return so_far - abs(len(a) - len(b))
-    return out
+    return len(b) + vp.bit_count() - vn.bit_count()
 
 
 def near_words(x: str, y: str, share: int) -> bool:
@@ -413,7 +412,7 @@ def _packed(threshold: int, share: int, bits: int):
 
 
 def _star(bucket: int, keys: list[bytes], lines: list[bytes], threshold: int = THRESHOLD) -> pa.RecordBatch:
-    """Each line that shares a key with others, and the least of these."""
+    """Each line that shares a key with others, and the least of these; a key below 0 has two lines in all."""
     low = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY_BITS // 8)
     full = np.zeros((len(low), 8), np.uint8)
     full[:, 8 - KEY_BITS // 8 :] = low
@@ -447,7 +446,9 @@ def _star(bucket: int, keys: list[bytes], lines: list[bytes], threshold: int = T
             group[rows] = line[some][:, None] if n > ALL_PAIRS else _alike(line[rows], many[some], threshold)
     on = line != group
     key = key[on] | bucket << KEY_BITS
-    own = (V.mix(key.astype(np.uint64)) ^ group[on].astype(np.uint64)).view(np.int64)  # a key's groups are apart
+    own = (V.mix(key.astype(np.uint64)) ^ group[on].astype(np.uint64)).view(np.int64) & LAST  # a key's groups are apart
+    _, which, times = np.unique(own, return_inverse=True, return_counts=True)
+    own = np.where(times[which] == 1, ~own, own)
     return _pairs(np.where(many[on], key, own), line[on], group[on])
 
 
@@ -733,7 +734,9 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     known = known.withColumn("label", F.coalesce("least", "id")).drop("least")
     known = stash(known.join(known.groupBy("label").agg(F.count("*").alias("members")), "label"), "line-classes")
     side = known.select("h", "id", "label", _rank("members", "label").alias("rank"))
-    met = edges.join(side, "h").join(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "rank").withColumnRenamed("r_r", "r"), "r")
+    # two lines alone have been compared, unless more lines have their h
+    met = edges.filter("key >= 0") if lines.count() == wanted.count() else edges
+    met = met.join(side, "h").join(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "rank").withColumnRenamed("r_r", "r"), "r")
     groups = cut(_open_groups(met).join(lines.select("id", *SHAPE), "id"))
     joined = components(_settled(groups, lines, threshold, share))
     found = known.select("h", "g", "e", "label").join(joined.withColumnRenamed("node", "label"), "label", "left").select("h", "g", "e", F.coalesce("least", "label").alias("label"))

@@ -51,3 +51,15 @@ def test_the_largest_class_is_found_without_sorting(spark):
     found = linededup._open_groups(met)
     assert {(r.key, r.main, r.id, r.label) for r in found.collect()} == {(1, 10, 10, 10), (1, 10, 12, 10), (1, 10, 11, 11), (3, (1 << 40) + 1, 20, 1 << 40), (3, (1 << 40) + 1, 22, 1 << 40), (3, (1 << 40) + 1, 21, (1 << 40) + 1)}
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_lines_alone_go_into_no_group(spark, monkeypatch):
+    """Keys of two lines are settled by comparing these; only keys of more lines are looked at again."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"c{c}w{k}x{rng.integers(0, 1000)}" for k in range(45)) for c in range(12)]
+    lines += [line.replace(" ", f" and{k} ", 1) for k, line in enumerate(lines[:6])]
+    met, held = [], linededup._open_groups
+    monkeypatch.setattr(linededup, "_open_groups", lambda x: met.append(x.count()) or held(x))
+    rows = linededup.owned(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sorted(r.members for r in linededup.near_classes(rows).collect()) == [2] * 12
+    assert met == [0]
