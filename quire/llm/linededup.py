@@ -35,8 +35,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -203,7 +205,22 @@ def near_words(x: str, y: str, share: int) -> bool:
 
 def near_word_lists(a: list[str], b: list[str], share: int) -> bool:
     most = max(len(a), len(b)) // share
-    return bool(most) and len(set(a) - set(b)) <= most and abs(len(a) - len(b)) <= most and word_distance(a, b, most) <= most
+    if not most or abs(len(a) - len(b)) > most:
+        return False
+    if len(a) == len(b) and sum(map(ne, a, b)) <= most:  # word for word, which is as many edits at least
+        return True
+    return len(set(a) - set(b)) <= most and not _more_apart(Counter(a), Counter(b), most) and word_distance(a, b, most) <= most
+
+
+def _more_apart(a: dict[str, int], b: dict[str, int], most: int) -> bool:
+    """Whether more than so many words, counted as often as they occur, are in one and not in the other: each is an edit."""
+    for x, y in ((a, b), (b, a)):
+        off = 0
+        for word, n in x.items():
+            off += max(0, n - y.get(word, 0))
+            if off > most:
+                return True
+    return False
 
 
 def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -554,9 +571,14 @@ def _verify(threshold: int, share: int):
     return run
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is looked up, part by part, so that the other is not sorted: few rows of it have one key."""
+    return df.hint("shuffle_hash")
+
+
 def _checked(pairs: DataFrame, lines: DataFrame, threshold: int, share: int) -> DataFrame:
     """The pairs (a, b; ids of lines) whose texts are near."""
-    side = lambda k, t: lines.select(F.col("id").alias(k), F.col("line").alias(t))
+    side = lambda k, t: _hashed(lines.select(F.col("id").alias(k), F.col("line").alias(t)))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     return cut(mapped(both, _verify(threshold, share), "a long, b long"))
 
@@ -596,11 +618,13 @@ def _open_groups(met: DataFrame) -> DataFrame:
     main = met.groupBy("key").agg(F.count("*").alias("n"), _label_of(F.max(F.greatest("rank", "r_rank"))).alias("main"), F.bool_or(F.col("label") != F.col("r_label")).alias("a"), (F.min("r_label") != F.max("r_label")).alias("b"))
     main = main.filter("n > 1 and (a or b)").select("key", "main")
     ends = F.array(F.struct(*names), F.struct(*(F.col(f"r_{c}").alias(c) for c in names)))
-    return met.join(main, "key").select("key", "main", F.inline(ends)).distinct()
+    return met.join(_hashed(main), "key").select("key", "main", F.inline(ends)).distinct()
 
 
 #: Lines of a main class's groups that are not of it, and lines in all, that one unit of work holds.
 MOST_LATE, MOST_MEMBERS, UNIT_ROWS = 2_000, 20_000, 20_000
+#: Pairs of lines that are compared by characters together.
+TOGETHER = 256
 
 
 class _Classes:
@@ -632,16 +656,25 @@ def _settle(key: np.ndarray, who: np.ndarray, mine: np.ndarray, other: np.ndarra
 
     key, who, mine, other: a row for each member of a group: its place among the lines, whether it is compared with
     others, and whether others are with it. label, shape, lines: of each line."""
-    classes, words, out = _Classes(label), {}, []
+    classes, words, out, few = _Classes(label), {}, [], []
     done: set[bytes] = set()
     tested: set[tuple[int, int]] = set()
     order = np.lexsort((who, key))
     who, mine, other, cuts = who[order], mine[order], other[order], _runs(key[order])
 
-    def words_of(k: int) -> list[str]:
-        if k not in words:
-            words[k] = WORD.findall(lines[k])
-        return words[k]
+    def near_by_words(x: int, y: int, most: int) -> bool:
+        for k in (x, y):
+            if k not in words:
+                own = WORD.findall(lines[k])
+                words[k] = own, Counter(own)
+        (a, of_a), (b, of_b) = words[x], words[y]
+        return not _more_apart(of_a, of_b, most) and word_distance(a, b, most) <= most
+
+    def by_letters() -> None:
+        open_ = [(x, y) for x, y in few if classes.apart(x, y)]
+        few.clear()
+        near = within([lines[x] for x, _ in open_], [lines[y] for _, y in open_], threshold) if open_ else ()
+        out.extend((x, y) for (x, y), ok in zip(open_, near) if ok and classes.join(x, y))
 
     for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         on = slice(first, end)
@@ -661,19 +694,19 @@ def _settle(key: np.ndarray, who: np.ndarray, mine: np.ndarray, other: np.ndarra
             by_words = open_ & (np.abs(n_words[:, None] - shape[rest, 1]) <= most)
             if by_words.any():
                 by_words &= sum(apart(k) for k in (1, 2, 3, 4)) <= 2 * most
-            few = []
             for i, j in zip(*(x.tolist() for x in np.nonzero(letters | by_words))):
                 x, y = sorted((int(some[i]), int(rest[j])))
                 if (x, y) in tested or not classes.apart(x, y):
                     continue
                 tested.add((x, y))
-                if by_words[i, j] and near_word_lists(words_of(x), words_of(y), share):
+                if by_words[i, j] and near_by_words(x, y, int(most[i, j])):
                     classes.join(x, y)
                     out.append((x, y))
                 elif letters[i, j]:
                     few.append((x, y))
-            near = within([lines[x] for x, _ in few], [lines[y] for _, y in few], threshold) if few else ()
-            out += [(x, y) for (x, y), ok in zip(few, near) if ok and classes.join(x, y)]
+            if len(few) >= TOGETHER:
+                by_letters()
+    by_letters()
     return out
 
 
@@ -685,14 +718,14 @@ def _settled(groups: DataFrame, lines: DataFrame, threshold: int, share: int) ->
     units by squares of their pairs: a pair of lines is met once there, however many keys it shares."""
     spark = groups.sparkSession
     late = F.col("label") != F.col("main")
-    sizes = groups.groupBy("main").agg(F.count_distinct(F.when(late, F.col("id"))).alias("n_late"), F.count_distinct("id").alias("n"))
+    sizes = groups.select("main", "id", "label").distinct().groupBy("main").agg(F.count(F.when(late, 1)).alias("n_late"), F.count("*").alias("n"))
     sizes = sizes.select("main", F.ceil(F.col("n_late") / MOST_LATE).cast("int").alias("across"), F.ceil(F.col("n") / MOST_MEMBERS).cast("int").alias("down"))
-    cells = groups.join(sizes, "main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("across") * F.col("down") - 1)))
+    cells = groups.join(_hashed(sizes), "main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("across") * F.col("down") - 1)))
     cells = cells.withColumn("mine", late & (F.col("id") % F.col("across") == F.floor(F.col("cell") / F.col("down")))).withColumn("other", F.col("id") % F.col("down") == F.col("cell") % F.col("down"))
     units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups.count() // UNIT_ROWS)
     cells = cells.filter("mine or other").withColumn("unit", F.pmod(F.xxhash64("main", "cell"), F.lit(units)).cast("int"))
-    members = cells.select(F.col("unit").alias("place"), F.col("id").alias("own"), *(F.col(c).alias(f"own_{c}") for c in ("label", *SHAPE))).distinct()
-    members = members.join(lines.select(F.col("id").alias("own"), "line"), "own")
+    members = cells.select(F.col("unit").alias("place"), F.col("id").alias("own"), F.col("label").alias("own_label")).distinct()
+    members = _hashed(members).join(lines.select(F.col("id").alias("own"), *(F.col(c).alias(f"own_{c}") for c in SHAPE), "line"), "own")
 
     def run(unit, table: pa.Table, members: pa.Table) -> pa.Table:
         ids = members["own"].to_numpy()
@@ -720,27 +753,27 @@ def near_classes(rows: DataFrame, n_lines: int = 0, threshold: int = THRESHOLD,
     edges = stash(mapped(keys.repartition(parts, "bucket").sortWithinPartitions("bucket"), _stars(threshold), "key long, h long, r long"), "line-pairs")
     wanted = cut(edges.select(F.explode(F.array("h", "r")).alias("h")).distinct())
     held = spark.sparkContext.broadcast(bitmap(wanted))
-    texts = mapped(rows, _texts(held, share), "h long, g long, e long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(wanted, "h", "left_semi")
+    texts = mapped(rows, _texts(held, share), "h long, g long, e long, " + "".join(f"{c} long, " for c in SHAPE) + "line string").join(_hashed(wanted), "h", "left_semi")
     lines = texts.groupBy("h", "g", "e").agg(*(F.min(c).alias(c) for c in (*SHAPE, "line")))
     lines = stash(lines.withColumn("id", F.monotonically_increasing_id()), "line-texts")
     # lines with one h, should there be any, are all compared
     place = lines.select("h", "id", *SHAPE)
-    both = edges.select("h", "r").distinct().join(place, "h").join(_named(place.withColumnRenamed("h", "r"), "r_", "r", "id", *SHAPE).withColumnRenamed("r_r", "r"), "r")
+    both = edges.select("h", "r").distinct().join(_hashed(place), "h").join(_hashed(_named(place.withColumnRenamed("h", "r"), "r_", "r", "id", *SHAPE).withColumnRenamed("r_r", "r")), "r")
     tested = cut(both.filter(_alike_shapes(threshold, share)).select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct())
     links = _checked(tested, lines, threshold, share)
 
     first = cut(components(links))
-    known = lines.select("h", "g", "e", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
+    known = lines.select("h", "g", "e", "id").join(_hashed(first.withColumnRenamed("node", "id")), "id", "left")
     known = known.withColumn("label", F.coalesce("least", "id")).drop("least")
-    known = stash(known.join(known.groupBy("label").agg(F.count("*").alias("members")), "label"), "line-classes")
+    known = stash(known.join(_hashed(known.groupBy("label").agg(F.count("*").alias("members"))), "label"), "line-classes")
     side = known.select("h", "id", "label", _rank("members", "label").alias("rank"))
     # two lines alone have been compared, unless more lines have their h
     met = edges.filter("key >= 0") if lines.count() == wanted.count() else edges
-    met = met.join(side, "h").join(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "rank").withColumnRenamed("r_r", "r"), "r")
-    groups = cut(_open_groups(met).join(lines.select("id", *SHAPE), "id"))
+    met = met.join(_hashed(side), "h").join(_hashed(_named(side.withColumnRenamed("h", "r"), "r_", "r", "id", "label", "rank").withColumnRenamed("r_r", "r")), "r")
+    groups = cut(_open_groups(stash(met.drop("h", "r"), "line-met")))
     joined = components(_settled(groups, lines, threshold, share))
-    found = known.select("h", "g", "e", "label").join(joined.withColumnRenamed("node", "label"), "label", "left").select("h", "g", "e", F.coalesce("least", "label").alias("label"))
-    return found.join(found.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1"), "label").select("h", "g", "e", "label", "members")
+    found = known.select("h", "g", "e", "label").join(_hashed(joined.withColumnRenamed("node", "label")), "label", "left").select("h", "g", "e", F.coalesce("least", "label").alias("label"))
+    return found.join(_hashed(found.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1")), "label").select("h", "g", "e", "label", "members")
 
 
 # documents
@@ -767,12 +800,12 @@ def fates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     seen = stash(mapped(rows, _occurrences, "d long, w long, at int, e long, g long"), "lines")
     near = near_classes(rows, seen.count(), threshold).drop("h")
     # most lines occur once and have no near ones: they are done before anything is sorted
-    again = stash(seen.groupBy("e", "g").agg(F.count("*").alias("k")).join(near, ["e", "g"], "left").filter("k > 1 or label is not null").drop("k"), "line-again")
-    seen = stash(seen.join(again.select("e", "g"), ["e", "g"]), "line-places")
-    firsts = stash(seen.groupBy("e", "g").agg(F.min(F.struct("d", "w", "at")).alias("f")).join(again, ["e", "g"]), "line-firsts")
+    again = stash(seen.groupBy("e", "g").agg(F.count("*").alias("k")).join(_hashed(near), ["e", "g"], "left").filter("k > 1 or label is not null").drop("k"), "line-again")
+    seen = stash(seen.join(_hashed(again.select("e", "g")), ["e", "g"]), "line-places")
+    firsts = stash(seen.groupBy("e", "g").agg(F.min(F.struct("d", "w", "at")).alias("f")).join(_hashed(again), ["e", "g"]), "line-firsts")
     best = firsts.filter("label is not null").groupBy("label").agg(F.min(F.struct("f", "e", "g")).alias("best"))
-    flags = firsts.join(best, "label", "left").select("e", "g", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.coalesce(F.struct("f", "e", "g") != F.col("best"), F.lit(False)).alias("near"), F.coalesce(F.col("members") - 1, F.lit(0)).alias("links"))
-    hit = seen.join(flags, ["e", "g"]).select("d", "w", "at", (F.struct("d", "w") > F.struct(F.col("d0").alias("d"), F.col("w0").alias("w"))).alias("exact"), "near", "links")
+    flags = firsts.join(_hashed(best), "label", "left").select("e", "g", F.col("f.d").alias("d0"), F.col("f.w").alias("w0"), F.coalesce(F.struct("f", "e", "g") != F.col("best"), F.lit(False)).alias("near"), F.coalesce(F.col("members") - 1, F.lit(0)).alias("links"))
+    hit = seen.join(_hashed(flags), ["e", "g"]).select("d", "w", "at", (F.struct("d", "w") > F.struct(F.col("d0").alias("d"), F.col("w0").alias("w"))).alias("exact"), "near", "links")
     hit = hit.filter("exact or near or links > 0").distinct()
     return hit.groupBy("d", "w").agg(
         F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("at"))).alias("ats"), F.sum(F.col("exact").cast("long")).alias("exact"),

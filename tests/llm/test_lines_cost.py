@@ -63,3 +63,14 @@ def test_two_lines_alone_go_into_no_group(spark, monkeypatch):
     rows = linededup.owned(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
     assert sorted(r.members for r in linededup.near_classes(rows).collect()) == [2] * 12
     assert met == [0]
+
+
+def test_words_are_counted_before_their_distance_is(monkeypatch):
+    """Lines that hold a word many times have few different words, and parities that say little."""
+    monkeypatch.setattr(linededup, "word_distance", lambda *_: pytest.fail("the distance was worked out"))
+    a, b = ("one " * 40 + "two " * 40).split(), ("one " * 40 + "three " * 40).split()
+    assert not linededup.near_word_lists(a, b, 10) and not linededup.near_word_lists(a, a[:40] + a[:40], 10)
+    label, shape = np.arange(2), np.zeros((2, 7), np.int64)
+    shape[:, 0], shape[:, 1] = 360, 80
+    every = np.ones(2, bool)
+    assert linededup._settle(np.zeros(2, np.int64), label, every, every, label, shape, [" ".join(a), " ".join(b)], 2, 10) == []
