@@ -33,6 +33,7 @@ bounded size; an empty table gives no rows; extra columns of any name are carrie
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -135,6 +136,8 @@ def word_band(b: int, edges: np.ndarray, share: int) -> tuple[int, int, int]:
 
 #: Segments of a band are numbered in their keys up to so many edits.
 NUMBERED = 8
+#: Spans whose keys are made at once, and spans in plans that a worker remembers.
+SPANS, PLANNED = 150_000, 200_000
 
 
 def word_segments(n: int, share: int, edges: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
@@ -273,81 +276,99 @@ class Keys:
 
     def __init__(self, threshold: int, share: int):
         self.threshold, self.share, self.edges = threshold, share, band_edges(share)
-        self.plans: dict[tuple[str, int, int], tuple[np.ndarray, ...]] = {}
-
-    def plan(self, kind: str, n: int, role: int) -> tuple[np.ndarray, ...]:
-        """Tags, starts, sizes, and whether a span is another than those that the line is indexed under.
-        kind: chars or words; role: 1 what is indexed, 0 what is looked up."""
-        if (kind, n, role) not in self.plans:
-            if len(self.plans) > 4096:
+        self.plans: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
+        self.held = 0
+
+    def plan(self, kind: str, n: int) -> tuple[np.ndarray, ...]:
+        """Of each span of a line of n: its tag, start, size, role (1 what is indexed, 0 what is looked up), whether it is
+        indexed or another than those that are, and whether it is the first of its role. kind: chars or words."""
+        if (kind, n) in self.plans:
+            return self.plans[kind, n]
+        if kind == "words":
+            indexed, asked = word_segments(n, self.share, self.edges), word_probes(n, self.share, self.edges)
+        else:
+            indexed, asked = [(n, i, start, size) for i, (start, size) in enumerate(segments(n, self.threshold))], probes(n, self.threshold)
+            asked = [r for r in asked if r not in indexed]
+        known, rows = set(indexed), asked + indexed
+        own = np.array(rows, np.int64).reshape(-1, 4)
+        role, head = np.repeat([0, 1], [len(asked), len(indexed)]), np.zeros(len(rows), bool)
+        head[[k for k in (0, len(asked)) if k < len(rows)]] = True
+        other = np.array([r not in known for r in asked] + [True] * len(indexed), bool)
+        found = V.mix((own[:, 0] << 5 | own[:, 1] << 1 | (kind == "words")).astype(np.uint64)), own[:, 2], own[:, 3], role, other, head
+        if len(rows) * 100 <= PLANNED:  # those of long lines, which are few, are made anew
+            if self.held > PLANNED:
                 self.plans.clear()
-            if kind == "words":
-                rows = word_segments(n, self.share, self.edges) if role else word_probes(n, self.share, self.edges)
-            else:
-                rows = [(n, i, start, size) for i, (start, size) in enumerate(segments(n, self.threshold))] if role else probes(n, self.threshold)
-            own = np.array(rows, np.int64).reshape(-1, 4)
-            indexed = set() if role else {tuple(r) for r in (word_segments(n, self.share, self.edges) if kind == "words" else [(n, i, *x) for i, x in enumerate(segments(n, self.threshold))])}
-            other = np.array([tuple(r) not in indexed for r in rows], bool)
-            self.plans[kind, n, role] = V.mix((own[:, 0] << 5 | own[:, 1] << 1 | (kind == "words")).astype(np.uint64)), own[:, 2], own[:, 3], other
-        return self.plans[kind, n, role]
-
-    def of(self, held: Lines) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(keys, numbers of lines, role)."""
+                self.held = 0
+            self.plans[kind, n] = found
+            self.held += len(rows)
+        return found
+
+    def of(self, held: Lines) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, numbers of lines, roles), of all lengths at once."""
         n_words = np.diff(held.first)
-        grams: dict[int, np.ndarray] = {}
-        word_sums = _sums(held.words)
+        lowest: dict[int, np.ndarray] = {}
         for kind, at, lengths, lines_on in (("chars", held.at, np.diff(held.at), n_words < WORDS_SUFFICE), ("words", held.first, n_words, n_words >= self.share * 9 // 10)):
             which = np.flatnonzero(lines_on)
-            which = which[np.argsort(lengths[which], kind="stable")]
-            cuts = _runs(lengths[which]).tolist() if len(which) else [0]
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                for role in (0, 1):
-                    tag, start, size, other = self.plan(kind, int(lengths[which[low]]), role)
-                    if kind == "chars":
-                        tag, start, size = tag[other], start[other], size[other]
-                    if not len(tag):
-                        continue
-                    step = max(1, 300_000 // (len(tag) + 1))  # bounded, however long the lines are
-                    for first in range(low, high, step):
-                        some = which[first : min(high, first + step)]
-                        if kind == "chars":
-                            begin = at[some][:, None] + start
-                            yield V.mix(_spans(held.sums, begin, begin + size) + tag).ravel(), np.repeat(some, len(tag)), role
-                        else:
-                            key, fresh = self.lowest(held, word_sums, grams, at[some], tag, start, size)
-                            line, span = np.nonzero(fresh & other)
-                            yield V.mix(key[line, span] + tag[span]), some[line], role
+            if not len(which):
+                continue
+            known, form = np.unique(lengths[which], return_inverse=True)
+            plans = [self.plan(kind, n) for n in known.tolist()]
+            per = np.array([len(p[0]) for p in plans])
+            tag, start, size, role, other, head = map(np.concatenate, zip(*plans, strict=True))
+            first, count = (np.cumsum(per) - per)[form], per[form]
+            total = np.cumsum(count)
+            low = 0
+            while low < len(which):  # bounded, however many the lines are; a long one stands alone
+                high = max(low + 1, int(np.searchsorted(total, total[low] - count[low] + SPANS, "right")))
+                some = count[low:high]
+                line, row = np.repeat(which[low:high], some), np.arange(some.sum()) + np.repeat(first[low:high] - np.cumsum(some) + some, some)
+                begin = at[line] + start[row]
+                if kind == "chars":
+                    yield V.mix(_spans(held.sums, begin, begin + size[row]) + tag[row]), line, role[row]
+                else:
+                    key, tags = self.lowest(held, lowest, begin, size[row]), tag[row]
+                    fresh = head[row]
+                    fresh[1:] |= (key[1:] != key[:-1]) | (tags[1:] != tags[:-1])
+                    fresh &= other[row]
+                    yield V.mix(key[fresh] + tags[fresh]), line[fresh], role[row[fresh]]
+                low = high
 
     @staticmethod
-    def lowest(held: Lines, sums, grams: dict[int, np.ndarray], at: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lowest hash of GRAM words in each span of words, and whether it differs from that of the span before."""
-        out = np.empty((len(at), len(tag)), np.uint64)
-        sizes = sorted(set(size.tolist()))
-        for own in sizes:
-            wide, cols = min(GRAM, own), slice(None) if len(sizes) == 1 else np.flatnonzero(size == own)
-            if wide not in grams:
-                first = np.arange(max(0, len(held.words) - wide + 1))
-                grams[wide] = V.mix(_spans(sums, first, first + wide))
-            begin = at[:, None] + start[cols]
-            best = grams[wide][begin]
-            for k in range(1, own - wide + 1):
-                np.minimum(best, grams[wide][begin + k], out=best)
-            out[:, cols] = best
-        fresh = np.ones(out.shape, bool)
-        fresh[:, 1:] = (out[:, 1:] != out[:, :-1]) | (tag[1:] != tag[:-1])
-        return out, fresh
+    def lowest(held: Lines, known: dict[int, np.ndarray], begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The lowest hash of GRAM words in each span of words. known: by size, of the spans at each word."""
+        out = np.empty(len(begin), np.uint64)
+        for own in np.flatnonzero(np.bincount(size)).tolist():
+            if own not in known:
+                wide = min(GRAM, own)
+                if -wide not in known:  # the hashes themselves
+                    first = np.arange(max(0, len(held.words) - wide + 1))
+                    known[-wide] = V.mix(_spans(_sums(held.words), first, first + wide))
+                grams = known[-wide]
+                best = grams[: len(grams) - (own - wide)].copy()
+                for k in range(1, own - wide + 1):
+                    np.minimum(best, grams[k : k + len(best)], out=best)
+                known[own] = best
+            on = size == own
+            out[on] = known[own][begin[on]]
+        return out
+
+
+@functools.cache
+def keys_of(threshold: int, share: int) -> Keys:
+    """Their plans stay for a worker's next task."""
+    return Keys(threshold, share)
 
 
 # keys in packed rows
 
 #: Bits of a key within its bucket, keys that a task holds, and lines of a key beyond which a task pairs them itself.
-KEY_BITS, HELD_KEYS, MANY = 40, 500_000, 16
+KEY_BITS, HELD_KEYS, MANY = 40, 300_000, 16
 #: Lines of a key up to which all their pairs' parities are compared; more are one group, of which the texts decide.
 ALL_PAIRS = 256
 PACKED = "bucket int, keys binary, hs binary"
 
 
-def _long_lines(batches, chars: int = 1_500_000, once: int = 200_000) -> Iterator[list[str]]:
+def _long_lines(batches, chars: int = 600_000, once: int = 200_000) -> Iterator[list[str]]:
     """Lines that take part in the edit join; what a task has seen lately is left out."""
     seen: set[int] = set()
     held, size = [], 0
@@ -411,7 +432,7 @@ def _packed(threshold: int, share: int, bits: int):
     """A function from documents to packed keys."""
 
     def run(batches):
-        maker, keys, lines, size = Keys(threshold, share), [], [], 0
+        maker, keys, lines, size = keys_of(threshold, share), [], [], 0
         for held in _long_lines(batches):
             own = Lines(held)
             h, _ = line_ids(held, own, share)

@@ -1,5 +1,7 @@
 """What line dedup spares itself: words past a bound, ids of lines that no one asks for, sorts of whole tables."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -65,6 +67,25 @@ def test_two_lines_alone_go_into_no_group(spark, monkeypatch):
     assert met == [0]
 
 
+def test_keys_are_made_in_bounded_memory():
+    """Two workers of an executor make keys at once, beside a heap that has all of its size by then."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"word{k}" for k in range(5000)])
+    texts = ["\n".join(" ".join(words[rng.integers(0, 5000, rng.integers(5, 120))]) for _ in range(20)) for _ in range(1000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k] * 100), pa.array(texts[k : k + 100])], ["d", "text"]) for k in range(0, 1000, 100)]
+    tracemalloc.start()
+    try:
+        rows = sum(len(b) for b in linededup._packed(2, 10, 8)(iter(batches)))
+        assert rows and tracemalloc.get_traced_memory()[1] < 75 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_keys_of_all_lengths_are_made_together():
+    lines = [" ".join(f"w{k}x{i}" for i in range(k)) for k in range(5, 300)]
+    assert len(list(linededup.Keys(2, 10).of(linededup.Lines(lines)))) < 20
+
+
 def test_words_are_counted_before_their_distance_is(monkeypatch):
     """Lines that hold a word many times have few different words, and parities that say little."""
     monkeypatch.setattr(linededup, "word_distance", lambda *_: pytest.fail("the distance was worked out"))
