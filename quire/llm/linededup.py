@@ -202,8 +202,21 @@ def word_distance(a: list[str], b: list[str], most: int | None = None) -> int:
     return len(b) + vp.bit_count() - vn.bit_count()
 
 
+def words_of(line: str) -> list[str]:
+    """WORD's matches; without its search where nothing but blanks parts words."""
+    if line.isprintable():  # which no space but the plain one is
+        if line.isascii():
+            return line.split()
+        try:
+            line.encode("latin-1")
+        except UnicodeEncodeError:
+            return WORD.findall(line)
+        return line.split()
+    return WORD.findall(line)
+
+
 def near_words(x: str, y: str, share: int) -> bool:
-    return near_word_lists(WORD.findall(x), WORD.findall(y), share)
+    return near_word_lists(words_of(x), words_of(y), share)
 
 
 def near_word_lists(a: list[str], b: list[str], share: int) -> bool:
@@ -220,8 +233,7 @@ def _more_apart(a: dict[str, int], b: dict[str, int], most: int) -> bool:
     for x, y in ((a, b), (b, a)):
         off = 0
         for word, n in x.items():
-            off += max(0, n - y.get(word, 0))
-            if off > most:
+            if (more := n - y.get(word, 0)) > 0 and (off := off + more) > most:
                 return True
     return False
 
@@ -581,11 +593,12 @@ def _texts(held, share: int):
 
 def _verify(threshold: int, share: int):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 4096) for whole in batches for k in range(0, len(whole), 4096)):
             if len(batch):
                 x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                ok = np.array([near_words(a, b, share) for a, b in zip(x, y, strict=True)], bool)
-                few = [k for k in np.flatnonzero(~ok).tolist() if abs(len(x[k]) - len(y[k])) <= threshold and all(len(WORD.findall(t)) < WORDS_SUFFICE for t in (x[k], y[k]))]
+                words = {t: words_of(t) for t in {*x, *y}}  # a line is in many pairs
+                ok = np.array([near_word_lists(words[a], words[b], share) for a, b in zip(x, y, strict=True)], bool)
+                few = [k for k in np.flatnonzero(~ok).tolist() if abs(len(x[k]) - len(y[k])) <= threshold and all(len(words[t]) < WORDS_SUFFICE for t in (x[k], y[k]))]
                 ok[few] = within([x[k] for k in few], [y[k] for k in few], threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
@@ -669,7 +682,10 @@ class _Classes:
         return self.root(self.of[x]) != self.root(self.of[y])
 
     def roots(self, lines: np.ndarray) -> np.ndarray:
-        return np.array([self.root(c) for c in self.of[lines].tolist()], np.int64)
+        own = self.up[self.of[lines]]
+        while ((up := self.up[own]) != own).any():
+            own = up
+        return own
 
 
 def _settle(key: np.ndarray, who: np.ndarray, mine: np.ndarray, other: np.ndarray, label: np.ndarray, shape: np.ndarray, lines: list[str], threshold: int, share: int) -> list[tuple[int, int]]:
@@ -679,14 +695,14 @@ def _settle(key: np.ndarray, who: np.ndarray, mine: np.ndarray, other: np.ndarra
     others, and whether others are with it. label, shape, lines: of each line."""
     classes, words, out, few = _Classes(label), {}, [], []
     done: set[bytes] = set()
-    tested: set[tuple[int, int]] = set()
+    tested: set[int] = set()
     order = np.lexsort((who, key))
     who, mine, other, cuts = who[order], mine[order], other[order], _runs(key[order])
 
     def near_by_words(x: int, y: int, most: int) -> bool:
         for k in (x, y):
             if k not in words:
-                own = WORD.findall(lines[k])
+                own = words_of(lines[k])
                 words[k] = own, Counter(own)
         (a, of_a), (b, of_b) = words[x], words[y]
         return not _more_apart(of_a, of_b, most) and word_distance(a, b, most) <= most
@@ -705,25 +721,34 @@ def _settle(key: np.ndarray, who: np.ndarray, mine: np.ndarray, other: np.ndarra
             continue
         done.add(form)
         root_of = classes.roots(rest)
-        for some in np.split(late, range(0, len(late), max(1, 200_000 // max(1, len(rest))))[1:]):
+        step = max(1, 200_000 // max(1, len(rest)))
+        for some in (late[k : k + step] for k in range(0, len(late), step)):
+            open_ = classes.roots(some)[:, None] != root_of
+            if not open_.any():
+                continue
             n_chars, n_words, sketch = (shape[some, 0], shape[some, 1], shape[some, 2:].view(np.uint64))
             apart = lambda k: np.bitwise_count(sketch[:, None, k] ^ shape[rest, 2 + k].view(np.uint64)).astype(np.int64)
             longer = np.maximum(n_words[:, None], shape[rest, 1])
-            open_ = classes.roots(some)[:, None] != root_of
             letters = open_ & (longer < WORDS_SUFFICE) & (np.abs(n_chars[:, None] - shape[rest, 0]) <= threshold) & (apart(0) <= 2 * threshold)
             most = longer // share
             by_words = open_ & (np.abs(n_words[:, None] - shape[rest, 1]) <= most)
             if by_words.any():
                 by_words &= sum(apart(k) for k in (1, 2, 3, 4)) <= 2 * most
-            for i, j in zip(*(x.tolist() for x in np.nonzero(letters | by_words))):
-                x, y = sorted((int(some[i]), int(rest[j])))
-                if (x, y) in tested or not classes.apart(x, y):
+            rows = np.flatnonzero(letters | by_words)
+            i, j = np.divmod(rows, len(rest))
+            both = np.sort(np.stack([some[i], rest[j]]), 0)
+            code = both[0] * len(lines) + both[1]
+            if len(rows) > 1:  # a pair may stand either way round
+                new = np.sort(np.unique(code, return_index=True)[1])
+                rows, both, code = rows[new], both[:, new], code[new]
+            for row, x, y, pair in zip(rows.tolist(), *both.tolist(), code.tolist()):
+                if pair in tested or not classes.apart(x, y):
                     continue
-                tested.add((x, y))
-                if by_words[i, j] and near_by_words(x, y, int(most[i, j])):
+                tested.add(pair)
+                if by_words.flat[row] and near_by_words(x, y, int(most.flat[row])):
                     classes.join(x, y)
                     out.append((x, y))
-                elif letters[i, j]:
+                elif letters.flat[row]:
                     few.append((x, y))
             if len(few) >= TOGETHER:
                 by_letters()
