@@ -7,8 +7,9 @@ counted in one pass. A batch is committed by one rename to `batch_id=<id>` in th
 at all, and committing it again, by a retry or by mistake, changes nothing. Totals are the sums over the committed
 batches; compact() folds them into one snapshot, again by one rename, which changes no total and forgets no id.
 
-Tokenizer versions are native expressions over the whole text: `space-1` counts runs without ASCII white
-space, `word-1` runs of letters and digits (any character beyond ASCII counts as a letter).
+Tokenizer versions are runs of characters over the whole text: `space-1` counts runs without ASCII white
+space, `word-1` runs of letters and digits (any character beyond ASCII counts as a letter). As no character beyond ASCII
+ends a run, runs are counted on the bytes of many texts at once, all versions in one pass; a pattern of another form is refused.
 
 Defined cases: null source or language is a key of its own; a null or empty text has 0 tokens and counts as a document
 (very long ones are counted whole); repeated rows count as often as they come, and order within a batch does not
@@ -18,13 +19,17 @@ unknown op, or a batch id that is no plain name, is an error.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_dir
+from quire.llm import vectext as V
+from quire.llm.common import mapped, shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -33,8 +38,34 @@ VERSIONS = {"space-1": "[^\\x20\\x09-\\x0D]+", "word-1": "[^\\x00-\\x2F\\x3A-\\x
 CHANGE = "op string, source string, lang string, text string, old_source string, old_lang string, old_text string"
 
 
-def n_tokens(text: Column, token: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(token)).cast("long")
+@functools.cache
+def token_bytes(token: str) -> np.ndarray:
+    """Whether each of 256 bytes is of a token, for a pattern of runs of all characters but some of ASCII."""
+    if not re.fullmatch(r"\[\^(\\x[0-7][0-9A-F](-\\x[0-7][0-9A-F])?)+\]\+", token):
+        raise ValueError(f"not runs of all characters but some of ASCII: {token}")
+    return np.array([b >= 128 or re.fullmatch(token, chr(b)) is not None for b in range(256)])
+
+
+def n_tokens(texts: V.Texts, token: str) -> np.ndarray:
+    """Tokens of each text: bytes of a token that begin their text or come after one of none."""
+    on = token_bytes(token)[texts.data]
+    first = on.copy()
+    first[1:] &= ~on[:-1]
+    edge = texts.at[:-1][np.diff(texts.at) > 0]
+    first[edge] = on[edge]
+    return np.diff(np.searchsorted(np.flatnonzero(first), texts.at))
+
+
+def _counted(by: int):
+    """A function from rows whose column `by` is a text to the rows with its numbers of tokens, one for each version."""
+
+    def run(batches):
+        for batch in batches:
+            for row, end, texts in V.slices(batch.column(by)):
+                counts = [pa.array(n_tokens(texts, token), pa.int64()) for token in VERSIONS.values()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in range(by)), *counts], [*batch.schema.names[:by], *(f"n{k}" for k in range(len(counts)))])
+
+    return run
 
 
 def signed(changes: DataFrame, *by: str) -> DataFrame:
@@ -49,8 +80,11 @@ def signed(changes: DataFrame, *by: str) -> DataFrame:
 
 def delta(changes: DataFrame, *by: str) -> DataFrame:
     """Signed counts per key (and by) of changes: op, source, lang, text, old_text and, if given, old_source, old_lang."""
-    per = F.array(*(F.struct(F.lit(name).alias("tokenizer"), (F.col("d") * n_tokens(F.col("text"), token)).alias("n")) for name, token in VERSIONS.items()))
-    rows = signed(changes, *by).select(*by, "source", "lang", "d", F.inline(per))
+    texts = signed(changes, *by).select(*by, "source", "lang", "d", "text")
+    kept = [f"`{name}` {kind}" for name, kind in texts.dtypes[:-1]]
+    counted = mapped(texts, _counted(len(kept)), ", ".join([*kept, *(f"n{k} long" for k in range(len(VERSIONS)))]))
+    per = F.array(*(F.struct(F.lit(name).alias("tokenizer"), (F.col("d") * F.col(f"n{k}")).alias("n")) for k, name in enumerate(VERSIONS)))
+    rows = counted.select(*by, "source", "lang", "d", F.inline(per))
     return rows.groupBy(*by, *KEYS).agg(F.sum("d").cast("long").alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
