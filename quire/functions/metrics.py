@@ -74,20 +74,14 @@ def wer(reference: Column, hypothesis: Column) -> Column:
 
 def best_window(needle: Column, hay: Column) -> Column:
     """struct(d, at): least distance of needle to any equally long window of hay, relative to its length,
-    and the first such window (from 0); null where needle is empty or longer than hay. Bit-parallel, by Arrow batches."""
-    from quire.operators.solvers import distance as between
-
-    def best(n: str, h: str) -> tuple[float, int] | None:
-        size = len(n)
-        if not 0 < size <= len(h):
-            return None
-        found, at = min((between(n, h[i : i + size]), i) for i in range(len(h) - size + 1)) if n not in h else (0, h.index(n))
-        return found / size, at
+    and the first such window (from 0); null where needle is empty or longer than hay. By Arrow batches, many pairs at once."""
+    from quire.operators.solvers import windows
 
     @F.pandas_udf("struct<d:double,at:int>")
     def run(needles: pd.Series, hays: pd.Series) -> pd.DataFrame:
-        pairs = [best(n, h) if isinstance(n, str) and isinstance(h, str) else None for n, h in zip(needles, hays, strict=True)]
-        return pd.DataFrame([p or (None, None) for p in pairs], columns=["d", "at"]).astype({"d": "float64", "at": "Int32"})
+        pairs = [(n, h) if isinstance(n, str) and isinstance(h, str) else ("", "") for n, h in zip(needles, hays, strict=True)]
+        found = [w and (w[0] / len(n), w[1]) for (n, _), w in zip(pairs, windows(*map(list, zip(*pairs, strict=True))) if pairs else [], strict=True)]
+        return pd.DataFrame([p or (None, None) for p in found], columns=["d", "at"]).astype({"d": "float64", "at": "Int32"})
 
     found = run(needle, hay)
     return F.when(found["d"].isNotNull() & ~F.isnan(found["d"]), found)
