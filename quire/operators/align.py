@@ -7,16 +7,18 @@ joined, normalised and scored by built-in expressions before and after.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quire.functions import metrics as M
 from quire.functions.normalize import TextConfig, artifacts, normalize, strip
 from quire.functions.segment import segments
 from quire.operators import order
-from quire.operators.parallel import spread
-from quire.operators.solvers import SOLVERS
+from quire.operators.parallel import bounded, spread
+from quire.operators.solvers import SOLVERS, distances
 
 PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 BREAK_MARK = "--- Page Break ---"
@@ -136,10 +138,66 @@ def corpus_rates(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", *by: str)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), zero(F.avg("cer")).alias("mean_cer"), rate("cd", "cn").alias("micro_cer"), zero(F.avg("wer")).alias("mean_wer"), rate("wd", "wn").alias("micro_wer"))
 
 
+#: Different texts of a page in one block: a unit of work compares the texts of two blocks.
+BLOCK = 64
+
+
+def compared_blocks(texts: DataFrame, *key: str) -> DataFrame:
+    """key, quire_p, quire_q, p, q, d: two blocks of texts of a page and their distances (d: a row of q for each of p; -1
+    where no ground truth meets a prediction). texts: key, text, gts and preds (arrays of what stands for it on either
+    side), a text once a page; at: its place among them. A page of many texts becomes many units of work, each of bounded
+    size; a distance serves both directions."""
+    page = Window.partitionBy(*key)
+    placed = texts.select(*key, F.length("text").alias("n"), "text", "gts", "preds", F.row_number().over(page.orderBy("text")).alias("at"), F.count("*").over(page).alias("quire_of"))
+    block = F.floor((F.col("at") - 1) / BLOCK).cast("int")
+    item = F.struct("at", "text", "n", "gts", "preds")
+    blocks = placed.groupBy(*key, block.alias("quire_block")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("quire_of").alias("quire_of"))
+    others = F.explode(F.sequence(F.lit(0), F.floor((F.col("quire_of") - 1) / BLOCK).cast("int"))).alias("quire_other")
+    met = blocks.select(*key, "quire_block", "items", others).select(*key, F.least("quire_block", "quire_other").alias("quire_p"), F.greatest("quire_block", "quire_other").alias("quire_q"), "quire_block", "items")
+    both = spread(met, *key, "quire_p", "quire_q").groupBy(*key, "quire_p", "quire_q").agg(F.array_sort(F.collect_list(F.struct("quire_block", "items"))).alias("b"))
+    p, q = F.get("b", F.lit(0))["items"], F.get("b", F.size("b") - 1)["items"]
+    bounded(texts.sparkSession)
+    sides = [side for x in (p, q) for side in (x["text"], F.transform(x, lambda t: F.size(t["gts"]) > 0), F.transform(x, lambda t: F.size(t["preds"]) > 0))]
+    return both.select(*key, "quire_p", "quire_q", p.alias("p"), q.alias("q"), _block_distances(*sides).alias("d"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _block_distances(p: pd.Series, p_gt: pd.Series, p_pred: pd.Series, q: pd.Series, q_gt: pd.Series, q_pred: pd.Series) -> pd.Series:
+    names: dict[str, int] = {}
+    code = lambda texts: np.array([names.setdefault(t, len(names)) for t in texts], np.int64)
+    wanted, left, right = [], [], []
+    for a, ag, ap, b, bg, bp in zip(p, p_gt, p_pred, q, q_gt, q_pred, strict=True):
+        flag = lambda x: np.asarray(x, bool)
+        need = flag(ag)[:, None] & flag(bp) | flag(ap)[:, None] & flag(bg)
+        i, j = np.nonzero(need)
+        wanted.append(need)
+        left.append(code(a)[i])
+        right.append(code(b)[j])
+    if not wanted:
+        return pd.Series([], dtype=object)
+    found = np.split(distances(list(names), np.concatenate(left), np.concatenate(right)), np.cumsum([len(x) for x in left])[:-1])
+    out = []
+    for need, d in zip(wanted, found, strict=True):
+        whole = np.full(need.shape, -1, np.int32)
+        whole[need] = d
+        out.append(whole.ravel())
+    return pd.Series(out, dtype=object)
+
+
 def cost_matrix(regions: DataFrame, segs: DataFrame) -> DataFrame:
-    """(task_id, gt_index, seg_index, ned) of all pairs on a page; an equality join on the page."""
-    a = regions.select("task_id", "gt_index", "gt_norm")
-    return a.join(segs.select("task_id", "seg_index", "pred_norm"), "task_id").select("task_id", "gt_index", "seg_index", M.ned(F.col("gt_norm"), F.col("pred_norm")).alias("ned"))
+    """(task_id, gt_index, seg_index, ned) of all pairs on a page, worked out block by block for texts that differ."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(""))
+    a = regions.select("task_id", whole("gt_norm").alias("text"), F.struct(F.col("gt_index").alias("i")).alias("g"), F.lit(None).alias("s"))
+    b = segs.select("task_id", whole("pred_norm").alias("text"), F.lit(None).alias("g"), F.struct(F.col("seg_index").alias("i")).alias("s"))
+    texts = a.union(b).filter("task_id is not null").groupBy("task_id", "text").agg(F.collect_list("g").alias("gts"), F.collect_list("s").alias("preds"))
+    bare = lambda c: F.transform(c, lambda t: F.struct(t["n"].alias("n"), t["gts"].alias("gts"), t["preds"].alias("preds"))).alias(c)
+    met = compared_blocks(texts, "task_id").select("task_id", F.expr("quire_p = quire_q").alias("same"), bare("p"), bare("q"), "d")
+    met = met.select("task_id", "same", "p", "q", F.posexplode("d").alias("at", "d")).filter("d >= 0")
+    wide = F.size("q")
+    x, y = F.get("p", F.floor(F.col("at") / wide).cast("int")), F.get("q", F.col("at") % wide)
+    rows = met.select("task_id", (F.col("d") / F.greatest(x["n"], y["n"], F.lit(1))).alias("ned"), F.explode(F.array(F.struct(x["gts"].alias("g"), y["preds"].alias("s"), F.lit(False).alias("turned")), F.struct(y["gts"].alias("g"), x["preds"].alias("s"), F.lit(True).alias("turned")))).alias("w"), "same")
+    rows = rows.filter("not (same and w.turned)").select("task_id", "ned", F.explode("w.g").alias("g"), F.col("w.s").alias("s")).select("task_id", "ned", "g", F.explode("s").alias("s"))
+    return rows.select("task_id", F.col("g.i").alias("gt_index"), F.col("s.i").alias("seg_index"), "ned")
 
 
 def ned_breakdown(a: Column, b: Column) -> Column:
