@@ -18,11 +18,13 @@ from quire.functions.normalize import TextConfig, artifacts, normalize, strip
 from quire.functions.segment import segments
 from quire.operators import order
 from quire.operators.parallel import bounded, spread
-from quire.operators.solvers import SOLVERS, distances
+from quire.operators.solvers import SOLVERS, distances, relative
 
 PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 BREAK_MARK = "--- Page Break ---"
 DEFAULT = TextConfig()
+#: Modes whose solvers begin with the distances of all pairs of a page.
+COSTED = ("simple", "quick")
 
 
 def solve(gt: Column, pred: Column, mode: str) -> Column:
@@ -36,6 +38,49 @@ def solve(gt: Column, pred: Column, mode: str) -> Column:
     return run(gt, pred)
 
 
+def _solved(cut: DataFrame, mode: str) -> DataFrame:
+    """task_id, model, gt, pred (what stands on either side, in order) and pairs, from a row for each text of a page. Modes
+    that go by all distances of a page get them from units of work of bounded size, a page's over many tasks."""
+    key = ("task_id", "model")
+    bounded(cut.sparkSession)
+    if mode not in COSTED:
+        item = F.struct("pos", "i", "id", "raw", "norm")
+        solved = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("i") >= 0, item))).alias("gt"), F.array_sort(F.collect_list(F.when(F.col("i") < 0, item))).alias("pred"))
+        return spread(solved, *key).withColumn("pairs", solve(F.col("gt.norm"), F.col("pred.norm"), mode))
+    item = F.struct("pos", "i", "id", "raw")
+    texts = cut.groupBy(*key, F.col("norm").alias("text")).agg(F.collect_list(F.when(F.col("i") >= 0, item)).alias("gts"), F.collect_list(F.when(F.col("i") < 0, item)).alias("preds"))
+    met = compared_blocks(texts, *key).select(*key, F.when(F.expr("quire_p = quire_q"), F.col("p")).alias("own"), F.struct("quire_p", "quire_q", "d").alias("met"))
+    whole = spread(met.groupBy(*key).agg(F.flatten(F.collect_list("own")).alias("own"), F.collect_list("met").alias("met")), *key)
+
+    def side(name: str) -> Column:
+        one = lambda t: F.transform(t[name], lambda e: F.struct(e["pos"].alias("pos"), e["i"].alias("i"), e["id"].alias("id"), e["raw"].alias("raw"), t["text"].alias("norm"), t["at"].alias("at")))
+        return F.array_sort(F.flatten(F.transform("own", one))).alias("gt" if name == "gts" else "pred")
+
+    solved = whole.select(*key, side("gts"), side("preds"), "met")
+    args = (F.col(c) for c in ("gt.norm", "gt.at", "pred.norm", "pred.at", "met.quire_p", "met.quire_q", "met.d"))
+    return solved.withColumn("pairs", _solve_costed(mode)(*args)).drop("met")
+
+
+def _solve_costed(mode: str):
+    solver = SOLVERS[mode]
+
+    def page(gt, g_at, pred, p_at, ps, qs, ds) -> list[list[int]]:
+        gt, pred, g_at, p_at = list(gt), list(pred), np.asarray(g_at, int) - 1, np.asarray(p_at, int) - 1
+        n = 1 + int(max(g_at.max(initial=0), p_at.max(initial=0)))
+        found = np.zeros((n, n), np.int32)
+        for p, q, d in zip(ps, qs, ds, strict=True):
+            a, b = slice(p * BLOCK, min((p + 1) * BLOCK, n)), slice(q * BLOCK, min((q + 1) * BLOCK, n))
+            part = np.asarray(d, np.int32).reshape(a.stop - a.start, b.stop - b.start)
+            found[a, b], found[b, a] = part, part.T
+        return solver(gt, pred, relative(found[np.ix_(g_at, p_at)], gt, pred))
+
+    @F.pandas_udf("array<array<int>>")
+    def run(gt: pd.Series, g_at: pd.Series, pred: pd.Series, p_at: pd.Series, ps: pd.Series, qs: pd.Series, ds: pd.Series) -> pd.Series:
+        return pd.Series([page(*row) for row in zip(gt, g_at, pred, p_at, ps, qs, ds, strict=True)], dtype=object)
+
+    return run
+
+
 def pages(regions: DataFrame) -> DataFrame:
     """One row a task: regions, array<struct<gt_index, region_id, gt_raw>> in order."""
     one = F.struct(F.col("gt_index").cast("int").alias("gt_index"), F.col("region_id").cast("string").alias("region_id"), F.coalesce("gt_raw", F.lit("")).alias("gt_raw"))
@@ -55,9 +100,7 @@ def align(regions: DataFrame, predictions: DataFrame, config: TextConfig = DEFAU
     # texts are normalised as rows, once each: expressions of Python do not work inside arrays
     cut = page.select("task_id", "model", F.col("segments").alias("all"), F.posexplode(F.concat(F.transform("regions", lambda r: F.struct(r["gt_index"].alias("i"), r["region_id"].alias("id"), r["gt_raw"].alias("t"))), F.transform("segments", lambda s: F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("id"), s.alias("t"))))))
     cut = cut.select("task_id", "model", "pos", F.col("col.i").alias("i"), F.col("col.id").alias("id"), F.col("col.t").alias("raw"), normalize(F.col("col.t"), config).alias("norm"))
-    item = F.struct("pos", "i", "id", "raw", "norm")
-    solved = cut.groupBy("task_id", "model").agg(F.array_sort(F.collect_list(F.when(F.col("i") >= 0, item))).alias("gt"), F.array_sort(F.collect_list(F.when(F.col("i") < 0, item))).alias("pred"))
-    solved = spread(solved, "task_id", "model").withColumn("pairs", solve(F.col("gt.norm"), F.col("pred.norm"), mode))
+    solved = _solved(cut, mode)
     rows = solved.select("task_id", "model", F.col("pred.raw").alias("raws"), F.col("pred.norm").alias("norms"), F.inline(F.arrays_zip("gt", "pairs")))
     joined = F.array_join(F.transform("pairs", lambda k: F.get("raws", k)), "")
     out = rows.select("task_id", "model", F.col("gt.i").alias("gt_index"), F.col("gt.id").alias("region_id"), F.col("gt.raw").alias("gt_raw"), joined.alias("pred_raw"), F.col("gt.norm").alias("gt_norm"), F.when(F.size("pairs") == 1, F.get("norms", F.get("pairs", F.lit(0)))).alias("one"), F.col("pairs").alias("pred_indices"))
@@ -154,7 +197,7 @@ def compared_blocks(texts: DataFrame, *key: str) -> DataFrame:
     blocks = placed.groupBy(*key, block.alias("quire_block")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("quire_of").alias("quire_of"))
     others = F.explode(F.sequence(F.lit(0), F.floor((F.col("quire_of") - 1) / BLOCK).cast("int"))).alias("quire_other")
     met = blocks.select(*key, "quire_block", "items", others).select(*key, F.least("quire_block", "quire_other").alias("quire_p"), F.greatest("quire_block", "quire_other").alias("quire_q"), "quire_block", "items")
-    both = spread(met, *key, "quire_p", "quire_q").groupBy(*key, "quire_p", "quire_q").agg(F.array_sort(F.collect_list(F.struct("quire_block", "items"))).alias("b"))
+    both = spread(met.groupBy(*key, "quire_p", "quire_q").agg(F.array_sort(F.collect_list(F.struct("quire_block", "items"))).alias("b")), *key, "quire_p", "quire_q")
     p, q = F.get("b", F.lit(0))["items"], F.get("b", F.size("b") - 1)["items"]
     bounded(texts.sparkSession)
     sides = [side for x in (p, q) for side in (x["text"], F.transform(x, lambda t: F.size(t["gts"]) > 0), F.transform(x, lambda t: F.size(t["preds"]) > 0))]
