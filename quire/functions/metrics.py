@@ -1,7 +1,8 @@
-"""Edit-distance metrics as Column builders; all but the best window evaluate inside the JVM."""
+"""Edit-distance metrics as Column builders; all but the best window and distances of long texts evaluate inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +73,24 @@ def wer(reference: Column, hypothesis: Column) -> Column:
     return let(pair, lambda t: _rate(token_distance(t["a"], t["b"]), F.size(t["a"]), F.size(t["b"])))
 
 
+def long_distance(a: Column, b: Column, words: bool = False) -> Column:
+    """As distance, or with `words` as token_distance, for texts of whole pages: in bits, by Arrow batches. The built-in
+    distance passes each cell of the table by itself."""
+    from quire.operators.solvers import distances
+
+    def spelled(u: list[str], v: list[str]) -> list[str]:
+        place: dict[str, int] = {}
+        return ["".join([chr(_PLANE + place.setdefault(w, len(place))) for w in ws]) for ws in (u, v)]
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = [spelled(u, v) if words else [u, v] for u, v in zip(x, y, strict=True)]
+        at = 2 * np.arange(len(pairs))
+        return pd.Series(distances([t for pair in pairs for t in pair], at, at + 1), dtype="int32")
+
+    return run(a, b) if words else run(_text(a), _text(b))
+
+
 def best_window(needle: Column, hay: Column) -> Column:
     """struct(d, at): least distance of needle to any equally long window of hay, relative to its length,
     and the first such window (from 0); null where needle is empty or longer than hay. By Arrow batches, many pairs at once."""

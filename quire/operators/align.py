@@ -153,10 +153,12 @@ def document_metrics(regions: DataFrame, predictions: DataFrame, config: TextCon
     pred = normalize(artifacts(F.coalesce("text", F.lit(""))), config)
     both = gt.join(predictions.select(F.col("task_id").cast("string").alias("task_id"), "model", pred.alias("pred")), "task_id")
     a, b = F.col("gt"), F.col("pred")
-    rows = spread(both, "task_id", "model").select("task_id", "model", M.distance(a, b).alias("d"), M.wer(a, b).alias("document_wer"), F.length(a).alias("document_gt_char_len"), F.length(b).alias("document_pred_char_len"))
+    bounded(both.sparkSession)
+    rows = spread(both, "task_id", "model").select("task_id", "model", M.long_distance(a, b).alias("d"), M.long_distance(M.tokens(a), M.tokens(b), words=True).alias("wd"), F.size(M.tokens(a)).alias("wn"), F.size(M.tokens(b)).alias("hn"), F.length(a).alias("document_gt_char_len"), F.length(b).alias("document_pred_char_len"))
     d, n, m = F.col("d"), F.col("document_gt_char_len"), F.col("document_pred_char_len")
     cer = F.when(n > 0, d / n).otherwise((m > 0).cast("double"))
-    return rows.select("task_id", "model", (d / F.greatest(n, m, F.lit(1))).alias("document_ned"), cer.alias("document_cer"), "document_wer", "document_gt_char_len", "document_pred_char_len")
+    wer = F.when(F.col("wn") > 0, F.col("wd") / F.col("wn")).otherwise((F.col("hn") > 0).cast("double"))
+    return rows.select("task_id", "model", (d / F.greatest(n, m, F.lit(1))).alias("document_ned"), cer.alias("document_cer"), wer.alias("document_wer"), "document_gt_char_len", "document_pred_char_len")
 
 
 def notes(matches: DataFrame, predictions: DataFrame, regions: DataFrame, config: TextConfig = DEFAULT) -> DataFrame:
